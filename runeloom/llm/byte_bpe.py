@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .columns import map_slices
 
 #: Pieces whose tokens a worker remembers; beyond it all are forgotten.
-CACHED = 500_000
+CACHED = 250_000
 #: Longer pieces are merged with a heap, so that one long run of letters costs n log n.
 WIDEST = 128
 _NONE = np.int32(2**31 - 1)
@@ -212,7 +212,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", text: s
 
         return step
 
-    return map_slices(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")), make, "id long, token_ids array<int>").withColumnRenamed("id", id)
+    return map_slices(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")), make, "id long, token_ids array<int>", limit=1 << 20).withColumnRenamed("id", id)
 
 
 def decode(encoded: DataFrame, path: str, id: str = "doc_id", ids: str = "token_ids") -> DataFrame:
@@ -225,7 +225,7 @@ def decode(encoded: DataFrame, path: str, id: str = "doc_id", ids: str = "token_
         begins = np.cumsum(sizes) - sizes
         blob = np.frombuffer(b"".join(vocab) or b"\0", np.uint8)
         for batch in batches:
-            at, step = 0, max(1, len(batch) * (1 << 20) // max(1, batch.nbytes // 4))
+            at, step = 0, max(1, len(batch) * (1 << 18) // max(1, batch.nbytes // 4))
             while at < len(batch):
                 part = batch.slice(at, step)
                 at += step
