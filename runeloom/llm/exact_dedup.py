@@ -1,7 +1,9 @@
 """Exact duplicates by content sort, with DataFrame functions only.
 
 Normalised texts are range-partitioned by sampled splitters and sorted by Spark's external sort, so equal
-texts become neighbours; the window over whole texts compares each with the next in full. A text that the
+texts become neighbours; the window over whole texts compares each with the next in full. A splitter is the
+first HEAD characters with a hash of the whole text, so what the driver samples doesn't grow with the texts, and
+texts that begin alike don't fill one range. A text that the
 sample shows to be frequent is dealt out in shares, by a hash of the id, in as many ranges as its frequency asks
 for; its shares are put together by digest afterwards, from one row a share.
 
@@ -15,8 +17,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import cut
+
 #: Characters that don't count in a comparison.
 WHITE = " \t\n\x0b\x0c\r"
+HEAD = 64
 #: Rows of the sample that shows which texts are frequent; half as many texts at most can be seen twice.
 SAMPLED = 20_000
 
@@ -48,8 +53,8 @@ def exact_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     mark, share = F.xxhash64("norm"), F.lit(0)
     if hot:  # at most 2 * ranges texts can be so frequent
         share = F.coalesce(F.pmod(F.xxhash64("id"), F.create_map(*[F.lit(v) for r in hot for v in (r.mark, r.shares)])[mark]), F.lit(0))
-    dealt = rows.withColumn("share", share.cast("int")).repartitionByRange(ranges, "norm", "share")
-    equal = Window.partitionBy("norm", "share")
+    dealt = rows.withColumns({"head": F.substring("norm", 1, HEAD), "mark": mark, "share": share.cast("int")}).repartitionByRange(ranges, "head", "mark", "share")
+    equal = Window.partitionBy("head", "mark", "share", "norm")
     better = equal.orderBy(F.col("size").desc(), F.col("id").asc_nulls_last())
     found = dealt.select(
         "id", "size", "share", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"),
@@ -57,7 +62,7 @@ def exact_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     )
     if not hot:
         return found.select(F.col("id").alias(id), F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), F.col("id").eqNullSafe(F.col("best.id")).alias("kept"), F.col("sha").alias("text_sha256"))
-    found = found.select("id", "sha", "best", "place", "n", (mark_of_share := F.col("share")).alias("share")).checkpoint()
+    found = cut(found.select("id", "sha", "best", "place", "n", "share"))
     marks = found.where("share > 0").select("sha").distinct()  # at most 2 * ranges texts
     whole = (
         found.where("place = 1").join(F.broadcast(marks), "sha", "left_semi").groupBy("sha")
