@@ -53,8 +53,9 @@ def exact_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     mark, share = F.xxhash64("norm"), F.lit(0)
     if hot:  # at most 2 * ranges texts can be so frequent
         share = F.coalesce(F.pmod(F.xxhash64("id"), F.create_map(*[F.lit(v) for r in hot for v in (r.mark, r.shares)])[mark]), F.lit(0))
-    dealt = rows.withColumns({"head": F.substring("norm", 1, HEAD), "mark": mark, "share": share.cast("int")}).repartitionByRange(ranges, "head", "mark", "share")
-    equal = Window.partitionBy("head", "mark", "share", "norm")
+    shared = ["share"] if hot else []  # a constant would cost the window an exchange of its own
+    dealt = rows.withColumns({"head": F.substring("norm", 1, HEAD), "mark": mark, "share": share.cast("int")}).repartitionByRange(ranges, "head", "mark", *shared)
+    equal = Window.partitionBy("head", "mark", *shared, "norm")
     better = equal.orderBy(F.col("size").desc(), F.col("id").asc_nulls_last())
     found = dealt.select(
         "id", "size", "share", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"),
