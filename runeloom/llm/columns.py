@@ -53,6 +53,20 @@ def map_slices(df: DataFrame, make: Callable[[], Callable], schema: str, text: s
     return df.mapInArrow(run, schema)
 
 
+def keep_slices(df: DataFrame, make: Callable[[], Callable], text: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
+    """The rows, with all their columns, of which what `make()` returns, given their texts, holds True."""
+    if text not in df.columns:
+        raise ValueError(f"no column {text}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = make()
+        for batch in batches:
+            for part in slices(batch, text, limit):
+                yield part.filter(pa.array(step(part.column(text))))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import map_slices
+from .columns import keep_slices, map_slices
 
 BLOCK = 1024
 #: The labelled sample: so many documents of a language, so many characters from the middle of each, so many symbols in all.
@@ -185,3 +185,22 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], id: str = "d
         return step
 
     return map_slices(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")), make, "id long, lang_pred string, score double, bits double").withColumnRenamed("id", id)
+
+
+def accepted(docs: DataFrame, samples: tuple[tuple[str, str], ...], least: int = 50, text: str = "text") -> DataFrame:
+    """The documents, with all their columns, whose text is in a learnt language: it has letters, and where there are
+    at least `least` symbols, they cost no more bits than evenly drawn ones would. If nothing was learnt, all stay."""
+    sent = docs.sparkSession.sparkContext.broadcast(samples)
+
+    def make():
+        own = model(sent.value)
+
+        def step(column: pa.Array) -> np.ndarray:
+            if not own.languages:
+                return np.ones(len(column), bool)
+            bits, size = own.entropies([x or "" for x in column.to_pylist()])
+            return (size > 0) & ((size < least) | (bits.min(axis=0) <= np.log2(own.size)))
+
+        return step
+
+    return keep_slices(docs, make, text)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, exact_dedup, language_id, license_scan, near_dup, quality, token_count
+from . import byte_bpe, decontaminate, exact_dedup, language_id, license_scan, near_dup, pii, quality, token_count, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,19 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    order = F.array(*[F.lit(k) for k in pii.KINDS])
+    by_kind = lambda spans: F.array_join(F.transform(F.array_sort(F.transform(spans, lambda x: F.struct(F.array_position(order, x["kind"]).alias("place"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))), lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    of = lambda k: F.size(F.filter("base", lambda x: x["kind"] == F.lit(k))).cast("long").alias(f"n_{k}")
+    count = [of(k) for k in pii.KINDS[: pii.BASE]]
+    return found.select("doc_id", *count, F.sha2(by_kind(F.col("base")).cast("binary"), 256).alias("base_sha256"), by_kind(F.concat("base", "added")).alias("spans"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -66,9 +79,14 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_license_scan, op4_decontaminate, op5_near_dedup, op8_exact_dedup, op9_quality, op10_token_count)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_license_scan, op4_decontaminate, op5_near_dedup, op6_pii, op7_warc, op8_exact_dedup, op9_quality, op10_token_count)}
 
 SQL: dict[str, str] = {
+    "op7_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT *, CASE WHEN strlen(html) >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS first FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f""",
     "op8_exact_dedup": r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS size, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
 SELECT doc_id, first_value(doc_id) OVER better AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
