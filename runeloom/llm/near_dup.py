@@ -6,11 +6,12 @@ a place, a second one, shifted circularly k times, gives coordinate k of the sig
 a shingle are neighbours in one array. Documents of equal sets form a class; bands of the signature put classes
 into buckets; candidates are confirmed on the full sets of 64-bit shingle fingerprints.
 
-A bucket isn't expanded into all pairs: its first member is compared with the others, then links join
-members into components, then the next 4, 16, 64, ... members are compared with those of other components only,
-until no bucket has an untested pair of different components. So no link between components is lost, and a
-group of thousands of copies costs about one comparison for each member. Texts move once, and from then on only those
-of documents that share a bucket.
+A bucket isn't expanded into all pairs: its first member is compared with the others, and links join members into
+components. What may still be missing are links between different components of one bucket, of three members or more.
+The documents of such buckets are joined by prefix filtering: in an order of all shingles from rare to frequent, two sets
+as similar as asked for share one of the first n - ceil(similarity * n) + 1 shingles of each, so none of their links is lost,
+while a passage that thousands of unlike documents share comes late in the order and pairs none of them. Texts move
+once, and from then on only those of documents that share a bucket.
 
 At a similarity of 0.8, 48 bands of 6 coordinates miss a pair with a chance of 5e-7, at 0.85 of 1e-10.
 
@@ -92,6 +93,33 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
     return map_slices(both, make, "a long, b long", limit=2 << 20)
 
 
+def prefix_pairs(rest: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of the documents (id, component) that may be similar enough and are of different components."""
+
+    def make():
+        def step(part: pa.RecordBatch) -> dict:
+            values, bounds = distinct(*Words(part.column(1)).shingles(shingle), len(part))
+            return {"id": part.column(0), "component": part.column(2), "n": np.diff(bounds), "all": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64)))}
+
+        return step
+
+    sets = map_slices(texts.join(rest, "id").select("id", "text", "component"), make, "id long, component long, n long, all array<long>")
+    each = sets.where("n > 0").select("id", "component", "n", F.explode("all").alias("g"))
+    often = each.groupBy("g").agg(F.count(F.lit(1)).alias("often"))
+    # Shingles of one document alone pair nothing, but have their place in the order.
+    place = F.row_number().over(Window.partitionBy("id").orderBy("often", "g"))
+    first = each.join(often, "g").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("often > 1")
+    first = cut(first.select("g", "id", "component", "n"))
+    # Per shingle the members of all components but one meet the others: copies of one component don't meet one another.
+    most = first.groupBy("g", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("g").agg(F.max_by("component", "size").alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("g", "main")
+    met = first.join(most, "g")
+    left = met.where("component <> main").select("g", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("component_a"))
+    right = met.select("g", F.col("id").alias("b"), F.col("n").alias("n_b"), "component")
+    near = F.lit(percent) * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")
+    pairs = left.join(right, "g").where("component <> component_a").where(near)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept), a row for every input row: the size of the document's set, the smallest
     id reachable over links, and whether that is its own."""
@@ -114,28 +142,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id: st
     )
     links = cut(confirmed(first, texts, shingle, percent))
     labels = components(links)
-    # Later rounds: only buckets of three and more, and only members of other components.
-    place = Window.partitionBy("key").orderBy("id")
-    wide = members.where("size > 2").select("key", "id", "size").join(sized, "id")
-    begun, step, ranked = 2, 4, None
-    while True:
-        seen = (wide if ranked is None else ranked).drop("component").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = seen.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-        seen = seen.join(mixed, "key", "left_semi")
-        ranked = cut(seen.withColumn("place", F.row_number().over(place)) if ranked is None else seen.where(F.col("size") >= begun))
-        if ranked.isEmpty():
-            break
-        hubs = ranked.where(F.col("place").between(begun, begun + step - 1)).select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("component_a"), F.col("place").alias("place_a"))
-        rest = ranked.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), "component", "place")
-        pairs = hubs.join(rest, "key").where("place > place_a and component <> component_a").where(near).select("a", "b", "component_a", "component").distinct()
-        pairs = cut(pairs)
-        found = confirmed(pairs.select("a", "b"), texts, shingle, percent)
-        joined = found.join(pairs, ["a", "b"]).select(F.col("component_a").alias("a"), F.col("component").alias("b"))
-        begun, step = begun + step, step * 4
-        more = cut(joined.distinct())
-        if not more.isEmpty():
-            links = cut(links.union(more))
-            labels = components(links)
+    # What is left: buckets of three and more with members of several components.
+    known = members.where("size > 2").select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    rest = cut(known.join(mixed, "key", "left_semi").select("id", "component").distinct())
+    if not rest.isEmpty():
+        found = confirmed(prefix_pairs(rest, texts, shingle, percent), texts, shingle, percent)
+        links = cut(links.union(found))
+        labels = components(links)
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("mark", "more", "n", F.coalesce("component", "rep").alias("component"))
     own = marks.select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("mark")).alias("mark"), "more")
     component = F.coalesce("component", "id")
