@@ -109,13 +109,14 @@ def prefix_pairs(rest: DataFrame, texts: DataFrame, shingle: int, percent: int)
     # Shingles of one document alone pair nothing, but have their place in the order.
     place = F.row_number().over(Window.partitionBy("id").orderBy("often", "g"))
     first = each.join(often, "g").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("often > 1")
-    first = cut(first.select("g", "id", "component", "n"))
+    first = cut(first.select("g", "id", "component", (F.col("n") - F.col("place") + 1).alias("left"), "n"))
     # Per shingle the members of all components but one meet the others: copies of one component don't meet one another.
     most = first.groupBy("g", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("g").agg(F.max_by("component", "size").alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("g", "main")
     met = first.join(most, "g")
-    left = met.where("component <> main").select("g", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("component_a"))
-    right = met.select("g", F.col("id").alias("b"), F.col("n").alias("n_b"), "component")
-    near = F.lit(percent) * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")
+    left = met.where("component <> main").select("g", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("left").alias("left_a"), F.col("component").alias("component_a"))
+    right = met.select("g", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("left").alias("left_b"), "component")
+    # What comes before two sets' first common shingle is not common; from there on either has `left` shingles at most.
+    near = (F.lit(percent) * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")) & (F.lit(100 + percent) * F.least("left_a", "left_b") >= F.lit(percent) * (F.col("n_a") + F.col("n_b")))
     pairs = left.join(right, "g").where("component <> component_a").where(near)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
