@@ -39,8 +39,16 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         at = to
 
 
+def small_batches(df: DataFrame) -> None:
+    """Has the session send Python at most 8 MB of a task's rows at once, where it would send more. No result depends on it."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if int((conf.get(key, None) or "0").rstrip("bB") or 0) not in range(1, (8 << 20) + 1):
+        conf.set(key, str(8 << 20))
+
+
 def map_slices(df: DataFrame, make: Callable[[], Callable], schema: str, text: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """`make()` runs once in a task; what it returns maps each slice to a dict of columns."""
+    small_batches(df)
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,6 +65,7 @@ def keep_slices(df: DataFrame, make: Callable[[], Callable], text: str = "text",
     """The rows, with all their columns, of which what `make()` returns, given their texts, holds True."""
     if text not in df.columns:
         raise ValueError(f"no column {text}")
+    small_batches(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()

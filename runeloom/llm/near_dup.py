@@ -68,7 +68,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
 
         return step
 
-    return map_slices(docs, make, "id long, n long, mark long, more long, bands array<long>", limit=2 << 20)
+    return map_slices(docs, make, "id long, n long, mark long, more long, bands array<long>", limit=1 << 19)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -90,7 +90,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
     left = docs.select(F.col("id").alias("a"), F.col("text").alias("text"))
     right = docs.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").select("a", "b", "text").join(right, "b").select("a", "b", "text", "text_b")
-    return map_slices(both, make, "a long, b long", limit=2 << 20)
+    return map_slices(both, make, "a long, b long", limit=1 << 19)
 
 
 def prefix_pairs(rest: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -103,7 +103,7 @@ def prefix_pairs(rest: DataFrame, texts: DataFrame, shingle: int, percent: int)
 
         return step
 
-    sets = map_slices(texts.join(rest, "id").select("id", "text", "component"), make, "id long, component long, n long, all array<long>")
+    sets = map_slices(texts.join(rest, "id").select("id", "text", "component"), make, "id long, component long, n long, all array<long>", limit=1 << 19)
     each = sets.where("n > 0").select("id", "component", "n", F.explode("all").alias("g"))
     often = each.groupBy("g").agg(F.count(F.lit(1)).alias("often"))
     # Shingles of one document alone pair nothing, but have their place in the order.
