@@ -34,9 +34,6 @@ class Merges:
     """The merge table of a rank file: a pair merges where its bytes joined are a token."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.vocab = [b""] * (max(ranks.values(), default=-1) + 1)
-        for token, rank in ranks.items():
-            self.vocab[rank] = token
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"the ranks lack single bytes: {missing[:5]}")
@@ -150,9 +147,23 @@ class Merges:
         return [x for x in ids if x >= 0]
 
 
-@lru_cache(2)
+def ranks_of(rank_file: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines())}
+
+
+@lru_cache(1)
 def merges(rank_file: bytes) -> Merges:
-    return Merges({base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines()) if a})
+    return Merges(ranks_of(rank_file))
+
+
+@lru_cache(1)
+def vocabulary(rank_file: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all tokens by id in one array, and the bounds of each."""
+    ranks = ranks_of(rank_file)
+    vocab = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        vocab[rank] = token
+    return np.frombuffer(b"".join(vocab) or b"\0", np.uint8), np.append(0, np.cumsum([len(x) for x in vocab])).astype(np.int64)
 
 
 class Encoder:
@@ -189,7 +200,7 @@ class Encoder:
         return flat, np.append(0, ends)[bounds]
 
 
-@lru_cache(2)
+@lru_cache(1)
 def encoder(rank_file: bytes, pattern: str) -> Encoder:
     return Encoder(merges(rank_file), pattern)
 
@@ -220,10 +231,8 @@ def decode(encoded: DataFrame, path: str, id: str = "doc_id", ids: str = "token_
     ranks = encoded.sparkSession.sparkContext.broadcast(_read(path))
 
     def run(batches):
-        vocab = merges(ranks.value).vocab
-        sizes = np.fromiter(map(len, vocab), np.int64, len(vocab))
-        begins = np.cumsum(sizes) - sizes
-        blob = np.frombuffer(b"".join(vocab) or b"\0", np.uint8)
+        blob, begins = vocabulary(ranks.value)
+        sizes = np.diff(begins)
         for batch in batches:
             at, step = 0, max(1, len(batch) * (1 << 18) // max(1, batch.nbytes // 4))
             while at < len(batch):
@@ -233,7 +242,7 @@ def decode(encoded: DataFrame, path: str, id: str = "doc_id", ids: str = "token_
                 bounds = np.zeros(len(part) + 1, np.int64)
                 np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), out=bounds[1:])
                 flat = lists.flatten().to_numpy(zero_copy_only=False)
-                if len(flat) and (flat.dtype.kind == "f" or flat.min() < 0 or flat.max() >= len(vocab)):
+                if len(flat) and (flat.dtype.kind == "f" or flat.min() < 0 or flat.max() >= len(sizes)):
                     raise ValueError("a token id is null or not in the vocabulary")
                 flat = flat.astype(np.int64)
                 ends = np.cumsum(sizes[flat])

@@ -26,7 +26,7 @@ from .columns import keep_slices, map_slices
 
 BLOCK = 1024
 #: The labelled sample: so many documents of a language, so many characters from the middle of each, so many symbols in all.
-DOCUMENTS, EXCERPT, SYMBOLS = 120, 1500, 40_000
+DOCUMENTS, EXCERPT, SYMBOLS = 120, 1500, 20_000
 #: Letters with a symbol of their own; the rest share one.
 LETTERS = 120
 
@@ -107,7 +107,7 @@ class Model:
             self.roots.append(at)
             self.bits.append(np.log2(max(2, len(text))))
             at += len(own)
-        self.table = np.concatenate(tables).astype(np.int32).ravel() * 1 if tables else np.zeros(0, np.int32)
+        self.table = np.concatenate(tables).astype(np.int32, copy=False).ravel() if tables else np.zeros(0, np.int32)
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bits a symbol of each text by language, and the number of its symbols."""
@@ -149,7 +149,7 @@ class Model:
         return [self.languages[k] if x else "und" for k, x in zip(best, has)], np.where(has, score, 0.0), np.where(has, least, 0.0)
 
 
-@lru_cache(2)
+@lru_cache(1)
 def model(samples: tuple[tuple[str, str], ...]) -> Model:
     return Model(dict(samples))
 
@@ -184,7 +184,7 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], id: str = "d
 
         return step
 
-    return map_slices(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")), make, "id long, lang_pred string, score double, bits double").withColumnRenamed("id", id)
+    return map_slices(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")), make, "id long, lang_pred string, score double, bits double", limit=1 << 20).withColumnRenamed("id", id)
 
 
 def accepted(docs: DataFrame, samples: tuple[tuple[str, str], ...], least: int = 50, text: str = "text") -> DataFrame:
@@ -203,4 +203,4 @@ def accepted(docs: DataFrame, samples: tuple[tuple[str, str], ...], least: int =
 
         return step
 
-    return keep_slices(docs, make, text)
+    return keep_slices(docs, make, text, limit=1 << 20)
