@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from functools import lru_cache
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import map_slices
+from .columns import held, map_slices, release
 
 #: Pieces whose tokens a worker remembers; beyond it all are forgotten.
 CACHED = 250_000
@@ -151,21 +151,6 @@ def ranks_of(rank_file: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines())}
 
 
-@lru_cache(1)
-def merges(rank_file: bytes) -> Merges:
-    return Merges(ranks_of(rank_file))
-
-
-@lru_cache(1)
-def vocabulary(rank_file: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all tokens by id in one array, and the bounds of each."""
-    ranks = ranks_of(rank_file)
-    vocab = [b""] * (max(ranks.values(), default=-1) + 1)
-    for token, rank in ranks.items():
-        vocab[rank] = token
-    return np.frombuffer(b"".join(vocab) or b"\0", np.uint8), np.append(0, np.cumsum([len(x) for x in vocab])).astype(np.int64)
-
-
 class Encoder:
     """Encodes texts. Pieces get slots, and their tokens lie in one array; when the slots are used up, all are forgotten."""
 
@@ -200,9 +185,30 @@ class Encoder:
         return flat, np.append(0, ends)[bounds]
 
 
-@lru_cache(1)
-def encoder(rank_file: bytes, pattern: str) -> Encoder:
-    return Encoder(merges(rank_file), pattern)
+class Ranks:
+    """What a worker keeps of a rank file, each part from when it is first asked for."""
+
+    def __init__(self, rank_file: bytes):
+        self.rank_file = rank_file
+        self._encoders: dict[str, Encoder] = {}
+
+    def encoder(self, pattern: str) -> Encoder:
+        if pattern not in self._encoders:
+            self._encoders = {pattern: Encoder(Merges(ranks_of(self.rank_file)), pattern)}
+        return self._encoders[pattern]
+
+    @cached_property
+    def vocabulary(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all tokens by id in one array, and the bounds of each."""
+        ranks = ranks_of(self.rank_file)
+        vocab = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            vocab[rank] = token
+        return np.frombuffer(b"".join(vocab) or b"\0", np.uint8), np.append(0, np.cumsum([len(x) for x in vocab])).astype(np.int64)
+
+
+def tables(rank_file: bytes) -> Ranks:
+    return held(("ranks", rank_file), lambda: Ranks(rank_file))
 
 
 def _read(path: str) -> bytes:
@@ -215,7 +221,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", text: s
     ranks = docs.sparkSession.sparkContext.broadcast(_read(path))
 
     def make():
-        own = encoder(ranks.value, pattern)
+        own = tables(ranks.value).encoder(pattern)
 
         def step(part: pa.RecordBatch) -> dict:
             flat, bounds = own.encode([x or "" for x in part.column(1).to_pylist()])
@@ -231,7 +237,7 @@ def decode(encoded: DataFrame, path: str, id: str = "doc_id", ids: str = "token_
     ranks = encoded.sparkSession.sparkContext.broadcast(_read(path))
 
     def run(batches):
-        blob, begins = vocabulary(ranks.value)
+        blob, begins = tables(ranks.value).vocabulary
         sizes = np.diff(begins)
         for batch in batches:
             at, step = 0, max(1, len(batch) * (1 << 18) // max(1, batch.nbytes // 4))
@@ -251,5 +257,6 @@ def decode(encoded: DataFrame, path: str, id: str = "doc_id", ids: str = "token_
                 content = blob[np.arange(total) + shift].tobytes()
                 cuts = np.append(0, ends)[bounds].tolist()
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array([content[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary())], names=["id", "token_ids", "content"])
+        release()
 
     return encoded.select(F.col(id).cast("long").alias("id"), F.col(ids).alias("token_ids")).mapInArrow(run, "id long, token_ids array<int>, content binary").withColumnRenamed("id", id)

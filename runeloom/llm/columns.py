@@ -6,7 +6,9 @@ the column's UTF-8 bytes, so a slice of a few megabytes costs a handful of array
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,24 @@ def small_batches(df: DataFrame) -> None:
         conf.set(key, str(8 << 20))
 
 
+_HELD: list[tuple[Any, Any]] = []
+
+
+def held(key: Any, make: Callable[[], Any]) -> Any:
+    """What make() gives, kept by this worker until something else is asked for: one worker serves all operators in turn."""
+    if not _HELD or _HELD[0][0] != key:
+        _HELD.clear()
+        _HELD.append((key, make()))
+    return _HELD[0][1]
+
+
+def release() -> None:
+    """Gives memory that a task no longer needs back to the system, as the worker lives on."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def map_slices(df: DataFrame, make: Callable[[], Callable], schema: str, text: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """`make()` runs once in a task; what it returns maps each slice to a dict of columns."""
     small_batches(df)
@@ -57,6 +77,7 @@ def map_slices(df: DataFrame, make: Callable[[], Callable], schema: str, text: s
             for part in slices(batch, text, limit):
                 got = step(part)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x := got[f.name], pa.Array) else pa.array(x, f.type) for f in out], schema=out)
+        release()
 
     return df.mapInArrow(run, schema)
 
@@ -72,6 +93,7 @@ def keep_slices(df: DataFrame, make: Callable[[], Callable], text: str = "text",
         for batch in batches:
             for part in slices(batch, text, limit):
                 yield part.filter(pa.array(step(part.column(text))))
+        release()
 
     return df.mapInArrow(run, df.schema)
 

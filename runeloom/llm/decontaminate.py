@@ -22,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import ALNUM, Words, map_slices, mix
+from .columns import ALNUM, Words, map_slices, mix, release, slices, small_batches
 
 SEED, RARE, BLOCK = 3, 0.001, 16 << 20
+#: Bytes of documents that are searched at once.
+SLICE = 1 << 20
 SLACK = 6
 
 
@@ -169,20 +171,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.4, id: str = "
     docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).where("text is not null and id is not null")
+    small_batches(docs)
     found = []
     for own in blocks(items, block):
         sent = spark.sparkContext.broadcast(own)
 
         def count(batches, sent=sent):
-            from .columns import slices
-
             total, rows = np.zeros(len(sent.value.keys), np.int64), 0
             for batch in batches:
-                for part in slices(batch, "text"):
+                for part in slices(batch, "text", SLICE):
                     words = Words(part.column(0), ALNUM)
                     at, key = sent.value.hits(words)
                     total += np.bincount(np.unique(words.row[at] * np.int64(len(total) + 1) + key) % (len(total) + 1), minlength=len(total) + 1)[: len(total)]
                     rows += len(part)
+            release()
             seen = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(total[seen], rows))], names=["seed", "n"])
 
@@ -200,7 +202,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.4, id: str = "
 
             return step
 
-        found.append(map_slices(docs, make, "id long, item_id long, score double, start long, end long"))
+        found.append(map_slices(docs, make, "id long, item_id long, score double, start long, end long", limit=SLICE))
     if not found:
         found = [spark.createDataFrame([], "id long, item_id long, score double, start long, end long")]
     best = reduce(DataFrame.union, found).groupBy("id", "item_id").agg(F.max(F.struct("score", (-F.col("start")).alias("start"), "end")).alias("best"))

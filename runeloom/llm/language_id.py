@@ -15,14 +15,13 @@ A symbol is a lower-cased letter; runs of anything else are one gap. Null texts
 from __future__ import annotations
 
 from collections import Counter
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import keep_slices, map_slices
+from .columns import held, keep_slices, map_slices
 
 BLOCK = 1024
 #: The labelled sample: so many documents of a language, so many characters from the middle of each, so many symbols in all.
@@ -31,7 +30,6 @@ DOCUMENTS, EXCERPT, SYMBOLS = 120, 1500, 20_000
 LETTERS = 120
 
 
-@lru_cache(1)
 def letter_table() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
@@ -149,9 +147,8 @@ class Model:
         return [self.languages[k] if x else "und" for k, x in zip(best, has)], np.where(has, score, 0.0), np.where(has, least, 0.0)
 
 
-@lru_cache(1)
 def model(samples: tuple[tuple[str, str], ...]) -> Model:
-    return Model(dict(samples))
+    return held(("languages", samples), lambda: Model(dict(samples)))
 
 
 def learn(labelled: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[tuple[str, str], ...]:

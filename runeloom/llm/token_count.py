@@ -19,7 +19,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import map_slices
+from .columns import held, map_slices
 
 #: Units in the broadcast table, and documents that are read to choose them: a cache, without bearing on any count.
 FREQUENT, SAMPLED = 50_000, 500
@@ -88,9 +88,6 @@ def frequent(docs: DataFrame, model: bytes, size: int = FREQUENT, sampled: int =
     return " ".join(x for x, _ in kept), bytes(n for _, n in kept)
 
 
-_COUNTERS: dict[int, Counter2] = {}
-
-
 def count_tokens(docs: DataFrame, path: str, limit: int = 4096, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of every whole text. path: the model's file, read by the driver."""
     with open(path, "rb") as f:
@@ -100,11 +97,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096, id: str = "doc_i
 
     def make():
         own, (joined, lengths) = sent.value
-        key = hash((own, joined))
-        if key not in _COUNTERS:
-            _COUNTERS.clear()
-            _COUNTERS[key] = Counter2(own, dict(zip(joined.split(" "), lengths)) if joined else {})
-        counter = _COUNTERS[key]
+        counter = held(("pieces", own, joined), lambda: Counter2(own, dict(zip(joined.split(" "), lengths)) if joined else {}))
 
         def step(part: pa.RecordBatch) -> dict:
             texts = [x or "" for x in part.column(1).to_pylist()]
