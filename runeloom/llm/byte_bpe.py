@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .columns import held, map_slices, release
 
 #: Pieces whose tokens a worker remembers; beyond it all are forgotten.
-CACHED = 250_000
+CACHED = 120_000
 #: Longer pieces are merged with a heap, so that one long run of letters costs n log n.
 WIDEST = 128
 _NONE = np.int32(2**31 - 1)
@@ -229,7 +229,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", text: s
 
         return step
 
-    return map_slices(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")), make, "id long, token_ids array<int>", limit=1 << 20).withColumnRenamed("id", id)
+    return map_slices(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")), make, "id long, token_ids array<int>", limit=1 << 19).withColumnRenamed("id", id)
 
 
 def decode(encoded: DataFrame, path: str, id: str = "doc_id", ids: str = "token_ids") -> DataFrame:
