@@ -47,7 +47,6 @@ class Rewriter:
 
     def __init__(self, map_: Map, judge: Judge):
         self.map, self.judge, self.index = map_, judge, map_.index()
-        self.budget = sum(map(len, self.index.values())) + 1
         granted = "tags" in judge.law.hazards
         self.allowed = lru_cache(4096)(lambda c: judge.inside(c) or (granted and _CLASS.get(c) == "tag-character"))
         self.granted = granted
@@ -62,15 +61,15 @@ class Rewriter:
                     return len(source), to, word
         return None
 
-    def _expand(self, to: str, budget: int) -> str:
-        """The replacement rewritten to its own fixed point."""
+    def _expand(self, to: str, within: tuple[str, ...]) -> str:
+        """The replacement rewritten to its own fixed point. There are finitely many, so one without a fixed point comes within itself."""
         if to.isascii() and all(map(self.allowed, to)):
             return to
-        if budget <= 0:
+        if to in within:
             raise MapCycle("a map entry leads back to itself")
-        return self._walk(to, {}, set(), {}, budget - 1)[0]
+        return self._walk(to, {}, set(), {}, (*within, to))[0]
 
-    def _walk(self, text: str, hazards: dict[int, bool], kept: set[int], restores: dict[int, tuple[int, str]], budget: int):
+    def _walk(self, text: str, hazards: dict[int, bool], kept: set[int], restores: dict[int, tuple[int, str]], within: tuple[str, ...] = ()):
         """(output, spans (from, to, written), unmapped places of the output)."""
         out: list[str] = []
         last, length = "", 0  # last character written; length of the output
@@ -105,7 +104,7 @@ class Rewriter:
                         if not n or any(k in kept for k in range(at, at + n)):
                             found = None
                         else:
-                            to = self._expand(to, budget)
+                            to = self._expand(to, within)
                             found = (n, to, word) if all(map(self.allowed, to)) else None
                     if found is None and hazards.get(at):
                         found = (1, "", False)
@@ -137,7 +136,7 @@ class Rewriter:
                 if at not in kept and (name := judge.hazard_at(text, at, exempt)) and not (self.granted and name == "tag-character"):
                     hazards[at] = name != "control-character"
         restores = {at: (n, said) for at, n, said in double_encoded(text)}
-        return self._walk(text, hazards, kept, restores, self.budget)
+        return self._walk(text, hazards, kept, restores)
 
     def fix(self, text: str) -> Fixed:
         if text.isascii() and not self.judge.suspect.search(text):
