@@ -69,7 +69,7 @@ class Engine:
         return [n for n in catalog.names() if any(a <= ord(character) <= b for a, b in catalog.resolve(n))]
 
     def init(self, documents: DataFrame, keep_fixable: bool = False) -> list[str]:
-        return set_ops.draft(documents, self.config, keep_fixable)
+        return set_ops.draft(documents, self.config, keep_fixable, lambda: icu.locales(self.spark))
 
     def guard(self, events: DataFrame, payload: str = "payload") -> DataFrame:
         return guard_ops.guard(events, self.bench, payload)

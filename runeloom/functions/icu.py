@@ -66,3 +66,11 @@ def locale_set(spark: SparkSession):
         return tuple((own.getRangeStart(k), own.getRangeEnd(k)) for k in range(own.getRangeCount()))
 
     return find
+
+
+@lru_cache(1)
+def locales(spark: SparkSession) -> dict[str, list[Range]]:
+    """Letters of every language by its bare code, and its rarer letters by code and `-aux`."""
+    find = locale_set(spark)
+    codes = sorted({x.getLanguage() for x in _icu(spark).util.ULocale.getAvailableLocales()} - {""})
+    return {n: list(r) for code in codes for n in (code, f"{code}-aux") if (r := find(n))}

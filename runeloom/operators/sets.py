@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,22 +47,47 @@ def needed(documents: DataFrame) -> DataFrame:
     return found.groupBy("pattern", "character").agg(F.count_distinct("path").alias("files"), F.min("path").alias("first"))
 
 
-def cover(needed_points: set[int], catalog: Catalog, locales: dict[str, list[chars.Range]] | None = None) -> list[str] | None:
-    """Sets that cover the characters, chosen greedily: the largest gain, then the smaller set, then the earlier one; presets, then
-    locales. None if they can't: then only `any` does."""
+#: Letters of loan words in English text, tried before all other locales.
+LOANS = "en-aux"
+Pool = dict[str, list[chars.Range]]
+
+
+def _most(pool: Pool, left: set[int]) -> str | None:
+    """The set with the largest gain, of equal ones the smaller, then the earlier."""
+    gains = [(-sum(chars.contains(r, c) for c in left), chars.size(r), k, n) for k, (n, r) in enumerate(pool.items())]
+    return min(gains)[3] if gains and min(gains)[0] else None
+
+
+def _whole(locales: Pool, left: set[int]) -> str | None:
+    """The locale that holds all: loan letters, or else languages before variants, then the smaller, then by name."""
+    return min((n for n, r in locales.items() if all(chars.contains(r, c) for c in left)), key=lambda n: (n != LOANS, "-" in n, chars.size(locales[n]), n), default=None)
+
+
+def letters(locales: Pool, left: set[int]) -> list[str] | None:
+    """One locale if it is a language or the loan letters, else the language that holds the most and a locale for the rest."""
+    whole = _whole(locales, left)
+    if whole and (whole == LOANS or "-" not in whole):
+        return [whole]
+    first = _most({n: r for n, r in locales.items() if "-" not in n}, left)
+    second = first and _whole(locales, {c for c in left if not chars.contains(locales[first], c)})
+    return [first, second] if second else [whole] if whole else None
+
+
+def cover(needed_points: set[int], catalog: Catalog, locales: Callable[[], Pool] | None = None) -> list[str] | None:
+    """Sets that cover the characters: presets greedily, then locales, which are looked up only for what is left. None if they
+    can't: then only `any` does."""
     left, out = set(needed_points), []
-    for pool in ({n: catalog.resolve(n) for n in DRAFTED if n in catalog.sets}, locales or {}):
-        while left:
-            gains = [(-sum(chars.contains(r, c) for c in left), chars.size(r), k, n) for k, (n, r) in enumerate(pool.items())]
-            best = min(gains, default=(0,))
-            if not best[0]:
-                break
-            out.append(best[3])
-            left = {c for c in left if not chars.contains(pool[best[3]], c)}
-    return None if left else out
-
-
-def draft(documents: DataFrame, config: Config, keep_fixable: bool = False, locales: dict[str, list[chars.Range]] | None = None) -> list[str]:
+    presets = {n: catalog.resolve(n) for n in DRAFTED if n in catalog.sets}
+    while best := _most(presets, left):
+        out.append(best)
+        left = {c for c in left if not chars.contains(presets[best], c)}
+    if not left:
+        return out
+    more = letters(locales(), left) if locales else None
+    return None if more is None else out + more
+
+
+def draft(documents: DataFrame, config: Config, keep_fixable: bool = False, locales: Callable[[], Pool] | None = None) -> list[str]:
     """Rule lines that grant what a corpus holds, by file type; characters that the map rewrites to ASCII need no grant, hazards get
     none. Collects a row for each file type and distinct character."""
     hazards = config.catalog.resolve("hazard")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,8 +55,6 @@ def lossy(files: DataFrame) -> DataFrame:
 
 def capped(files: DataFrame, size: int = 16 << 20) -> DataFrame:
     """Contents cut at `size` bytes, back to a whole character and before an unfinished emoji sequence of up to 64 bytes."""
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def cut(body: pd.Series) -> pd.Series:
         def one(x):

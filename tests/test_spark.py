@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from runeloom import queries
 from runeloom.engine import Config, Engine
+from runeloom.functions import icu
 from runeloom.operators import check, report, rules, sets
 from runeloom.sources import files
 
@@ -54,7 +55,7 @@ def test_files(spark, tmp_path):
     assert sorted(tuple(r) for r in check.skipped(found).collect()) == [("x.txt", "not-utf8", 6, 2, 3), ("y.bin", "binary", None, None, None)]
     assert [r.path for r in files.text_of(found).collect()] == ["z.txt"]
     assert [r.path for r in Engine(spark).check(found).collect()] == ["z.txt"]
-    assert files.named(found, ["z.txt", "./", "z.txt"]).count() == 1
+    assert files.named(found, ["z.txt", "z.txt"]).count() == 1 and files.named(found, ["z.txt", "./"]).count() == 3
     assert files.capped(found, 4).where("path = 'x.txt'").first().content == b"ok\n"
 
 
@@ -78,11 +79,15 @@ def test_located_agrees_with_scan(spark):
 
 
 def test_cover_and_draft(spark):
-    catalog = Config().catalog
-    assert sets.cover({0x2014, 0x2264}, catalog) == ["caveman", "typography"]
+    catalog, locales = Config().catalog, lambda: icu.locales(spark)
+    assert sets.cover({0x2192, 0x2234, 0xA9}, catalog) == ["caveman", "legal"]
+    assert sets.cover({0x2014, 0x2264}, catalog) == ["typography", "math"]  # equal gains: the smaller set, then the earlier
     assert sets.cover({0x2014}, catalog) == ["typography"] and sets.cover({0x4E00}, catalog) is None
-    docs = spark.createDataFrame([("a.md", "≤​"), ("b.rs", "一")], "path string, text string")
-    assert Engine(spark).init(docs) == ["* ascii", "*.md ascii+caveman", "*.rs any"]
+    assert sets.cover({0xE9, 0xF3, 0x107, 0x142, 0x17C}, catalog, locales) == ["pl", "en-aux"]
+    assert sets.cover({0xE9}, catalog, locales) == ["en-aux"] and len(sets.cover({0x105, 0x142}, catalog, locales)) == 1
+    assert sets.cover({0x2020}, catalog, locales) is None and sets.cover({0x142, 0x2020}, catalog, locales) is None
+    docs = spark.createDataFrame([("a.md", "\u2264\u200b"), ("b.rs", "\ue000"), ("c.txt", "\u0142\u017c")], "path string, text string")
+    assert Engine(spark).init(docs) == ["* ascii", "*.md ascii+math", "*.rs any", "*.txt ascii+pl"]
 
 
 def test_locales_and_sequences(spark):
