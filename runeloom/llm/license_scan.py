@@ -1,7 +1,9 @@
 """License notices inside documents, by patience alignment with templates.
 
-A region of the text is a stretch around runs of three words that a template holds too, no longer than the template
-by more than half. The region and the template are aligned: words that occur once in both are anchors, the longest
+A run of three words that a template holds too says where a copy of the template would begin. Places are tried in the order
+of how many runs speak for them, and each copy is aligned alone, between the copies found before, in a region as
+long as the template, or longer by a quarter or a half at each end if more is aligned then. A stretch of runs with one copy
+at most is also aligned as a whole. The region and the template are aligned: words that occur once in both are anchors, the longest
 run of anchors in order is kept, and the gaps between them are aligned the same way (equal words at a gap's ends are
 taken first). Coverage is the share of the template's words that are aligned.
 
@@ -12,6 +14,7 @@ broadcast. A template needs three words. Null and empty texts hold nothing; repe
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,22 +81,79 @@ def aligned(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def regions(templates: Items, words: Words) -> list[tuple[int, int, int, int]]:
-    """(row, template, first word, end word) of stretches that hold a run of a template."""
+def copies(body: np.ndarray, hashes: np.ndarray, place: np.ndarray, shift: np.ndarray, low: int, high: int, least: float) -> list[list[tuple[int, int]]]:
+    """The copies of a template among the words low to high of a text, each as pairs of (template word, text word).
+
+    place, in order, and shift have the word and the word less its place in the template of each seed hit."""
+    size, inside = len(body), np.unique(body)
+    words = body.tolist()
+
+    def fits(a: int, b: int) -> list[tuple[int, int]]:
+        if b - a < least * size or np.isin(hashes[a:b], inside).sum() < least * size:  # an upper bound of what can be aligned
+            return []
+        pairs = aligned(words, hashes[a:b].tolist())
+        return [(i, a + k) for i, k in pairs] if len(pairs) >= least * size else []
+
+    found: list[list[tuple[int, int]]] = []
+    starts: list[int] = []
+    live = np.ones(len(place), bool)
+    order = np.argsort(shift, kind="stable")
+    heads = np.flatnonzero(np.append(True, np.diff(shift[order]) > 0))
+    tails = np.append(heads[1:], len(order))
+    for n in np.argsort(heads - tails, kind="stable").tolist():
+        if not live[order[heads[n] : tails[n]]].any():
+            continue
+        at, k = int(shift[order[heads[n]]]), int(place[order[heads[n]]])
+        k = bisect_left(starts, k)
+        left, right = found[k - 1][-1][1] + 1 if k else low, starts[k] if k < len(starts) else high
+        best: list[tuple[int, int]] = []
+        for more in dict.fromkeys((0, size // 4, size // 2)):
+            pairs = fits(max(left, at - more), min(right, at + size + more))
+            if len(pairs) > len(best):
+                best = pairs
+        if best:
+            found.insert(k, best)
+            starts.insert(k, best[0][1])
+            live[np.searchsorted(place, best[0][1]) : np.searchsorted(place, best[-1][1] + 1)] = False
+    # a stretch that holds one copy at most is aligned as a whole too, as its words may stand far apart
+    first = int(place[0])
+    for n, here in enumerate(place.tolist()):
+        if n + 1 == len(place) or place[n + 1] - first > size + size // 2:
+            a, b = max(low, first - size // 2), min(high, here + size)
+            met = _overlapping(found, a, b)
+            if len(met) <= 1 and (not met or len(found[met[0]]) < size) and (pairs := fits(a, b)):
+                met = _overlapping(found, pairs[0][1], pairs[-1][1] + 1)
+                if len(met) <= 1 and all(len(found[k]) < len(pairs) for k in met):
+                    k = met[0] if met else sum(x[0][1] < pairs[0][1] for x in found)
+                    found[k : k + len(met)] = [pairs]
+            if n + 1 < len(place):
+                first = int(place[n + 1])
+    return found
+
+
+def _overlapping(found: list[list[tuple[int, int]]], a: int, b: int) -> list[int]:
+    """Numbers of the passages, which lie in order, that share a word with a to b, two at most."""
+    k = bisect_left(found, a, key=lambda x: x[-1][1])
+    return [n for n in (k, k + 1) if n < len(found) and found[n][0][1] < b]
+
+
+def passages(templates: Items, words: Words, least: float) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    """(row, template, pairs) of every copy of a template."""
     at, key = templates.hits(words)
-    found: dict[tuple[int, int], list[int]] = {}
-    for place, k in zip(at.tolist(), key.tolist()):
-        for t in set(templates.item[templates.first[k] : templates.first[k + 1]].tolist()):
-            found.setdefault((int(words.row[place]), t), []).append(place)
-    out = []
-    for (row, t), places in found.items():
-        size = int(templates.from_[t + 1] - templates.from_[t])
-        first = places[0]
-        for n, place in enumerate(places):
-            if n + 1 == len(places) or places[n + 1] - first > size + size // 2:
-                out.append((row, t, max(int(words.from_[row]), first - size // 2), min(int(words.from_[row + 1]), place + size)))
-                first = places[n + 1] if n + 1 < len(places) else first
-    return out
+    repeat = templates.first[key + 1] - templates.first[key]
+    which = np.repeat(templates.first[key], repeat) + np.arange(repeat.sum()) - np.repeat(np.cumsum(repeat) - repeat, repeat)
+    at = np.repeat(at, repeat)
+    t, row = templates.item[which], words.row[at]
+    size = templates.from_[t + 1] - templates.from_[t]
+    fit = np.flatnonzero(words.from_[row + 1] - words.from_[row] >= least * size)
+    fit = fit[np.lexsort((at[fit], t[fit], row[fit]))]
+    at, t, row, shift = at[fit], t[fit], row[fit], (at - (templates.place[which] - templates.from_[t]))[fit]
+    bounds = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(t) != 0))) if len(at) else at
+    for i, j in zip(bounds.tolist(), [*bounds[1:].tolist(), len(at)]):
+        r, k = int(row[i]), int(t[i])
+        body = templates.hashes[templates.from_[k] : templates.from_[k + 1]]
+        for pairs in copies(body, words.hashes, at[i:j], shift[i:j], int(words.from_[r]), int(words.from_[r + 1]), least):
+            yield r, k, pairs
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = 0.8, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -112,21 +172,20 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least:
             words = Words(part.column(1), ALNUM)
             points = None
             out: list[list] = [[] for _ in range(len(part))]
-            for row, t, a, b in regions(own, words):
-                body = own.hashes[own.from_[t] : own.from_[t + 1]].tolist()
-                pairs = aligned(body, words.hashes[a:b].tolist())
-                if len(pairs) >= least * len(body):
-                    if points is None:
-                        points = np.append(0, np.cumsum((words.data & 0xC0) != 0x80))
-                    base = points[words.bounds[row]]
-                    out[row].append((-len(pairs), -len(pairs) / len(body), int(points[words.starts[a + pairs[0][1]]] - base), int(points[words.ends[a + pairs[-1][1]] - 1] + 1 - base), names[t]))
+            for row, t, pairs in passages(own, words, least):
+                if points is None:
+                    points = np.append(0, np.cumsum((words.data & 0xC0) != 0x80))
+                base = points[words.bounds[row]]
+                size = int(own.from_[t + 1] - own.from_[t])
+                out[row].append((-len(pairs), -len(pairs) / size, int(points[words.starts[pairs[0][1]]] - base), int(points[words.ends[pairs[-1][1]] - 1] + 1 - base), names[t]))
             for row, found in enumerate(out):
                 if found:
                     kept: list = []
                     for x in sorted(found):
-                        if all(x[3] <= y[2] or x[2] >= y[3] for y in kept):
-                            kept.append(x)
-                    out[row] = [{"license": x[4], "coverage": -x[1], "start": x[2], "end": x[3]} for x in sorted(kept, key=lambda x: x[2])]
+                        k = bisect_left(kept, x[2], key=lambda y: y[2])
+                        if (not k or kept[k - 1][3] <= x[2]) and (k == len(kept) or kept[k][2] >= x[3]):
+                            kept.insert(k, x)
+                    out[row] = [{"license": x[4], "coverage": -x[1], "start": x[2], "end": x[3]} for x in kept]
             return {"id": part.column(0), "licenses": out}
 
         return step

@@ -158,6 +158,24 @@ def test_license_scan(spark):
         license_scan.scan(table(spark, rows), [("Z", "x" * (license_scan.TEMPLATES + 1))])
 
 
+@pytest.mark.parametrize("between", ["", "and", "so it is", "one two three four five six"])
+def test_license_copies_close_together(spark, between):
+    """Each of several adjacent copies is found alone, edited ones too."""
+    notice = "Licensed under the Apache License, Version 2.0."
+    edited = "Licensed under the Apache License, Release 2.0."
+    rows, expected = [], {}
+    for n in range(1, 11):
+        for k, each in enumerate(([notice] * n, [notice, edited] * n)):
+            text, spans = "Some prose of the author stands before it. ", []
+            for x in each:
+                spans.append((len(text), len(text) + len(x) - 1))
+                text += x + " " + between + " "
+            rows.append((2 * n + k, text + "And some more prose stands after it."))
+            expected[2 * n + k] = spans
+    got = by_id(license_scan.scan(table(spark, rows), [("Apache-2.0", notice)]))
+    assert {k: [(x.start, x.end) for x in r.licenses] for k, r in got.items()} == expected
+
+
 def test_license_query_finds_every_notice(spark):
     """Every notice that stands word for word in a document is found."""
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
