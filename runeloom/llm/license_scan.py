@@ -2,7 +2,8 @@
 
 A run of three words that a template holds too says where a copy of the template would begin. Places are tried in the order
 of how many runs speak for them, and each copy is aligned alone, between the copies found before, in a region as
-long as the template, or longer by a quarter or a half at each end if more is aligned then. A stretch of runs with one copy
+long as the template, or longer by a quarter or a half at each end if more is aligned then; a place within an eighth of
+the template's length of one that was tried isn't tried. A stretch of runs with one copy
 at most is also aligned as a whole. The region and the template are aligned: words that occur once in both are anchors, the longest
 run of anchors in order is kept, and the gaps between them are aligned the same way (equal words at a gap's ends are
 taken first). Coverage is the share of the template's words that are aligned.
@@ -13,8 +14,9 @@ broadcast. A template needs three words. Null and empty texts hold nothing; repe
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from .columns import ALNUM, Words, map_slices
 from .decontaminate import Items
 
 TEMPLATES = 16 << 20
-#: Notices as they stand in files; whole license texts can be given as further templates.
+#: Notices of one line as they stand in files.
 NOTICES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
@@ -41,6 +43,11 @@ NOTICES = [
 ]
 
 
+def texts() -> list[tuple[str, str]]:
+    """Whole license texts and the standard headers of files, from the folder beside this module."""
+    return [(p.name.removesuffix(".txt").removesuffix(".header"), p.read_text("utf-8")) for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))]
+
+
 def aligned(a: list, b: list) -> list[tuple[int, int]]:
     """Pairs of equal words of a and b, in order, by patience alignment."""
     out: list[tuple[int, int]] = []
@@ -85,11 +92,11 @@ def copies(body: np.ndarray, hashes: np.ndarray, place: np.ndarray, shift: np.nd
     """The copies of a template among the words low to high of a text, each as pairs of (template word, text word).
 
     place, in order, and shift have the word and the word less its place in the template of each seed hit."""
-    size, inside = len(body), np.unique(body)
-    words = body.tolist()
+    size, words = len(body), body.tolist()
+    upto = np.append(0, np.cumsum(np.isin(hashes[low:high], body)))
 
     def fits(a: int, b: int) -> list[tuple[int, int]]:
-        if b - a < least * size or np.isin(hashes[a:b], inside).sum() < least * size:  # an upper bound of what can be aligned
+        if b <= a or upto[b - low] - upto[a - low] < least * size:  # an upper bound of what can be aligned
             return []
         pairs = aligned(words, hashes[a:b].tolist())
         return [(i, a + k) for i, k in pairs] if len(pairs) >= least * size else []
@@ -100,11 +107,18 @@ def copies(body: np.ndarray, hashes: np.ndarray, place: np.ndarray, shift: np.nd
     order = np.argsort(shift, kind="stable")
     heads = np.flatnonzero(np.append(True, np.diff(shift[order]) > 0))
     tails = np.append(heads[1:], len(order))
+    tried: list[int] = []
     for n in np.argsort(heads - tails, kind="stable").tolist():
-        if not live[order[heads[n] : tails[n]]].any():
+        alive = order[heads[n] : tails[n]]
+        alive = alive[live[alive]]
+        if not len(alive):
+            continue
+        at = int(shift[alive[0]])
+        k = bisect_left(tried, at - size // 8)
+        if k < len(tried) and tried[k] <= at + size // 8:  # its regions lie within those tried there
             continue
-        at, k = int(shift[order[heads[n]]]), int(place[order[heads[n]]])
-        k = bisect_left(starts, k)
+        insort(tried, at)
+        k = bisect_left(starts, int(place[alive[0]]))
         left, right = found[k - 1][-1][1] + 1 if k else low, starts[k] if k < len(starts) else high
         best: list[tuple[int, int]] = []
         for more in dict.fromkeys((0, size // 4, size // 2)):
@@ -158,8 +172,9 @@ def passages(templates: Items, words: Words, least: float) -> Iterator[tuple[int
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = 0.8, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, licenses array of (license, coverage, start, end)), a row for every input row: the passages, in code
-    points, that cover at least `least` of a template; of overlapping ones the one with more aligned words."""
-    templates = NOTICES if templates is None else templates
+    points, that cover at least `least` of a template; of overlapping ones the one with more aligned words, less the
+    template's words that aren't aligned. The templates are NOTICES and texts() unless others are given."""
+    templates = NOTICES + texts() if templates is None else templates
     if sum(len(x.encode()) for _, x in templates) > TEMPLATES:
         raise ValueError(f"the templates have more than {TEMPLATES} bytes")
     names = [x for x, _ in templates]
@@ -177,7 +192,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least:
                     points = np.append(0, np.cumsum((words.data & 0xC0) != 0x80))
                 base = points[words.bounds[row]]
                 size = int(own.from_[t + 1] - own.from_[t])
-                out[row].append((-len(pairs), -len(pairs) / size, int(points[words.starts[pairs[0][1]]] - base), int(points[words.ends[pairs[-1][1]] - 1] + 1 - base), names[t]))
+                out[row].append((size - 2 * len(pairs), -len(pairs) / size, int(points[words.starts[pairs[0][1]]] - base), int(points[words.ends[pairs[-1][1]] - 1] + 1 - base), names[t]))
             for row, found in enumerate(out):
                 if found:
                     kept: list = []

@@ -176,6 +176,20 @@ def test_license_copies_close_together(spark, between):
     assert {k: [(x.start, x.end) for x in r.licenses] for k, r in got.items()} == expected
 
 
+def test_license_texts(spark, tmp_path):
+    """The query finds license texts and file headers, and tells a text from those that hold most of it."""
+    known = license_scan.texts()
+    rows = [(k, f"Copyright 2020 A. Author\n\n{x}\n\nint main() {{ return 0; }}") for k, (_, x) in enumerate(known)]
+    rows += [(100 + k, "".join("# " + line + "\n" for line in x.splitlines()) + "import os") for k, (_, x) in enumerate(known)]
+    rows += [(200, "The MIT License was chosen, and the terms of the license apply to all copies of the software."), (201, "word " * 3000)]
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = by_id(queries.op3_license_scan(spark, str(tmp_path)))
+    assert len({name for name, _ in known}) > 20
+    for k, (name, _) in enumerate(known):
+        assert (got[k].license, got[100 + k].license, got[k].n_licenses, got[100 + k].n_licenses) == (name, name, 1, 1)
+    assert got[200].n_licenses == got[201].n_licenses == 0
+
+
 def test_license_query_finds_every_notice(spark):
     """Every notice that stands word for word in a document is found."""
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
