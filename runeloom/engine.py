@@ -71,8 +71,8 @@ class Engine:
     def init(self, documents: DataFrame, keep_fixable: bool = False) -> list[str]:
         return set_ops.draft(documents, self.config, keep_fixable, lambda: icu.locales(self.spark))
 
-    def guard(self, events: DataFrame, payload: str = "payload") -> DataFrame:
-        return guard_ops.guard(events, self.bench, payload)
+    def guard(self, events: DataFrame, payload: str = "payload", files: DataFrame | None = None) -> DataFrame:
+        return guard_ops.guard(events, self.bench, payload, files)
 
     def lints_in(self, text: str) -> list[tuple[int, str]]:
         """Hazards of one text."""

@@ -197,12 +197,21 @@ def guard_events(spark, d):
     return out.select("conv_id", "turn", "event", "verdict", F.col("findings").cast("long").alias("n"))
 
 
+def guard_reads(spark, d):
+    table = docs(spark, d, INJECTED)
+    call = F.struct(F.lit("PreToolUse").alias("hook_event_name"), F.lit("Read").alias("tool_name"), F.lit("/corpus").alias("cwd"), F.struct(F.concat(F.lit("./"), F.col("path")).alias("file_path")).alias("tool_input"))
+    events = table.select("path", F.to_json(call).alias("payload"))
+    body = F.expr("CASE WHEN path LIKE '%5.%' THEN concat(encode(text, 'UTF-8'), X'FF') ELSE encode(text, 'UTF-8') END")
+    out = engine(spark, RULES).guard(events, files=table.select(F.concat(F.lit("/corpus/"), F.col("path")).alias("path"), body.alias("content")))
+    return out.select("path", "event", "verdict", F.col("findings").cast("long").alias("n"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         check_summary, scan_located, stats_outside, stats_total, sets_needed, sets_containing, sets_coalesced, sets_listing, init_draft, rules_resolved, paths_normal, files_skipped,
         check_findings, check_tally, check_lint_tally, check_levels, check_human, check_human_first, check_strict, check_remedies, check_json, check_sarif, fix_documents, fix_rewrites, fix_leftovers, stats_files,
-        lints_unicode, lints_mixed_script, guard_events,
+        lints_unicode, lints_mixed_script, guard_events, guard_reads,
     )
 }
 
@@ -290,4 +299,6 @@ s AS (SELECT k.lint AS lint, sum(length(text) - length(replace(text, k.ch, '')))
     "guard_events": f"""
 WITH d AS (SELECT conv_id, turn, {injected_sql()} AS t FROM conversations), n AS (SELECT *, length(t) - length(replace(t, {quoted(chr(0x202E))}, '')) AS b, length(t) - length(replace(t, {quoted(chr(0x200B))}, '')) AS z FROM d)
 SELECT conv_id, turn, 'output' AS event, CASE WHEN b > 0 THEN 'block' WHEN z > 0 THEN 'note' ELSE 'silent' END AS verdict, (b + z)::BIGINT AS n FROM n""",
+    "guard_reads": _FOUND + f""", a AS (SELECT path, count(*) AS found, count(*) FILTER (WHERE set = 'hazard') AS hazards, count(*) FILTER (WHERE ch = chr(8238)) AS b FROM f GROUP BY path), g AS (SELECT d.path, d.path LIKE '%5.%' AS odd, a.* EXCLUDE (path) FROM d LEFT JOIN a USING (path))
+SELECT path, 'read' AS event, CASE WHEN b > 0 THEN 'deny' WHEN found > 0 AND NOT odd THEN 'note' ELSE 'silent' END AS verdict, (CASE WHEN odd AND b > 0 THEN hazards WHEN odd THEN 0 ELSE coalesce(found, 0) END)::BIGINT AS n FROM g""",
 }

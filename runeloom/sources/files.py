@@ -61,7 +61,7 @@ def capped(files: DataFrame, size: int = 16 << 20) -> DataFrame:
             if x is None or len(x) <= size:
                 return x
             end = size
-            while end and x[end] & 0xC0 == 0x80:
+            while end > max(0, size - 3) and x[end] & 0xC0 == 0x80:  # a character has at most three such bytes; others aren't text
                 end -= 1
             tail = x[max(0, end - 64) : end].decode(errors="ignore")
             k = len(tail)

@@ -1,27 +1,37 @@
 """A stateless screen of tool events: one payload in, one decision out; the same function for a batch and for a stream.
 
-A payload is JSON with hook_event_name, tool_name and tool_response. What an event's output holds decides: tag characters and
+A payload is JSON with hook_event_name, tool_name and tool_response, or for a file that is about to be read (PreToolUse and
+Read) tool_input.file_path and cwd; a read event may hold the text itself as `content`. What an event's output holds decides: tag characters and
 direction overrides block, other hazards are noted, anything else passes in silence. Strings and keys are visited
 with their place, 256 levels deep. A payload that isn't JSON is searched as it stands, with \\u escapes decoded, for blocking
 characters alone. A null payload passes.
+
+Read events are joined with a table of files. The first CAP bytes of a file are judged by the law of its path, as seen from
+cwd: blocking characters deny the read, other findings are noted, and so is that only a part was judged. What isn't text is
+judged for hazards, less control characters, as it is shown (decoded lossily), and is denied or passes in silence. A read
+of a file that the table doesn't hold is decided by the payload alone.
 """
 
 from __future__ import annotations
 
 import json
+import posixpath
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import chars
-from ..functions.judge import Judge
+from ..functions.judge import Judge, unreadable
 from ..operators.check import Bench
-from ..plans.config import Law
+from ..plans.config import LINTS, Law
+from ..sources import files as sources
 
 SCHEMA = "event string, verdict string, reason string, findings int, decision string"
 DEPTH = 256
+CAP = 16 << 20
 _BLOCK = re.compile("[\U000e0000-\U000e007f\u202a-\u202e\u2066-\u2069]")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
 
@@ -83,22 +93,85 @@ def decide(payload: str | None, judge: Judge) -> tuple[str, str, str | None, int
     return kind, "note", reason, len(found), json.dumps({"hookSpecificOutput": {"hookEventName": event_name, "additionalContext": reason}})
 
 
-def guard(events: DataFrame, bench: Bench | None = None, payload: str = "payload") -> DataFrame:
-    """The events, a batch or a stream, with what is decided about each."""
+def target(payload: str | None) -> tuple[str | None, str | None]:
+    """The file that a read event names: its normal path, and the same as seen from cwd."""
+    try:
+        event = json.loads(payload or "")
+        if event.get("hook_event_name") != "PreToolUse" or event.get("tool_name") != "Read":
+            return None, None
+        path, cwd = event["tool_input"]["file_path"], event.get("cwd")
+    except (ValueError, RecursionError, KeyError, TypeError, AttributeError):
+        return None, None
+    if not isinstance(path, str) or not path:
+        return None, None
+    cwd = cwd if isinstance(cwd, str) else ""
+    normal = lambda x: re.sub("^//+", "/", posixpath.normpath(x)).encode("utf-8", "replace").decode()
+    full = normal(posixpath.join(cwd, path))
+    base = normal(cwd).rstrip("/") + "/" if cwd else ""
+    return full, full.removeprefix(base)
+
+
+def decide_file(content: bytes, size: int, shown: str, own: Bench) -> tuple[str, str, str | None, int, str | None]:
+    """As decide(), for the first bytes of a file of `size` bytes that is about to be read."""
+    text = not unreadable(content)
+    if text:
+        found = [(lint, c) for _, lint, _, c in own.judge(own.law(shown)).findings(content.decode())]
+    else:
+        found = [(lint, c) for _, lint, _, c in own.judge(Law(sets=("any",))).findings(content.decode(errors="replace")) if LINTS[lint] == "hazard" and lint != "control-character"]
+    hazards = [(lint, c) for lint, c in found if LINTS[lint] == "hazard"]
+    tally: dict[str, int] = {}
+    for lint, _ in found:
+        tally[lint] = tally.get(lint, 0) + 1
+    name = "".join(c if " " <= c <= "~" else f"<{chars.spelled(ord(c))}>" for c in shown)
+    said = "; ".join(f"{x}: {n}" for x, n in tally.items())
+    if first := next((c for _, c in hazards if _BLOCK.match(c)), None):
+        reason = f"hidden or direction-changing text in {name}{'' if text else ', which is not text'} ({said}), first <{chars.spelled(ord(first))}>"
+        return "read", "deny", reason, len(found), json.dumps({"hookSpecificOutput": {"hookEventName": "PreToolUse", "permissionDecision": "deny", "permissionDecisionReason": reason}})
+    notes = [f"{name} holds characters that its rules report ({said})"] if text and found else []
+    if text and size > len(content):
+        notes.append(f"only the first {len(content)} of {size} bytes of {name} were judged")
+    if not notes:
+        return "read", "silent", None, 0, None
+    reason = "; ".join(notes)
+    return "read", "note", reason, len(found), json.dumps({"hookSpecificOutput": {"hookEventName": "PreToolUse", "additionalContext": reason}})
+
+
+def guard(events: DataFrame, bench: Bench | None = None, payload: str = "payload", files: DataFrame | None = None, cap: int = CAP) -> DataFrame:
+    """The events, a batch or a stream, with what is decided about each. `files` has the columns path and content, each path once."""
     from ..plans.config import Config
 
     sent = events.sparkSession.sparkContext.broadcast(bench or Bench(Config(), (), frozenset()))
     names = [f for f in events.columns if f not in {x.split()[0] for x in SCHEMA.split(", ")}]
+    typed = lambda df: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    made = ["event", "verdict", "reason", "findings", "decision"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         judge = own.judge(Law(sets=("any",)))  # what an event holds is judged for hazards alone
         for batch in batches:
-            rows = [decide(x, judge) for x in batch.column(payload).to_pylist()]
+            payloads = batch.column(payload)
+            if "_content" in batch.schema.names:
+                rows = [decide(p.as_py(), judge) if not c.is_valid else decide_file(c.as_py(), n.as_py(), shown.as_py(), own) for p, c, n, shown in zip(payloads, *(batch.column(x) for x in ("_content", "_size", "_shown")))]
+            else:
+                rows = [decide(x, judge) for x in payloads.to_pylist()]
             columns = list(zip(*rows)) if rows else [()] * 5
-            made = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "event", "verdict", "reason", "findings", "decision"])
+            new = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), *new], names=[*names, *made])
 
     kept = events.select(*names)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", " + SCHEMA
-    return kept.mapInArrow(run, schema)
+    schema = typed(kept) + ", " + SCHEMA
+    if files is None:
+        return kept.mapInArrow(run, schema)
+
+    def aim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [target(x) for x in batch.column(payload).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([x[k] for x in at], pa.string()) for k in (0, 1))], names=[*batch.schema.names, "_full", "_shown"])
+
+    aimed = kept.mapInArrow(aim, typed(kept) + ", _full string, _shown string")
+    # events that read nothing aren't joined: their null paths would all meet in one task
+    others = aimed.where("_full is null").select(*names).mapInArrow(run, schema)
+    table = sources.capped(files.select(sources.normal_path(F.col("path")).alias("_path"), "content", F.octet_length("content").cast("long").alias("_size")), cap)
+    table = table.withColumnRenamed("content", "_content")
+    reads = aimed.where("_full is not null").join(table, F.col("_full") == F.col("_path"), "left")
+    return others.union(reads.select(*names, "_shown", "_size", "_content").mapInArrow(run, schema))

@@ -9,6 +9,7 @@ from runeloom.engine import Config, Engine
 from runeloom.functions import icu
 from runeloom.operators import check, report, rules, sets
 from runeloom.sources import files
+from runeloom.streaming import guard
 
 DATA = "/root/testdata/sf0.001"
 
@@ -109,6 +110,27 @@ def test_guard_batch_and_stream_agree(spark, tmp_path):
     assert {r.k: (r.event, r.verdict) for r in spark.table("guarded").collect()} == batch
 
 
+def test_guard_joins_reads_with_files(spark, tmp_path):
+    call = lambda path, cwd="/w", **more: json.dumps({"hook_event_name": "PreToolUse", "tool_name": "Read", "cwd": cwd, "tool_input": {"file_path": path}} | more)
+    bodies = {"bidi.md": "x\u202ey\n".encode(), "dash.md": "a \u2014 b\n".encode(), "dash.de": "a \u2014 b\n".encode(), "zw.md": "a\u200bb\n".encode(), "plain.md": b"plain\n",
+              "image": b"\x00\xff\x01" + "\u200b".encode(), "trap": b"\xff" + "\u202e".encode(), "long.md": b"a" * 60 + b"\n", "late.md": b"a" * 60 + "\u202e".encode(), "odd": b"\x80" * 60 + "\u202e".encode()}
+    files = spark.createDataFrame([(f"/w/{k}", v) for k, v in bodies.items()], "path string, content binary")
+    asked = {"bidi.md": "deny", "./sub/../bidi.md": "deny", "/w/bidi.md": "deny", "dash.md": "note", "dash.de": "silent", "zw.md": "note", "plain.md": "silent", "image": "silent", "trap": "deny", "missing.md": "silent", "long.md": "note", "late.md": "note", "odd": "silent"}
+    payloads = [call(k) for k in asked] + [call("w/bidi.md", "/"), call("bidi.md", tool_name="Edit"), call(7), None, "{bad \\u202e"]
+    expected = dict(enumerate([("read", x) for x in asked.values()] + [("read", "deny"), ("other", "silent"), ("read", "silent"), ("other", "silent"), ("unparsed", "block")]))
+    spark.createDataFrame(list(enumerate(payloads)), "k int, payload string").write.parquet(str(tmp_path / "in"))
+    bench = Engine(spark, rules=["*.de any"]).bench
+    screen = lambda events: guard.guard(events, bench, files=files, cap=50)
+    rows = {r.k: r for r in screen(spark.read.parquet(str(tmp_path / "in"))).collect()}
+    assert {k: (r.event, r.verdict) for k, r in rows.items()} == expected
+    assert "only the first 50 of 61 bytes of long.md" in rows[list(asked).index("long.md")].reason
+    stream = screen(spark.readStream.schema("k int, payload string").parquet(str(tmp_path / "in")))
+    query = stream.writeStream.format("memory").queryName("reads").option("checkpointLocation", str(tmp_path / "c")).start()
+    query.processAllAvailable()
+    query.stop()
+    assert {r.k: (r.event, r.verdict) for r in spark.table("reads").collect()} == expected
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
 @pytest.mark.parametrize("name", list(queries.QUERIES))
 def test_queries(spark, name):
