@@ -25,7 +25,7 @@ from .columns import held, keep_slices, map_slices
 
 BLOCK = 1024
 #: The labelled sample: so many documents of a language, so many characters from the middle of each, so many symbols in all.
-DOCUMENTS, EXCERPT, SYMBOLS = 120, 1500, 20_000
+DOCUMENTS, EXCERPT, SYMBOLS = 120, 1500, 40_000
 #: Letters with a symbol of their own; the rest share one.
 LETTERS = 120
 
@@ -153,7 +153,7 @@ def model(samples: tuple[tuple[str, str], ...]) -> Model:
 
 def learn(labelled: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[tuple[str, str], ...]:
     """Training text by language, from a bounded sample of the labelled rows: about DOCUMENTS of each language in
-    the order of a hash of the id, EXCERPT characters of each. Rows with a null label, id or text have no part."""
+    the order of a hash of the id, EXCERPT characters of each, of which a model learns the first SYMBOLS. Rows with a null label, id or text have no part."""
     rows = labelled.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("lang is not null and id is not null and text is not null")
     counts = rows.groupBy("lang").count().collect()
     if not counts:

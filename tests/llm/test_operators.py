@@ -98,6 +98,12 @@ def phrases(code, train):
     return n
 
 
+def test_language_sample_size():
+    """The first 40,000 symbols of a long sample are learnt."""
+    learnt = language_id.Model({"en": "the dog is " * 10_000, "de": "der hund " * 100})
+    assert [round(2**x) for x in learnt.bits] == [len("der hund " * 100) - 1, 40_000]
+
+
 def test_language_odd_texts(spark):
     got = by_id(language_id.identify(table(spark, list(enumerate(ODD))), (("de", "der hund ist"), ("en", "the dog is"))))
     assert len(got) == len(ODD)
