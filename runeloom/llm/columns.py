@@ -1,7 +1,7 @@
 """Arrow columns as numpy arrays, and the word fingerprints that several operators share.
 
-Texts never become Python objects here: a word's fingerprint is the difference of two prefix sums over
-the column's UTF-8 bytes, so a slice of a few megabytes costs a handful of array operations.
+Texts never become Python objects here: words are fingerprinted from the column's UTF-8 bytes, so a slice of a few
+megabytes costs a handful of array operations.
 """
 
 from __future__ import annotations
@@ -106,28 +106,28 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 mix = _mix
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Two primes and a base for each: a word's fingerprint is its bytes' polynomial modulo both, which no known pairs of words defeat.
+_FIELDS = ((2**31 - 1, 1_203_418_267), (2**31 - 19, 748_291_603))
+_POWERS: list[np.ndarray] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first powers of an odd base and of its inverse, modulo 2 ** 64."""
-    if not _POWERS or len(_POWERS[0][0]) < n:
-        n = max(n, 1 << 16)
+def _powers(n: int) -> list[np.ndarray]:
+    """The first n powers, or more, of each field's base."""
+    if not _POWERS or len(_POWERS[0]) < n:
         made = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            each = np.full(n, base, np.uint64)
-            each[0] = 1
-            made.append(np.multiply.accumulate(each))
-        if n > 64 << 20:
-            return made[0], made[1]
-        _POWERS[0] = (made[0], made[1])
-    return _POWERS[0]
-
-
-_VALUES = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-#: A byte's value with A-Z lower-cased.
-LOWER = _VALUES[[b + 32 if 65 <= b <= 90 else b for b in range(256)]]
+        for prime, base in _FIELDS:
+            own = np.ones(1, np.uint64)
+            while len(own) < max(n, 1 << 12):
+                own = np.concatenate([own, own * np.uint64(pow(base, len(own), prime)) % np.uint64(prime)])
+            made.append(own)
+        if n > 1 << 20:  # for one very long word; not kept
+            return made
+        _POWERS[:] = made
+    return _POWERS
+
+
+#: A byte's value with A-Z lower-cased; none is 0.
+LOWER = np.array([(b + 32 if 65 <= b <= 90 else b) + 1 for b in range(256)], np.uint64)
 SPACED = np.array([b not in WHITE for b in range(256)])
 #: ASCII letters and digits, and every byte of a character beyond ASCII.
 ALNUM = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
@@ -153,14 +153,27 @@ class Words:
         first[heads] = inside[heads]
         last[tails] = inside[tails]
         self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-        sums = np.zeros(len(data) + 1, np.uint64)
-        powers, inverse = _powers(len(data) + 1)
-        np.cumsum(LOWER[data] * powers[: len(data)], out=sums[1:])
-        self.hashes = _mix((sums[self.ends] - sums[self.starts]) * inverse[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        self.hashes = self._fingerprints(LOWER[data[inside]], self.ends - self.starts)
         #: Word k of text i lies at from_[i] <= k < from_[i + 1].
         self.from_ = np.searchsorted(self.starts, self.bounds)
         self.row = np.repeat(np.arange(len(column)), np.diff(self.from_))
 
+    @staticmethod
+    def _fingerprints(values: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """A fingerprint of each word, from the values of all words' bytes in a row."""
+        if not len(size):
+            return np.zeros(0, np.uint64)
+        begin = np.cumsum(size) - size
+        place = np.arange(len(values)) - np.repeat(begin, size)
+        longest = int(size.max())
+        out = size.astype(np.uint64)
+        for (prime, _), powers in zip(_FIELDS, _powers(longest)):
+            part = values * powers[place]
+            if longest >= 1 << 24:  # below it a sum stays under 2 ** 64
+                part %= np.uint64(prime)
+            out = _mix(out * np.uint64(0xD6E8FEB86659FD93) + np.add.reduceat(part, begin) % np.uint64(prime))
+        return out
+
     def shingles(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Fingerprints of all runs of n words, and the text of each; a text of fewer words is one run."""
         count = np.diff(self.from_)
