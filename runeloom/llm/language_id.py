@@ -5,11 +5,13 @@ greedily: each phrase is the longest match from where the last one ended, and a
 transition is left. Phrases times log2 of the training length, over the text's length, estimates the bits a
 symbol costs in that language; the language with the fewest such normalised phrases wins.
 
-Texts are parsed in lock-step: whole texts are cut into blocks of BLOCK symbols (a phrase also ends at the end
-of a block), and each step moves all blocks through all automata with one table lookup.
+Texts are parsed in lock-step. A long text is cut into blocks that are parsed as if a phrase began with each; then
+the phrase that is open at the end of a block is carried on into the next until it and the block's own parse begin a phrase at
+the same symbol, from where they are one. So the phrases are those of the whole text, however it was cut.
 
 A symbol is a lower-cased letter; runs of anything else are one gap. Null texts and texts without a letter are
-`und` with score 0, as is every text when nothing could be learnt. Of equal languages the first by name wins.
+`und` with score 0, as is every text when nothing could be learnt. Of equal languages the first by name wins. Repeated
+rows are judged each, an empty table gives no rows, and columns but the id and the text have no part in a prediction.
 """
 
 from __future__ import annotations
@@ -21,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import held, keep_slices, map_slices
+from .columns import keep_slices, map_slices
 
 BLOCK = 1024
-#: The labelled sample: so many documents of a language, so many characters from the middle of each, so many symbols in all.
-DOCUMENTS, EXCERPT, SYMBOLS = 120, 1500, 40_000
+#: The labelled sample: at most so many rows of a language, with at most so many characters in all.
+DOCUMENTS, CHARACTERS = 120, 300_000
 #: Letters with a symbol of their own; the rest share one.
 LETTERS = 120
 
@@ -37,7 +39,7 @@ def letter_table() -> np.ndarray:
 def symbols(texts: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The symbols of all texts in a row, with n + 1 bounds; gaps at a text's ends go."""
     lowered = [x.lower() for x in texts]
-    points = np.frombuffer("".join(lowered).encode("utf-32-le"), np.uint32)
+    points = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
     row = np.repeat(np.arange(len(texts)), [len(x) for x in lowered])
     code = codes[points]
     head = np.ones(len(code), bool)
@@ -50,8 +52,8 @@ def symbols(texts: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return code, np.searchsorted(row, np.arange(len(texts) + 1))
 
 
-def automaton(text: np.ndarray, size: int) -> np.ndarray:
-    """Transitions of the suffix automaton by state and symbol; where none is left, ~(state after the symbol alone)."""
+def automaton(text: np.ndarray) -> list[dict[int, int]]:
+    """Transitions of the suffix automaton, by state; state 0 is the root."""
     after: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in text.tolist():
@@ -77,18 +79,47 @@ def automaton(text: np.ndarray, size: int) -> np.ndarray:
                     at = link[at]
                 link[to] = link[new] = copy
         last = new
-    root = np.zeros(size, np.int32)
-    for c, to in after[0].items():
-        root[c] = to
-    table = np.tile(~root, (len(after), 1))
-    for state, edges in enumerate(after):
-        if edges:
-            table[state, list(edges)] = list(edges.values())
-    return table
+    return after
+
+
+def packed(after: list[dict[int, int]], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The transitions with their rows laid over one another: the one of a state and a symbol, if there is one, stands at
+    base[state] + symbol, where owner holds the state and to the target. Rows of several are put, large ones first, where drawn
+    places are free; rows of one fill what is left."""
+    width = np.fromiter(map(len, after), np.int64, len(after))
+    marks = np.fromiter((c for x in after for c in x), np.int64, int(width.sum()))
+    targets = np.fromiter((t for x in after for t in x.values()), np.int32, len(marks))
+    first = np.cumsum(width) - width
+    room = 2 * len(marks) + size
+    owner, to = np.full(room + size, -1, np.int32), np.zeros(room + size, np.int32)
+    base = np.zeros(len(after), np.int32)
+    rng = np.random.default_rng(11)
+    for low, high in ((9, size), (5, 8), (3, 4), (2, 2)):
+        todo = np.flatnonzero((width >= low) & (width <= high))
+        while len(todo):
+            n = width[todo]
+            row = np.repeat(np.arange(len(todo)), n)
+            at = np.repeat(first[todo], n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            drawn = rng.integers(0, room, len(todo))
+            cell = drawn[row] + marks[at]
+            fits = np.bincount(row, owner[cell] >= 0, len(todo)) == 0
+            open_ = fits[row]
+            owner[cell[open_]] = todo[row[open_]]  # of rows drawn to one cell the last stays in it
+            mine = open_ & (owner[cell] == todo[row])
+            won = np.bincount(row, mine, len(todo)) == n
+            owner[cell[mine & ~won[row]]] = -1
+            base[todo[won]] = drawn[won]
+            to[cell[won[row]]] = targets[at[won[row]]]
+            todo = todo[~won]
+    single = np.flatnonzero(width == 1)
+    free = np.flatnonzero(owner[size:] < 0)[: len(single)] + size
+    base[single] = free - marks[first[single]]
+    owner[free], to[free] = single, targets[first[single]]
+    return base, owner, to
 
 
 class Model:
-    """Automata of all languages in one table."""
+    """Automata of all languages in one table; about 30 bytes for each symbol that was learnt."""
 
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
@@ -97,42 +128,106 @@ class Model:
         for k, (c, _) in enumerate(seen.most_common(LETTERS)):
             self.codes[ord(c)] = k + 2
         self.size = min(len(seen), LETTERS) + 2
-        tables, self.bits, self.roots, at = [], [], [], 0
-        for x in self.languages:
-            text = symbols([samples[x]], self.codes)[0][:SYMBOLS]
-            own = automaton(text, self.size)
-            tables.append(np.where(own < 0, own - at, own + at))
-            self.roots.append(at)
-            self.bits.append(np.log2(max(2, len(text))))
-            at += len(own)
-        self.table = np.concatenate(tables).astype(np.int32, copy=False).ravel() if tables else np.zeros(0, np.int32)
+        parts: list[tuple[np.ndarray, ...]] = []
+        bits, roots, states, cells = [], [], 0, 0
+        self.single = np.zeros((len(self.languages), self.size), np.int32)  # the state after a symbol alone, or the root
+        for k, x in enumerate(self.languages):
+            text = symbols([samples[x]], self.codes)[0]
+            after = automaton(text)
+            base, owner, to = packed(after, self.size)
+            parts.append((base + cells, np.where(owner < 0, -1, owner + states), to + states))
+            self.single[k] = states
+            for c, target in after[0].items():
+                self.single[k, c] = target + states
+            roots.append(states)
+            bits.append(np.log2(max(2, len(text))))
+            states, cells = states + len(after), cells + len(owner)
+        self.bits, self.roots = np.array(bits), np.array(roots, np.int32)
+        self.base, self.owner, self.to = (np.concatenate(x).astype(np.int32, copy=False) for x in zip(*parts)) if parts else (np.zeros(0, np.int32),) * 3
+
+    def _step(self, state: np.ndarray, symbol: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after a symbol each, and where a new phrase begins with it."""
+        at = self.base[state] + symbol
+        fresh = self.owner[at] != state
+        return np.where(fresh, single, self.to[at]), fresh
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bits a symbol of each text by language, and the number of its symbols."""
         code, bounds = symbols(texts, self.codes)
         size = np.diff(bounds)
-        blocks = -(-size // BLOCK)
-        row = np.repeat(np.arange(len(texts)), blocks)
-        begin = bounds[row] + BLOCK * (np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
-        length = np.minimum(begin + BLOCK, bounds[row + 1]) - begin
-        order = np.argsort(-length, kind="stable")
-        row, begin, length = row[order], begin[order], length[order]
         total = np.zeros((len(self.languages), len(texts)), np.int64)
-        if len(row):
-            padded = np.append(code, np.zeros(BLOCK, np.uint8))
-            matrix = np.ascontiguousarray(padded[begin[:, None] + np.arange(length[0])].T).astype(np.int32)
-            active = np.searchsorted(-length, -np.arange(length[0]), "left")  # blocks longer than j
-            state = np.repeat(np.array(self.roots, np.int32)[:, None], len(row), 1)
-            phrases = np.ones(state.shape, np.int32)
-            size_ = np.int32(self.size)
-            for j, n in enumerate(active.tolist()):
-                to = self.table[state[:, :n] * size_ + matrix[j, :n]]
-                fresh = to >> 31  # -1 where a phrase begins
-                phrases[:, :n] -= fresh
-                state[:, :n] = to ^ fresh
+        for cut in (False, True):
+            some = np.flatnonzero((size > BLOCK) if cut else (size > 0) & (size <= BLOCK))
+            if not len(some) or not self.languages:
+                continue
+            blocks = -(-size[some] // BLOCK)
+            row = np.repeat(some, blocks)
+            number = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            begin = bounds[row] + BLOCK * number
+            length = np.minimum(begin + BLOCK, bounds[row + 1]) - begin
+            count, state, fresh = self._parse(code, begin, length, cut)
+            if cut:
+                count += self._joined(code, begin, length, number, fresh, state)
             for k in range(len(self.languages)):
-                total[k] = np.bincount(row, phrases[k], len(texts))
-        return total * np.array(self.bits)[:, None] / np.maximum(size, 1), size
+                total[k] += np.bincount(row, count[k], len(texts)).astype(np.int64)
+        return total * self.bits[:, None] / np.maximum(size, 1), size
+
+    def _parse(self, code: np.ndarray, begin: np.ndarray, length: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """Each block parsed alone: the number of its phrases and the state at its end by language, and if they are to be kept
+        the places where a phrase begins, by place, language and block."""
+        order = np.argsort(-length, kind="stable")
+        widest = int(length[order[0]])
+        active = np.searchsorted(-length[order], -np.arange(widest), "left")  # blocks longer than j
+        at = begin[order]
+        state = np.repeat(self.roots[:, None], len(begin), 1)
+        count = np.ones(state.shape, np.int64)
+        fresh = np.zeros((widest, *state.shape), bool) if keep else None
+        for j, n in enumerate(active.tolist()):
+            symbol = code[at[:n] + j].astype(np.int32)
+            state[:, :n], now = self._step(state[:, :n], symbol, self.single[:, symbol])
+            count[:, :n] += now
+            if fresh is not None:
+                fresh[j, :, order[:n]] = now.T
+        counts, ends = np.empty_like(count), np.empty_like(state)
+        counts[:, order], ends[:, order] = count, state
+        return counts, ends, fresh
+
+    def _joined(self, code: np.ndarray, begin: np.ndarray, length: np.ndarray, number: np.ndarray, fresh: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """What is to be added to the phrases of each block, as one that isn't a text's first is entered with a phrase open."""
+        later = np.flatnonzero(number)
+        more = np.zeros(state.shape, np.int64)
+        # A first symbol that the language lacks begins two phrases of a block that is parsed alone, but one of a block that is entered.
+        more[:, later] -= fresh[0][:, later]
+        fresh[0] = True
+        entered = np.zeros_like(state)  # the state in which each later block is entered
+        entered[:, later] = state[:, later - 1]
+        lang, block = np.repeat(np.arange(len(state)), len(later)), np.tile(later, len(state))
+        alone = more.copy()
+        while len(block):
+            own = entered[lang, block]
+            got = alone[lang, block]
+            left = state[lang, block]  # as the block's own parse leaves it, unless the two don't meet
+            alive = np.arange(len(block))
+            for j in range(int(length[block].max())):
+                ended = length[block[alive]] <= j
+                left[alive[ended]] = own[alive[ended]]
+                alive = alive[~ended]
+                if not len(alive):
+                    break
+                l, b = lang[alive], block[alive]
+                symbol = code[begin[b] + j].astype(np.int32)
+                own[alive], now = self._step(own[alive], symbol, self.single[l, symbol])
+                begins = fresh[j, l, b]
+                got[alive] += now.astype(np.int64) - begins
+                alive = alive[~(now & begins)]
+            left[alive] = own[alive]
+            more[lang, block] = got
+            # A block that was left in another state than was thought is followed by one to be entered anew.
+            following = np.minimum(block + 1, len(begin) - 1)
+            again = (following > block) & (number[following] > 0) & (entered[lang, following] != left)
+            entered[lang[again], following[again]] = left[again]
+            lang, block = lang[again], following[again]
+        return more
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score from 0 to 1 and bits a symbol of each text."""
@@ -147,33 +242,47 @@ class Model:
         return [self.languages[k] if x else "und" for k, x in zip(best, has)], np.where(has, score, 0.0), np.where(has, least, 0.0)
 
 
-def model(samples: tuple[tuple[str, str], ...]) -> Model:
-    return held(("languages", samples), lambda: Model(dict(samples)))
-
-
 def learn(labelled: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[tuple[str, str], ...]:
-    """Training text by language, from a bounded sample of the labelled rows: about DOCUMENTS of each language in
-    the order of a hash of the id, EXCERPT characters of each, of which a model learns the first SYMBOLS. Rows with a null label, id or text have no part."""
+    """Training text by language, from a bounded sample of the labelled rows: in the order of a hash of the id at most
+    DOCUMENTS whole texts of a language, those that still fit into CHARACTERS in all, or the shortest of them if none fits.
+    Rows with a null label, id or text have no part; an empty table teaches nothing."""
     rows = labelled.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("lang is not null and id is not null and text is not null")
     counts = rows.groupBy("lang").count().collect()
     if not counts:
         return ()
     place: Column = F.pmod(F.xxhash64("id"), F.lit(1_000_000))
     share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, 3 * DOCUMENTS / r["count"]))])
-    middle = F.greatest(F.lit(1), ((F.length("text") - EXCERPT) / 2).cast("int") + 1)
-    picked = rows.where(place < share[F.col("lang")] * 1_000_000).select("lang", F.xxhash64("id").alias("h"), "id", F.col("text").substr(middle, F.lit(EXCERPT)).alias("text")).collect()
+    drawn = rows.where(place < share[F.col("lang")] * 1_000_000)
+    # Rows that repeat an id are no more than one: the first by text hash.
+    sized = drawn.groupBy("lang", F.xxhash64("id").alias("h"), "id").agg(F.min(F.struct(F.xxhash64("text").alias("mark"), F.length("text").alias("n"))).alias("one")).select("lang", "h", "id", "one.*").collect()
     by: dict[str, list] = {}
-    for r in sorted(picked, key=lambda r: (r.lang, r.h, r.id)):
-        by.setdefault(r.lang, []).append(r.text)
-    return tuple((k, " ".join(v[:DOCUMENTS])) for k, v in sorted(by.items()))
+    for r in sorted(sized, key=lambda r: (r.lang, r.h, r.id)):
+        by.setdefault(r.lang, []).append(r)
+    chosen: dict[tuple[str, int, int], None] = {}
+    for name, found in by.items():
+        left, n = CHARACTERS, 0
+        for r in found:
+            if n < DOCUMENTS and r.n <= left:
+                chosen[name, r.id, r.mark] = None
+                left, n = left - r.n, n + 1
+        if not n:
+            r = min(found, key=lambda r: r.n)
+            chosen[name, r.id, r.mark] = None
+    texts = {(r.lang, r.id, r.mark): r.text for r in drawn.where(F.col("id").isin([k for _, k, _ in chosen])).withColumn("mark", F.xxhash64("text")).dropDuplicates(["lang", "id", "mark"]).collect()}
+    return tuple((name, " ".join(texts[k] for k in chosen if k[0] == name)) for name in sorted(by))
+
+
+def _sent(docs: DataFrame, samples: tuple[tuple[str, str], ...]):
+    """The model, made by the driver and broadcast: its size is bounded by that of the sample."""
+    return docs.sparkSession.sparkContext.broadcast(Model(dict(samples)))
 
 
 def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, lang_pred, score, bits) of every whole text, by what learn() returned."""
-    sent = docs.sparkSession.sparkContext.broadcast(samples)
+    sent = _sent(docs, samples)
 
     def make():
-        own = model(sent.value)
+        own = sent.value
 
         def step(part: pa.RecordBatch) -> dict:
             lang, score, bits = own.predict(part.column(1).to_pylist())
@@ -187,10 +296,10 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], id: str = "d
 def accepted(docs: DataFrame, samples: tuple[tuple[str, str], ...], least: int = 50, text: str = "text") -> DataFrame:
     """The documents, with all their columns, whose text is in a learnt language: it has letters, and where there are
     at least `least` symbols, they cost no more bits than evenly drawn ones would. If nothing was learnt, all stay."""
-    sent = docs.sparkSession.sparkContext.broadcast(samples)
+    sent = _sent(docs, samples)
 
     def make():
-        own = model(sent.value)
+        own = sent.value
 
         def step(column: pa.Array) -> np.ndarray:
             if not own.languages:
