@@ -1,15 +1,20 @@
 """Test items that leaked into training documents.
 
-Words are runs of letters and digits, with A-Z lower-cased. A first pass over all documents counts in how many
-each run of SEED words of the items occurs; a run in at most RARE of the documents is a rare seed. A second pass
-joins every whole document with the items over the seeds, and aligns an item (Smith-Waterman over words: 2 for
-a match, -1 for a mismatch or a gap) with the passage where it has a rare seed, or three seeds at about the same
-offset, so that an item that leaked into most documents is found as well. A pair is reported if the best local
-alignment reaches `least` of the score of a whole copy.
+Words are runs of letters and digits, with A-Z lower-cased. A seed is an ordered pair of words of an item at most REACH
+words apart, however far apart they are within that reach, so that it outlives words put in, left out or replaced beside it. A
+first pass over all documents counts in how many each seed occurs. Of the seeds that begin in each stretch of STRETCH words of
+an item the KEPT rarest are its rare seeds: rarity is a rank among the item's own seeds, so whether a copy is found doesn't
+depend on how many documents there are. A second pass joins every whole document with the items over the rare seeds. Where
+at least two of an item's lie within reach of one another (one, if it has no more), the item is aligned with the passage
+around them (Smith-Waterman over words: 2 for a match, -1 for a mismatch or a gap). The passage is as wide as any alignment
+through a seed can be that scores `least`: all gaps of an item of n words come to at most 2 * (1 - least) * n. A pair is reported if
+the best local alignment reaches `least` of the score of a whole copy.
 
 Items are taken in blocks of BLOCK bytes of text, each broadcast and joined with all documents, so any number of
-items is dealt with. Items of fewer than SEED words or with null text are never found; null and empty documents hold
-nothing. Repeated items and documents are reported each.
+items is dealt with. An item of one word or none, or with null text, is never found; null and empty documents hold
+nothing, and empty tables give no rows. Repeated items and documents are reported each, and so are those with a null id.
+Other columns have no part. An alignment holds one row of its matrix at a time, so a long item with a long passage takes
+time, but no more memory than they do.
 """
 
 from __future__ import annotations
@@ -22,54 +27,75 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import ALNUM, Words, map_slices, mix, release, slices, small_batches
+from .columns import ALNUM, Words, keep_slices, map_slices, mix, release, slices, small_batches
 
-SEED, RARE, BLOCK = 3, 0.001, 16 << 20
-#: Bytes of documents that are searched at once.
-SLICE = 1 << 20
-SLACK = 6
+REACH, STRETCH, KEPT, BLOCK = 3, 8, 10, 16 << 20
+#: Bytes of documents that are searched at once, and cells of alignment rows held at once.
+SLICE, CELLS = 1 << 20, 1 << 20
 
 
-def seeds_of(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprint of the run of SEED words at each word of a column, and which of them lie in one text."""
+def pairs_of(words: Words, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprint of each word of a column with the one `reach` later, and whether both lie in one text."""
     n = len(words.hashes)
-    made = np.zeros(n, np.uint64)
-    ok = np.zeros(n, bool)
-    if n >= SEED:
-        run = words.hashes[: n - SEED + 1]
-        for k in range(1, SEED):
-            run = mix(run * np.uint64(0xD6E8FEB86659FD93) + words.hashes[k : n - SEED + 1 + k])
-        made[: len(run)] = run
-        ok[: len(run)] = words.row[: len(run)] == words.row[SEED - 1 :]
+    made, ok = np.zeros(n, np.uint64), np.zeros(n, bool)
+    if n > reach:
+        made[: n - reach] = mix(words.hashes[: n - reach] * np.uint64(0xD6E8FEB86659FD93) + words.hashes[reach:])
+        ok[: n - reach] = words.row[: n - reach] == words.row[reach:]
     return made, ok
 
 
 class Items:
     """Test items with an index of their seeds."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int | None], texts: list[str]):
         words = Words(pa.array(texts, pa.string()), ALNUM)
-        self.ids = np.array(ids, np.int64)
+        self.ids = pa.array(ids, pa.int64())
         self.hashes, self.from_ = words.hashes, words.from_
-        made, ok = seeds_of(words)
-        at = np.flatnonzero(ok)
-        order = np.argsort(made[at], kind="stable")
-        self.place = at[order]  # the word at which each seed begins, by fingerprint
-        self.item = words.row[self.place]
-        self.keys, first = np.unique(made[self.place], return_index=True)
-        self.first = np.append(first, len(self.place))
-        self.quick = np.zeros(1 << 20, bool)
-        self.quick[self.keys >> np.uint64(44)] = True
+        made, at = [], []
+        for reach in range(1, REACH + 1):
+            own, ok = pairs_of(words, reach)
+            at.append(np.flatnonzero(ok))
+            made.append(own[at[-1]])
+        key, place = np.concatenate(made), np.concatenate(at)
+        order = np.lexsort((place, key))
+        self.place, self.item = place[order], words.row[place[order]]  # of each seed, by fingerprint
+        self.keys, first = np.unique(key[order], return_index=True)
+        self.first = np.append(first, len(order))
+        self._index()
+
+    def _index(self) -> None:
+        self.quick = np.zeros(1 << 22, bool)
+        self.quick[self.keys >> np.uint64(42)] = True
+
+    def keep(self, often: np.ndarray) -> Items:
+        """The same items with their rare seeds alone; often: in how many documents each seed occurs."""
+        key = np.repeat(np.arange(len(self.keys)), np.diff(self.first))
+        stretch = (self.place - self.from_[self.item]) // STRETCH
+        order = np.lexsort((self.keys[key], often[key], stretch, self.item))
+        item, part = self.item[order], stretch[order]
+        head = np.flatnonzero(np.append(True, (item[1:] != item[:-1]) | (part[1:] != part[:-1]))) if len(order) else order
+        rank = np.arange(len(order)) - np.repeat(head, np.diff(np.append(head, len(order))))
+        rare = np.sort(order[rank < KEPT])
+        own = Items.__new__(Items)
+        own.ids, own.hashes, own.from_ = self.ids, self.hashes, self.from_
+        own.place, own.item = self.place[rare], self.item[rare]
+        own.keys, first = np.unique(self.keys[key[rare]], return_index=True)
+        own.first = np.append(first, len(rare))
+        own._index()
+        own.seeds = np.bincount(own.item, minlength=len(self.from_) - 1)
+        return own
 
     def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Words of the column at which a seed begins, and its number."""
-        made, ok = seeds_of(words)
-        at = np.flatnonzero(self.quick[made >> np.uint64(44)] & ok)
-        if not len(self.keys):
-            return at[:0], at[:0]
-        key = np.minimum(np.searchsorted(self.keys, made[at]), len(self.keys) - 1)
-        good = self.keys[key] == made[at]
-        return at[good], key[good]
+        at, keys = [], []
+        for reach in range(1, REACH + 1) if len(self.keys) else ():
+            made, ok = pairs_of(words, reach)
+            some = np.flatnonzero(self.quick[made >> np.uint64(42)] & ok)
+            key = np.minimum(np.searchsorted(self.keys, made[some]), len(self.keys) - 1)
+            good = self.keys[key] == made[some]
+            at.append(some[good])
+            keys.append(key[good])
+        return (np.concatenate(at), np.concatenate(keys)) if at else (np.zeros(0, np.int64),) * 2
 
 
 def _align(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,38 +126,42 @@ def _padded(values: np.ndarray, begin: np.ndarray, size: np.ndarray, fill: int,
     return np.where(inside, values[np.where(inside, place, 0)], np.uint64(fill))
 
 
-def find(items: Items, rare: np.ndarray, column: pa.Array, least: float) -> dict:
-    """Leaks in a slice of documents: row, item, score, and the passage in code points."""
-    words = Words(column, ALNUM)
+def passages(items: Items, words: Words, least: float) -> tuple[np.ndarray, ...]:
+    """(row, item, left, right): the words of each text among which an item may be found, the right end exclusive."""
     at, key = items.hits(words)
     repeat = items.first[key + 1] - items.first[key]
     which = np.repeat(items.first[key], repeat) + np.arange(repeat.sum()) - np.repeat(np.cumsum(repeat) - repeat, repeat)
-    at, key = np.repeat(at, repeat), np.repeat(key, repeat)
-    item = items.item[which]
-    shift = at - (items.place[which] - items.from_[item])
-    order = np.lexsort((shift, item, words.row[at]))
-    at, key, item, shift = at[order], key[order], item[order], shift[order]
+    at, item = np.repeat(at, repeat), items.item[which]
+    size = items.from_[item + 1] - items.from_[item]
+    before = items.place[which] - items.from_[item]  # words of the item before the seed
     row = words.row[at]
-    none = {"row": np.zeros(0, np.int64), "item": np.zeros(0, np.int64), "score": np.zeros(0), "start": np.zeros(0, np.int64), "end": np.zeros(0, np.int64)}
-    if not len(at):
-        return none
-    head = np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (shift[1:] - shift[:-1] > SLACK))
-    group = np.cumsum(head) - 1
-    begin = np.flatnonzero(head)
-    last = np.append(begin[1:], len(at)) - 1
-    # distinct seeds by place: seeds at one word of the document count once
-    count = np.bincount(group)
-    keep = (np.bincount(group, rare[key]) > 0) | (count >= 3)
-    begin, last = begin[keep], last[keep]
-    item, row = item[begin], row[begin]
+    slack = np.floor(2 * (1 - least) * size).astype(np.int64)
+    order = np.lexsort((at, item, row))
+    at, item, row, size, before, slack = (x[order] for x in (at, item, row, size, before, slack))
+    same = (row[1:] == row[:-1]) & (item[1:] == item[:-1]) if len(at) else np.zeros(0, bool)
+    # hits of one alignment are at most the item and its gaps apart
+    head = np.flatnonzero(np.append(True, ~same | (at[1:] - at[:-1] > size[1:] + slack[1:]))) if len(at) else at
+    count = np.diff(np.append(head, len(at)))
+    left = np.minimum.reduceat(at - before - slack, head) if len(at) else at
+    right = np.maximum.reduceat(at + size - before + slack, head) if len(at) else at
+    keep = count >= np.minimum(2, items.seeds[item[head]])
+    head, left, right = head[keep], left[keep], right[keep]
+    row, item = row[head], item[head]
+    return row, item, np.maximum(left, words.from_[row]), np.minimum(right, words.from_[row + 1])
+
+
+def find(items: Items, column: pa.Array, least: float, spans: bool = True) -> dict:
+    """Leaks in a slice of documents: row, item, score, and, if asked for, the passage in code points. items: with rare seeds alone."""
+    words = Words(column, ALNUM)
+    row, item, left, right = passages(items, words, least)
     size = items.from_[item + 1] - items.from_[item]
-    left = np.maximum(shift[begin] - SLACK, words.from_[row])
-    right = np.minimum(shift[last] + size + SLACK, words.from_[row + 1])
+    none = {"row": np.zeros(0, np.int64), "item": np.zeros(0, np.int64), "score": np.zeros(0), "start": np.zeros(0, np.int64), "end": np.zeros(0, np.int64)}
     out = []
-    cost = size * (right - left)
-    for part in np.array_split(np.arange(len(item)), max(1, int(cost.sum() >> 22))):
-        if not len(part):
-            continue
+    order = np.lexsort((size, right - left))  # of like widths, so that little is padding
+    at = len(order)
+    while at:  # widest first
+        part = order[max(0, at - max(1, CELLS // int((right - left)[order[at - 1]]))) : at]
+        at -= len(part)
         a = _padded(items.hashes, items.from_[item[part]], size[part], 1)
         b = _padded(words.hashes, left[part], right[part] - left[part], 2)
         score, end = _align(a, b)
@@ -140,6 +170,9 @@ def find(items: Items, rare: np.ndarray, column: pa.Array, least: float) -> dict
         if not len(good):
             continue
         part, end, share = part[good], end[good], share[good]
+        if not spans:
+            out.append((row[part], item[part], share, end, end))
+            continue
         # aligned backwards from its end, a passage ends at its first word
         a = _padded(items.hashes, items.from_[item[part]], size[part], 1, True)
         b = _padded(words.hashes, left[part], end + 1, 2, True)
@@ -148,9 +181,11 @@ def find(items: Items, rare: np.ndarray, column: pa.Array, least: float) -> dict
     if not out:
         return none
     row, item, share, start, end = (np.concatenate(x) for x in zip(*out))
-    points = np.append(0, np.cumsum((words.data & 0xC0) != 0x80))
-    base = points[words.bounds[row]]
-    return {"row": row, "item": item, "score": share, "start": points[start] - base, "end": points[end] - base}
+    if spans:
+        points = np.append(0, np.cumsum((words.data & 0xC0) != 0x80))
+        base = points[words.bounds[row]]
+        start, end = points[start] - base, points[end] - base
+    return {"row": row, "item": item, "score": share, "start": start, "end": end}
 
 
 def blocks(items: DataFrame, limit: int) -> Iterator[Items]:
@@ -166,39 +201,47 @@ def blocks(items: DataFrame, limit: int) -> Iterator[Items]:
         yield Items(ids, texts)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.4, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
-    """(id, item_id, score, start, end): the best passage of each document for each item that it holds."""
-    docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).where("text is not null and id is not null")
-    small_batches(docs)
-    found = []
+def _rare(docs: DataFrame, items: DataFrame, block: int) -> Iterator[Items]:
+    """The items in blocks, with their rare seeds: those that the fewest of all documents hold."""
     for own in blocks(items, block):
-        sent = spark.sparkContext.broadcast(own)
+        sent = docs.sparkSession.sparkContext.broadcast(own)
 
         def count(batches, sent=sent):
-            total, rows = np.zeros(len(sent.value.keys), np.int64), 0
+            total = np.zeros(len(sent.value.keys), np.int64)
+            width = np.int64(len(total) + 1)
             for batch in batches:
                 for part in slices(batch, "text", SLICE):
                     words = Words(part.column(0), ALNUM)
                     at, key = sent.value.hits(words)
-                    total += np.bincount(np.unique(words.row[at] * np.int64(len(total) + 1) + key) % (len(total) + 1), minlength=len(total) + 1)[: len(total)]
-                    rows += len(part)
+                    total += np.bincount(np.unique(words.row[at] * width + key) % width, minlength=len(total))
             release()
             seen = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(total[seen], rows))], names=["seed", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["seed", "n"])
 
         counts = docs.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toPandas()  # a row for each seed of the block at most
         often = np.zeros(len(own.keys), np.int64)
-        seeds, n = counts["seed"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
-        often[seeds[seeds >= 0]] = n[seeds >= 0]
-        rare = often <= RARE * n[seeds < 0].sum()
-        marked = spark.sparkContext.broadcast(rare)
+        often[counts["seed"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+        yield own.keep(often)
+
+
+def _tables(docs: DataFrame, benchmark: DataFrame, id: str, text: str, item_id: str, item_text: str) -> tuple[DataFrame, DataFrame]:
+    small_batches(docs)
+    items = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")).where("text is not null")
+    return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")), items
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.4, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
+    """(id, item_id, score, start, end): the best passage of each document for each item that it holds."""
+    docs, items = _tables(docs, benchmark, id, text, item_id, item_text)
+    spark = docs.sparkSession
+    found = []
+    for own in _rare(docs, items, block):
+        sent = spark.sparkContext.broadcast(own)
 
-        def make(sent=sent, marked=marked):
+        def make(sent=sent):
             def step(part: pa.RecordBatch) -> dict:
-                got = find(sent.value, marked.value, part.column(1), least)
-                return {"id": part.column(0).take(pa.array(got["row"])), "item_id": sent.value.ids[got["item"]], **{k: got[k] for k in ("score", "start", "end")}}
+                got = find(sent.value, part.column(1), least)
+                return {"id": part.column(0).take(pa.array(got["row"])), "item_id": sent.value.ids.take(pa.array(got["item"])), **{k: got[k] for k in ("score", "start", "end")}}
 
             return step
 
@@ -209,6 +252,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.4, id: str = "
     return best.select(F.col("id").alias(id), F.col("item_id").alias("item_id"), F.col("best.score").alias("score"), (-F.col("best.start")).alias("start"), F.col("best.end").alias("end"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", **options) -> DataFrame:
-    """The documents, with all their columns, that hold no item."""
-    return docs.join(leaks(docs, benchmark, id=id, **options).select(F.col(id)).distinct(), id, "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.4, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
+    """The documents, with all their columns, that hold no item. Each row is decided by its own text, whatever its id, and stays where it is."""
+    searched, items = _tables(docs, benchmark, id, text, item_id, item_text)
+    for own in _rare(searched, items, block):
+        sent = docs.sparkSession.sparkContext.broadcast(own)
+
+        def make(sent=sent):
+            def step(column: pa.Array) -> np.ndarray:
+                keep = np.ones(len(column), bool)
+                keep[find(sent.value, column, least, False)["row"]] = False
+                return keep
+
+            return step
+
+        docs = keep_slices(docs, make, text, limit=SLICE)
+    return docs

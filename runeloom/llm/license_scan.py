@@ -23,10 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import ALNUM, Words, map_slices
-from .decontaminate import Items
+from .columns import ALNUM, Words, map_slices, mix
 
-TEMPLATES = 16 << 20
+TEMPLATES, SEED = 16 << 20, 3
 #: Notices of one line as they stand in files.
 NOTICES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -48,6 +47,47 @@ def texts() -> list[tuple[str, str]]:
     return [(p.name.removesuffix(".txt").removesuffix(".header"), p.read_text("utf-8")) for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))]
 
 
+def seeds_of(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprint of the run of SEED words at each word of a column, and which of them lie in one text."""
+    n = len(words.hashes)
+    made = np.zeros(n, np.uint64)
+    ok = np.zeros(n, bool)
+    if n >= SEED:
+        run = words.hashes[: n - SEED + 1]
+        for k in range(1, SEED):
+            run = mix(run * np.uint64(0xD6E8FEB86659FD93) + words.hashes[k : n - SEED + 1 + k])
+        made[: len(run)] = run
+        ok[: len(run)] = words.row[: len(run)] == words.row[SEED - 1 :]
+    return made, ok
+
+
+class Templates:
+    """Templates with an index of their runs of SEED words."""
+
+    def __init__(self, texts: list[str]):
+        words = Words(pa.array(texts, pa.string()), ALNUM)
+        self.hashes, self.from_ = words.hashes, words.from_
+        made, ok = seeds_of(words)
+        at = np.flatnonzero(ok)
+        order = np.argsort(made[at], kind="stable")
+        self.place = at[order]  # the word at which each seed begins, by fingerprint
+        self.item = words.row[self.place]
+        self.keys, first = np.unique(made[self.place], return_index=True)
+        self.first = np.append(first, len(self.place))
+        self.quick = np.zeros(1 << 20, bool)
+        self.quick[self.keys >> np.uint64(44)] = True
+
+    def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Words of the column at which a seed begins, and its number."""
+        made, ok = seeds_of(words)
+        at = np.flatnonzero(self.quick[made >> np.uint64(44)] & ok)
+        if not len(self.keys):
+            return at[:0], at[:0]
+        key = np.minimum(np.searchsorted(self.keys, made[at]), len(self.keys) - 1)
+        good = self.keys[key] == made[at]
+        return at[good], key[good]
+
+
 def aligned(a: list, b: list) -> list[tuple[int, int]]:
     """Pairs of equal words of a and b, in order, by patience alignment."""
     out: list[tuple[int, int]] = []
@@ -151,7 +191,7 @@ def _overlapping(found: list[list[tuple[int, int]]], a: int, b: int) -> list[int
     return [n for n in (k, k + 1) if n < len(found) and found[n][0][1] < b]
 
 
-def passages(templates: Items, words: Words, least: float) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+def passages(templates: Templates, words: Words, least: float) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
     """(row, template, pairs) of every copy of a template."""
     at, key = templates.hits(words)
     repeat = templates.first[key + 1] - templates.first[key]
@@ -178,7 +218,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least:
     if sum(len(x.encode()) for _, x in templates) > TEMPLATES:
         raise ValueError(f"the templates have more than {TEMPLATES} bytes")
     names = [x for x, _ in templates]
-    sent = docs.sparkSession.sparkContext.broadcast(Items(list(range(len(names))), [x for _, x in templates]))
+    sent = docs.sparkSession.sparkContext.broadcast(Templates([x for _, x in templates]))
 
     def make():
         own = sent.value
