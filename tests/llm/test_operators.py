@@ -73,18 +73,33 @@ def test_language_held_out(spark):
     assert sum(judged) >= 0.95 * len(judged) > 100
 
 
-def test_cross_parsing_against_substrings():
-    """Phrases by the automaton are those that searching the training text for substrings gives."""
+@pytest.mark.parametrize("block", [1, 2, 7, 1024])
+def test_cross_parsing_against_substrings(monkeypatch, block):
+    """Phrases by the automaton are those that searching the training text for substrings gives, wherever texts are cut into blocks."""
+    monkeypatch.setattr(language_id, "BLOCK", block)
     rng = random.Random(4)
     for _ in range(20):
-        samples = {k: "".join(rng.choice("ab ") for _ in range(60)).strip() or "a" for k in "xy"}
+        samples = {k: "".join(rng.choice("ab ") for _ in range(rng.choice([3, 60, 300]))).strip() or "a" for k in "xy"}
         own = language_id.Model(samples)
-        text = "".join(rng.choice("abc ") for _ in range(200))
-        bits, size = own.entropies([text])
+        texts = ["".join(rng.choice(rng.choice(["abc ", "ab", "a"])) for _ in range(rng.randint(0, 200))) for _ in range(3)] + [samples["x"] * 3]
+        check_phrases(own, samples, texts)
+
+
+def test_cross_parsing_of_long_texts():
+    """Texts of many blocks, among them copies of the training text, in which a phrase is longer than a block."""
+    rng = random.Random(9)
+    samples = {k: "".join(rng.choice(letters) for _ in range(4000)).strip() for k, letters in (("x", "abcd "), ("y", "abef "))}
+    texts = ["q" + samples["x"] * 2, "".join(rng.choice("abcdefq ") for _ in range(5000)), "a" * 3000, samples["y"][:2500] + "é" + samples["x"]]
+    check_phrases(language_id.Model(samples), samples, texts)
+
+
+def check_phrases(own, samples, texts):
+    bits, size = own.entropies(texts)
+    for i, text in enumerate(texts):
         code = language_id.symbols([text], own.codes)[0].tolist()
         for k, lang in enumerate(own.languages):
             train = bytes(language_id.symbols([samples[lang]], own.codes)[0].tolist())
-            assert bits[k, 0] == pytest.approx(phrases(code, train) * own.bits[k] / size[0])
+            assert bits[k, i] == pytest.approx(phrases(code, train) * own.bits[k] / size[i] if size[i] else 0)
 
 
 def phrases(code, train):
@@ -98,10 +113,16 @@ def phrases(code, train):
     return n
 
 
-def test_language_sample_size():
-    """The first 40,000 symbols of a long sample are learnt."""
-    learnt = language_id.Model({"en": "the dog is " * 10_000, "de": "der hund " * 100})
-    assert [round(2**x) for x in learnt.bits] == [len("der hund " * 100) - 1, 40_000]
+def test_language_sample(spark, monkeypatch):
+    """Whole texts are learnt, as many as the bounds allow, and nothing of others; a repeated row once; the shortest if none fits."""
+    monkeypatch.setattr(language_id, "CHARACTERS", 1000)
+    rows = [(k, f"text {k} " * 20, "en") for k in range(40)] + [(3, "text 3 " * 20, "en")] * 5 + [(100, "lang " * 900, "de"), (101, "länger " * 300, "de"), (None, "x", "en"), (102, None, "en"), (103, "y", None), (104, "", "fr")]
+    learnt = dict(language_id.learn(table(spark, rows, "doc_id long, text string, lang string")))
+    assert learnt["de"] == "länger " * 300 and learnt["fr"] == ""
+    found = learnt["en"].split("  ")
+    assert 5 <= len(set(re.findall(r"\d+", learnt["en"]))) and len(learnt["en"]) <= 1010
+    assert all(x.strip() in {t.strip() for _, t, _ in rows if t} for x in found)
+    assert round(2 ** language_id.Model({"en": "abc" * 50_000}).bits[0]) == 150_000
 
 
 def test_language_odd_texts(spark):
@@ -235,12 +256,81 @@ def test_leaks(spark):
     assert set(got) == {(1, 10), (2, 10), (7, 10), (None, 10)}
     assert got[1, 10].score == 1 and docs[0][1][got[1, 10].start : got[1, 10].end] == " ".join(item)
     assert got[2, 10].score == pytest.approx(smith_waterman(item, edited) / 60)
-    assert {r.doc_id for r in decontaminate.clean(table(spark, docs), items).collect()} == {3, 4, 5, 6, None}
+    assert sorted((r.doc_id or 0, r.text) for r in decontaminate.clean(table(spark, docs), items).collect() if r.text) == sorted((k or 0, t) for k, t in docs if t and k in (3, 5, 6))
+    assert {r.doc_id for r in decontaminate.clean(table(spark, docs), items).collect()} == {3, 4, 5, 6}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(table(spark, [(1, docs[0][1])]), items.selectExpr("CAST(NULL AS long) item_id", "text")).collect()} == {(1, None)}
     assert decontaminate.leaks(table(spark, docs), items, block=1).count() == len(got)
     assert decontaminate.leaks(table(spark, docs), items.where("false")).count() == 0
     assert decontaminate.leaks(table(spark, []), items).count() == 0
 
 
+def edited_corpus(n, rate, seed):
+    """Documents of which some hold a copy of an item: with words replaced, put in and left out, two long insertions, or one half."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    weights = [1 / (k + 1) for k in range(3000)]
+    prose = lambda m: rng.choices(vocabulary, weights, k=m)
+    items, docs = [prose(rng.randint(8, 60)) for _ in range(20)], []
+    for k in range(n):
+        body = prose(rng.randint(20, 120))
+        if k % 5 == 0:
+            item, kind, own = rng.choice(items), rng.randrange(5), []
+            for j, w in enumerate(item):
+                draw = rng.random()
+                if kind == 0:
+                    own += prose(1) if draw < rate else [w]
+                elif kind == 1:
+                    own += [] if draw < rate / 3 else [w, *prose(1)] if draw < 2 * rate / 3 else prose(1) if draw < rate else [w]
+                elif kind == 2:
+                    own += prose(1) if j % 3 == 2 else [w]
+                elif kind == 3:
+                    own += [w, *(prose(8) if j in (len(item) // 3, 2 * len(item) // 3) else [])]
+                elif j <= len(item) // 2:
+                    own.append(w)
+            at = rng.randint(0, len(body))
+            body[at:at] = own
+        docs.append(" ".join(body))
+    return [" ".join(x) for x in items], docs
+
+
+@pytest.mark.parametrize("n", [10, 1500, 3000])
+@pytest.mark.parametrize("rate", [0.1, 0.2, 0.3])
+def test_leaks_against_alignments_of_all_pairs(spark, n, rate):
+    """Of all pairs of a document and an item that align well enough at least 0.9 are found, however many documents there are."""
+    items, docs = edited_corpus(n, rate, n + int(10 * rate))
+    own, words = decontaminate.Words(pa.array(items), decontaminate.ALNUM), decontaminate.Words(pa.array(docs), decontaminate.ALNUM)
+    want = set()
+    for i, size in enumerate(np.diff(own.from_)):
+        for at in range(0, n, 500):
+            part = np.arange(at, min(n, at + 500))
+            a = decontaminate._padded(own.hashes, np.repeat(own.from_[i], len(part)), np.repeat(size, len(part)), 1)
+            score, _ = decontaminate._align(a, decontaminate._padded(words.hashes, words.from_[part], np.diff(words.from_)[part], 2))
+            want |= {(int(k), i) for k in part[score >= 0.4 * 2 * size]}
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(table(spark, list(enumerate(docs))), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want) and want
+
+
+def test_leaks_with_few_seeds_in_common(spark):
+    """Two insertions of eight words, every third word replaced, a word put in between all: each is found, alone or among many documents."""
+    item = [f"w{k}" for k in range(24)]
+    gaps = [y for k, w in enumerate(item) for y in ([w] + [f"x{k}{j}" for j in range(8)] * (k in (8, 16)))]
+    docs = [(1, " ".join(gaps)), (2, " ".join(f"x{k}" if k % 3 == 2 else w for k, w in enumerate(item))), (3, " ".join(y for k, w in enumerate(item) for y in (w, f"x{k}")))]
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    for more in (0, 1500):
+        rows = docs + [(10 + k, f"other {k} words") for k in range(more)]
+        got = {r.doc_id: r.score for r in decontaminate.leaks(table(spark, rows), items).collect()}
+        assert got == {k: pytest.approx(smith_waterman(item, t.split()) / 48) for k, t in docs}
+
+
+def test_leaks_in_very_long_texts(spark):
+    """A long document with many copies, and a long item with a long passage: no more memory than a few rows of the alignment."""
+    item = [f"w{k % 700}x{k}" for k in range(1500)]
+    docs = [(1, " ".join((item[:40] + ["y"] * 60) * 400)), (2, " ".join(["z"] * 30_000 + item))]
+    items = spark.createDataFrame([(1, " ".join(item[:40])), (2, " ".join(item))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(table(spark, docs), items).collect()}
+    assert set(got) == {(1, 1), (2, 1), (2, 2)} and all(r.score == 1 for r in got.values()) and got[1, 1].start == 0 and got[2, 2].start == 60_000
+
+
 def test_leaks_that_are_everywhere(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
     got = decontaminate.leaks(table(spark, [(k, f"d{k} {item}") for k in range(300)]), spark.createDataFrame([(1, item)], "item_id long, text string"))
