@@ -50,7 +50,9 @@ class Items:
     def __init__(self, ids: list[int | None], texts: list[str]):
         words = Words(pa.array(texts, pa.string()), ALNUM)
         self.ids = pa.array(ids, pa.int64())
-        self.hashes, self.from_ = words.hashes, words.from_
+        self.from_ = words.from_
+        self.vocabulary, codes = np.unique(words.hashes, return_inverse=True)
+        self.codes = codes.astype(np.int32)  # the items' words by number
         made, at = [], []
         for reach in range(1, REACH + 1):
             own, ok = pairs_of(words, reach)
@@ -77,7 +79,7 @@ class Items:
         rank = np.arange(len(order)) - np.repeat(head, np.diff(np.append(head, len(order))))
         rare = np.sort(order[rank < KEPT])
         own = Items.__new__(Items)
-        own.ids, own.hashes, own.from_ = self.ids, self.hashes, self.from_
+        own.ids, own.from_, own.vocabulary, own.codes = self.ids, self.from_, self.vocabulary, self.codes
         own.place, own.item = self.place[rare], self.item[rare]
         own.keys, first = np.unique(self.keys[key[rare]], return_index=True)
         own.first = np.append(first, len(rare))
@@ -85,6 +87,13 @@ class Items:
         own.seeds = np.bincount(own.item, minlength=len(self.from_) - 1)
         return own
 
+    def codes_of(self, words: Words) -> np.ndarray:
+        """The numbers of a column's words, -1 for those that no item has."""
+        if not len(self.vocabulary):
+            return np.full(len(words.hashes), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.vocabulary, words.hashes), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == words.hashes, at, -1).astype(np.int32)
+
     def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Words of the column at which a seed begins, and its number."""
         at, keys = [], []
@@ -119,11 +128,33 @@ def _align(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, end
 
 
+def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Best local score of each pair of rows, by the diagonals of all matrices at once. Rows are padded with different values."""
+    (rows, n), width = a.shape, b.shape[1]
+    small = np.int16 if 2 * n < 2**15 else np.int32
+    last = np.ascontiguousarray(a[:, ::-1].T)  # row k belongs to word n - 1 - k
+    around = np.full((width + 2 * n - 2, rows), -3, np.int32)
+    around[n - 1 : n - 1 + width] = b.T
+    best, before, above = np.zeros((n, rows), small), np.zeros((n + 1, rows), small), np.zeros((n + 1, rows), small)
+    now = np.zeros((n + 1, rows), small)  # its last row stands for no word and stays 0
+    step, three, one = np.empty((n, rows), small), small(3), small(1)
+    for d in range(n + width - 1):
+        np.multiply(last == around[d : d + n], three, out=step, casting="unsafe")
+        step += before[1:]  # 3 more than a mismatch for a match
+        np.maximum(step, above[:n], out=step)
+        np.maximum(step, above[1:], out=step)
+        step -= one
+        np.maximum(step, 0, out=now[:n])
+        np.maximum(best, now[:n], out=best)
+        before, above, now = above, now, before
+    return best.max(axis=0).astype(np.int32)
+
+
 def _padded(values: np.ndarray, begin: np.ndarray, size: np.ndarray, fill: int, reverse: bool = False) -> np.ndarray:
     at = np.arange(int(size.max(initial=1)))
     inside = at < size[:, None]
     place = begin[:, None] + (size[:, None] - 1 - at if reverse else at)
-    return np.where(inside, values[np.where(inside, place, 0)], np.uint64(fill))
+    return np.where(inside, values[np.where(inside, place, 0)], values.dtype.type(fill))
 
 
 def passages(items: Items, words: Words, least: float) -> tuple[np.ndarray, ...]:
@@ -157,26 +188,25 @@ def find(items: Items, column: pa.Array, least: float, spans: bool = True) -> di
     size = items.from_[item + 1] - items.from_[item]
     none = {"row": np.zeros(0, np.int64), "item": np.zeros(0, np.int64), "score": np.zeros(0), "start": np.zeros(0, np.int64), "end": np.zeros(0, np.int64)}
     out = []
+    codes = items.codes_of(words) if len(row) else words.hashes
     order = np.lexsort((size, right - left))  # of like widths, so that little is padding
     at = len(order)
     while at:  # widest first
         part = order[max(0, at - max(1, CELLS // int((right - left)[order[at - 1]]))) : at]
         at -= len(part)
-        a = _padded(items.hashes, items.from_[item[part]], size[part], 1)
-        b = _padded(words.hashes, left[part], right[part] - left[part], 2)
-        score, end = _align(a, b)
-        share = score / (2.0 * size[part])
+        a = _padded(items.codes, items.from_[item[part]], size[part], -2)
+        share = _scores(a, _padded(codes, left[part], right[part] - left[part], -3)) / (2.0 * size[part])
         good = np.flatnonzero(share >= least)
         if not len(good):
             continue
-        part, end, share = part[good], end[good], share[good]
+        part, share = part[good], share[good]
         if not spans:
-            out.append((row[part], item[part], share, end, end))
+            out.append((row[part], item[part], share, part, part))
             continue
-        # aligned backwards from its end, a passage ends at its first word
-        a = _padded(items.hashes, items.from_[item[part]], size[part], 1, True)
-        b = _padded(words.hashes, left[part], end + 1, 2, True)
-        _, back = _align(a, b)
+        # the passage ends where the best alignment does; aligned backwards from there, it ends at its first word
+        _, end = _align(a[good], _padded(codes, left[part], right[part] - left[part], -3))
+        a = _padded(items.codes, items.from_[item[part]], size[part], -2, True)
+        _, back = _align(a, _padded(codes, left[part], end + 1, -3, True))
         out.append((row[part], item[part], share, words.starts[left[part] + end - back], words.ends[left[part] + end]))
     if not out:
         return none
