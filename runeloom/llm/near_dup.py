@@ -13,10 +13,12 @@ as similar as asked for share one of the first n - ceil(similarity * n) + 1 shin
 while a passage that thousands of unlike documents share comes late in the order and pairs none of them. Texts move
 once, and from then on only those of documents that share a bucket.
 
+Shingles, buckets, texts and classes that very many documents hold are dealt over several tasks in every join (see shared).
+
 At a similarity of 0.8, 48 bands of 6 coordinates miss a pair with a chance of 5e-7, at 0.85 of 1e-10.
 
 Documents without words (null, empty, white space only) and rows with a null id are linked with nothing.
-Repeated rows are copies of one another. Other columns of the input have no part.
+Repeated rows are copies of one another; an empty table gives no rows. Other columns of the input have no part.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columns import Words, distinct, fold, map_slices, mix
-from .shared import components, cut
+from .shared import components, cut, join_counted, join_shared
 
 BANDS, ROWS = 48, 6
 PLACES = 1 << 20
@@ -89,7 +91,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
 
     left = docs.select(F.col("id").alias("a"), F.col("text").alias("text"))
     right = docs.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").select("a", "b", "text").join(right, "b").select("a", "b", "text", "text_b")
+    # a text with many partners is copied, not gathered with all of them; partners are counted before texts are put to them
+    pairs = cut(pairs)
+    first = join_shared(pairs, left, "a", "b").select("a", "b", "text")
+    counted = cut(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")))
+    both = join_shared(first, right, "b", "a", counted).select("a", "b", "text", "text_b")
     return map_slices(both, make, "a long, b long", limit=1 << 19)
 
 
@@ -103,55 +109,70 @@ def prefix_pairs(rest: DataFrame, texts: DataFrame, shingle: int, percent: int)
 
         return step
 
-    sets = map_slices(texts.join(rest, "id").select("id", "text", "component"), make, "id long, component long, n long, all array<long>", limit=1 << 19)
+    sets = cut(map_slices(texts.join(rest, "id").select("id", "text", "component"), make, "id long, component long, n long, all array<long>", limit=1 << 19))
     each = sets.where("n > 0").select("id", "component", "n", F.explode("all").alias("g"))
-    often = each.groupBy("g").agg(F.count(F.lit(1)).alias("often"))
+    often = cut(each.groupBy("g").agg(F.count(F.lit(1)).alias("often")))
     # Shingles of one document alone pair nothing, but have their place in the order.
     place = F.row_number().over(Window.partitionBy("id").orderBy("often", "g"))
-    first = each.join(often, "g").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("often > 1")
+    first = join_counted(each, often, "g", "often").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("often > 1")
     first = cut(first.select("g", "id", "component", (F.col("n") - F.col("place") + 1).alias("left"), "n"))
     # Per shingle the members of all components but one meet the others: copies of one component don't meet one another.
-    most = first.groupBy("g", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("g").agg(F.max_by("component", "size").alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("g", "main")
-    met = first.join(most, "g")
+    most = first.groupBy("g", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("g").agg(F.max_by("component", "size").alias("main"), F.count(F.lit(1)).alias("kinds"), F.sum("size").alias("members")).where("kinds > 1").select("g", "main", "members")
+    met = cut(join_counted(first, cut(most), "g", "members"))
     left = met.where("component <> main").select("g", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("left").alias("left_a"), F.col("component").alias("component_a"))
     right = met.select("g", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("left").alias("left_b"), "component")
     # What comes before two sets' first common shingle is not common; from there on either has `left` shingles at most.
     near = (F.lit(percent) * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")) & (F.lit(100 + percent) * F.least("left_a", "left_b") >= F.lit(percent) * (F.col("n_a") + F.col("n_b")))
-    pairs = left.join(right, "g").where("component <> component_a").where(near)
+    pairs = join_shared(right, left, "g", "b").where("component <> component_a").where(near)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _twice(sets: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Links (a, b) between the classes of rows that share an id but not a text, or None if there are none."""
+    mark = F.struct("mark", "more", "n")
+    several = cut(sets.groupBy("id").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low <> high").select("id"))
+    if several.isEmpty():
+        return None
+    own = sets.join(several, "id").select("id", "mark", "more", "n").distinct().join(classes, ["mark", "more", "n"]).select("id", F.col("rep").alias("b"))
+    return own.join(own.groupBy("id").agg(F.min("b").alias("a")), "id").where("a <> b").select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept), a row for every input row: the size of the document's set, the smallest
-    id reachable over links, and whether that is its own."""
+    id reachable over links, and whether that is its own. Rows that share an id are one node: what is linked with one is linked with all."""
     docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     marks = cut(signatures(docs, shingle))
     sets = marks.where("n > 0 and id is not null")
-    classes = cut(sets.groupBy("mark", "more", "n").agg(F.min("id").alias("rep")))
+    classes = cut(sets.groupBy("mark", "more", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     spread = sets.join(classes.select(F.col("rep").alias("id"), "mark", "more"), ["id", "mark", "more"], "left_semi").select("id", F.explode("bands").alias("key"))
-    shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("hub")).where("size > 1")
-    members = cut(spread.join(shared, "key").select("key", "id", "size", "hub"))
+    shared = cut(spread.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("hub")).where("size > 1"))
+    members = cut(join_counted(spread, shared, "key", "size").select("key", "id", "size", "hub"))
     candidates = members.select("id").distinct()
     sized = cut(classes.select(F.col("rep").alias("id"), "n").join(candidates, "id", "left_semi"))
     texts = cut(docs.join(sized.select("id").distinct(), "id", "left_semi"))
     near = F.lit(percent) * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")  # sets of other sizes can't be so similar
     # Round one: each bucket's first member with the others.
+    hubs = cut(members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
     first = (
-        members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-        .join(sized.select(F.col("id").alias("a"), F.col("n").alias("n_a")), "a").join(sized.select(F.col("id").alias("b"), F.col("n").alias("n_b")), "b")
-        .where(near).select("a", "b")
+        join_shared(hubs, sized.select(F.col("id").alias("a"), F.col("n").alias("n_a")), "a", "b")
+        .join(sized.select(F.col("id").alias("b"), F.col("n").alias("n_b")), "b").where(near).select("a", "b").distinct()
     )
-    links = cut(confirmed(first, texts, shingle, percent))
+    links = confirmed(first, texts, shingle, percent)
+    if (twice := _twice(sets, classes)) is not None:
+        links = links.union(twice)
+    links = cut(links)
     labels = components(links)
     # What is left: buckets of three and more with members of several components.
-    known = members.where("size > 2").select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    rest = cut(known.join(mixed, "key", "left_semi").select("id", "component").distinct())
+    known = cut(members.where("size > 2").select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
+    mixed = cut(known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("key", "n"))
+    rest = cut(join_counted(known, mixed, "key").select("id", "component").distinct())
     if not rest.isEmpty():
         found = confirmed(prefix_pairs(rest, texts, shingle, percent), texts, shingle, percent)
         links = cut(links.union(found))
         labels = components(links)
-    named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("mark", "more", "n", F.coalesce("component", "rep").alias("component"))
-    own = marks.select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("mark")).alias("mark"), "more")
-    component = F.coalesce("component", "id")
-    return own.join(named, ["mark", "more", "n"], "left").select(F.col("id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    named = cut(classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(F.struct("mark", "more", "n").alias("class"), "copies", F.coalesce("component", "rep").alias("component")))
+    # A text that a third of all rows hold is no more than a row of `named`; rows without words or id are none of its.
+    own = marks.select("id", "n", F.struct("mark", "more", "n").alias("class"))
+    linked = join_counted(own.where("n > 0 and id is not null"), named, "class", "copies").select("id", "n", "component")
+    every = linked.union(own.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component")))
+    return every.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
