@@ -8,9 +8,11 @@ alone, whatever the text holds.
 A linear-chain conditional random field over features of word shapes adds spans of the kinds phone (national forms), id
 (identity and account numbers) and secret (keys and tokens). It is trained on the small labelled table EXAMPLES makes, and
 decoded by Viterbi in numpy for many sequences at once. A sequence is a stretch around words with a digit: all three kinds
-hold one. An added span that touches one of a pattern is dropped.
+hold one, so names and addresses aren't found. An added span that touches one of a pattern is dropped. A sequence of any
+length is decoded as a whole; a token takes some 50 bytes while it is, and its features are named for FEATURED tokens at a time.
 
-Null texts count as empty and hold nothing; repeated rows are searched each. Positions are code points, ends exclusive.
+Null texts count as empty and hold nothing; repeated rows are searched each, an empty table gives no rows, and other columns have
+no part. Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -84,21 +87,23 @@ def base_spans(text: str) -> list[Span]:
 LABELS = ("O", "B-phone", "I-phone", "B-id", "I-id", "B-secret", "I-secret")
 _OF = {"phone": 3, "id": 4, "secret": 5}
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
-_AROUND = re.compile(r"\S*[0-9]\S*(?:\s+\S*[0-9]\S*)*")
+_SOLID = re.compile(r"\S++")
+#: Tokens whose features are named at once; those of a token look at NEAR tokens on either side.
+FEATURED, NEAR = 4096, 3
 _WORDS = {"tel", "phone", "call", "mobile", "fax", "telephone", "token", "key", "secret", "password", "api", "apikey", "bearer", "ssn", "iban", "id", "passport", "account", "version", "page", "year", "in", "no", "figure", "chapter"}
 
 
 def shape(word: str) -> str:
-    kind = "".join("0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in word)
-    return re.sub(r"(.)\1+", r"\1+", kind) if len(kind) < 64 else "long" + ("0" if any(c.isdigit() for c in kind[:64]) else "")
+    kind = "".join("0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in word[:64])
+    return re.sub(r"(.)\1+", r"\1+", kind) if len(word) < 64 else "long" + ("0" if any(c.isdigit() for c in word[:64]) else "")
 
 
 def features(text: str, tokens: list[tuple[int, int]]) -> list[list[str]]:
     """Names of each token's features."""
     own = []
     for k, (a, b) in enumerate(tokens):
-        word = text[a:b]
         n = b - a
+        word = text[a : min(b, a + 512)]  # what a longer word is like shows by then
         digits, upper = sum(map(str.isdigit, word[:64])), word.isupper()
         size = str(n) if n < 6 else "6-9" if n < 10 else "10-15" if n < 16 else "16-31" if n < 32 else "32+"
         kind = "hex" if n > 7 and re.fullmatch("[0-9a-f]+", word) else "mixed" if 0 < digits < n and n > 7 else "digits" if digits == n else "mark" if not word[0].isalnum() else "word"
@@ -179,41 +184,52 @@ class Field:
         self.barred = np.array([[b[0] == "I" and a[2:] != b[2:] for b in LABELS] for a in LABELS])  # a span begins with B
         self._train(sequences, rounds)
 
-    def _pack(self, sequences: list[list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
-        size = np.array([len(x) for x in sequences])
-        out = np.full((size.max(), len(sequences), self.width), len(self.index), np.int64)
-        for k, seq in enumerate(sequences):
-            for t, got in enumerate(seq):
-                out[t, k, : len(got)] = got[: self.width]
-        return out, size
+    def _pack(self, rows: list[list[int]]) -> np.ndarray:
+        """The numbers of each token's features, padded with that of none."""
+        out = np.full((len(rows), self.width), len(self.index), np.int64)
+        for k, got in enumerate(rows):
+            out[k, : len(got)] = got[: self.width]
+        return out
 
     def _train(self, sequences, rounds: int) -> None:
         """Maximises the penalised likelihood by Adam steps over all sequences, with forward and backward sums."""
-        ids, size = self._pack([x for x, _ in sequences])
-        steps, n, labels = len(ids), len(sequences), len(LABELS)
-        inside = np.arange(steps)[:, None] < size
-        gold = np.zeros((steps, n), np.int64)
-        for k, (_, y) in enumerate(sequences):
-            gold[: len(y), k] = y
-        want_emit, want_move = np.zeros_like(self.emit), np.zeros_like(self.move)
-        np.add.at(want_emit, ids[inside], np.eye(labels)[gold[inside]][:, None, :])
-        both = inside[1:]
-        np.add.at(want_move, (gold[:-1][both], gold[1:][both]), 1)
+        ids = self._pack([got for x, _ in sequences for got in x])
+        size = np.array([len(x) for x, _ in sequences])
+        steps, n, labels = int(size.max()), len(sequences), len(LABELS)
+        inside = np.arange(steps) < size[:, None]  # by sequence and place, as tokens are numbered
+        gold = np.concatenate([np.array(y) for _, y in sequences])
+        begins = np.cumsum(size) - size
+        order = np.argsort(ids.ravel(), kind="stable")
+        token, used = order // self.width, np.unique(ids)
+        heads = np.searchsorted(ids.ravel()[order], used)
+
+        def gathered(each: np.ndarray) -> np.ndarray:
+            """Sums of the tokens' rows by feature."""
+            out = np.zeros_like(self.emit)
+            out[used] = np.add.reduceat(each[token], heads)
+            return out
+
+        want_emit, want_move = gathered(np.eye(labels)[gold]), np.zeros_like(self.move)
+        follows = np.setdiff1d(np.arange(len(gold)), begins)
+        np.add.at(want_move, (gold[follows - 1], gold[follows]), 1)
+        both = inside[:, 1:].T
+        inner = inside.T
         state = [[np.zeros_like(x), np.zeros_like(x)] for x in (self.emit, self.move)]
         for step in range(1, rounds + 1):
-            score = self.emit[ids].sum(axis=2)
+            score = np.zeros((n, steps, labels))
+            score[inside] = self.emit[ids].sum(axis=1)
+            score = score.transpose(1, 0, 2)
             move = np.where(self.barred, -1e4, self.move)
             ahead, back = np.zeros((steps, n, labels)), np.zeros((steps, n, labels))
             ahead[0] = score[0] + np.where([x[0] == "I" for x in LABELS], -1e4, 0)
             total = lambda x: (m := x.max(axis=1, keepdims=True))[:, 0] + np.log(np.exp(x - m).sum(axis=1))
             for t in range(1, steps):
-                ahead[t] = np.where(inside[t][:, None], total(ahead[t - 1][:, :, None] + move) + score[t], ahead[t - 1])
+                ahead[t] = np.where(inner[t][:, None], total(ahead[t - 1][:, :, None] + move) + score[t], ahead[t - 1])
             for t in range(steps - 2, -1, -1):
-                back[t] = np.where(inside[t + 1][:, None], total(((score[t + 1] + back[t + 1])[:, None, :] + move).transpose(0, 2, 1)), 0)
+                back[t] = np.where(inner[t + 1][:, None], total(((score[t + 1] + back[t + 1])[:, None, :] + move).transpose(0, 2, 1)), 0)
             z = total(ahead[-1])
-            each = np.exp(ahead + back - z[:, None]) * inside[:, :, None]
-            got_emit = np.zeros_like(self.emit)
-            np.add.at(got_emit, ids[inside], each[inside][:, None, :])
+            each = np.exp(ahead + back - z[:, None])
+            got_emit = gathered(each.transpose(1, 0, 2)[inside])
             pair = np.exp(ahead[:-1][:, :, :, None] + move + (score[1:] + back[1:])[:, :, None, :] - z[:, None, None]) * both[:, :, None, None]
             for k, (weights, grown) in enumerate(((self.emit, want_emit - got_emit), (self.move, want_move - pair.sum(axis=(0, 1))))):
                 grown = grown / n - 1e-4 * weights
@@ -224,32 +240,48 @@ class Field:
             self.emit[-1] = 0  # padding and features that training didn't have
         self.move = np.where(self.barred, -1e4, self.move)
 
-    def decode(self, sequences: list[list[list[str]]]) -> list[list[int]]:
-        """The best labels of each sequence: Viterbi over all of them at once, longest first."""
-        known = [[[self.index.get(f, len(self.index)) for f in got] for got in seq] for seq in sequences]
-        order = sorted(range(len(known)), key=lambda k: -len(known[k]))
-        out: list[list[int]] = [[] for _ in known]
+    def emissions(self, text: str, tokens: np.ndarray) -> np.ndarray:
+        """The scores of each token's labels by its features; tokens: rows of start and end."""
+        out = np.zeros((len(tokens), len(LABELS)), np.float32)
+        for at in range(0, len(tokens), FEATURED):
+            low, high = max(0, at - NEAR), min(len(tokens), at + FEATURED + NEAR)
+            near = [tuple(x) for x in tokens[low:high].tolist()]
+            known = [[self.index.get(f, len(self.index)) for f in got] for got in features(text, near)[at - low : at - low + FEATURED]]
+            out[at : at + len(known)] = self.emit[self._pack(known)].sum(axis=1)
+        return out
+
+    def decode(self, scores: list[np.ndarray]) -> list[np.ndarray]:
+        """The best labels of each sequence by its emissions: Viterbi over many at once, longest first."""
+        order = sorted(range(len(scores)), key=lambda k: -len(scores[k]))
+        out: list[np.ndarray] = [np.zeros(0, np.int8) for _ in scores]
         at = 0
+        move = self.move.astype(np.float32)
         while at < len(order):
-            longest = max(1, len(known[order[at]]))
+            longest = max(1, len(scores[order[at]]))
             part = order[at : at + max(1, 60_000 // longest)]
             at += len(part)
-            ids, size = self._pack([known[k] for k in part])
-            score = self.emit[ids].sum(axis=2)
-            best = score[0] + np.where([x[0] == "I" for x in LABELS], -1e4, 0)
+            size = np.array([len(scores[k]) for k in part])
+            score = np.zeros((longest, len(part), len(LABELS)), np.float32)
+            for n, k in enumerate(part):
+                score[: size[n], n] = scores[k]
+            best = score[0] + np.where([x[0] == "I" for x in LABELS], np.float32(-1e4), np.float32(0))
             back = np.zeros(score.shape, np.int8)
-            for t in range(1, len(score)):
-                n = int((size > t).sum())
-                both = best[:n, :, None] + self.move
+            active = np.searchsorted(-size, -np.arange(longest), "left")  # sequences longer than t
+            for t in range(1, longest):
+                n = active[t]
+                both = best[:n, :, None] + move
                 back[t, :n] = both.argmax(axis=1)
                 best[:n] = both.max(axis=1) + score[t, :n]
-            last = best.argmax(axis=1)
-            for k, place in enumerate(part):
-                label, path = int(last[k]), []
-                for t in range(size[k] - 1, -1, -1):
-                    path.append(label)
-                    label = int(back[t, k, label])
-                out[place] = path[::-1]
+                if not t % 4096:  # only differences matter
+                    best -= best.max(axis=1, keepdims=True)
+            label = best.argmax(axis=1)
+            path = np.zeros((longest, len(part)), np.int8)
+            for t in range(longest - 1, -1, -1):
+                n = active[t]
+                path[t, :n] = label[:n]
+                label[:n] = back[t, np.arange(n), label[:n]]
+            for n, k in enumerate(part):
+                out[k] = path[: size[n], n]
         return out
 
 
@@ -261,9 +293,16 @@ def field() -> Field:
 def stretches(text: str) -> list[tuple[int, int]]:
     """Where the field is applied: words with a digit and some text on either side, joined where they meet."""
     out: list[list[int]] = []
-    for m in _AROUND.finditer(text) if _DIGIT.search(text) else ():
-        a, b = max(0, m.start() - 40), min(len(text), m.end() + 24)
-        while 0 < a < m.start() and not text[a - 1].isspace():
+    at = 0
+    while digit := _DIGIT.search(text, at):
+        # the word around the digit, by looking back no further than where the last word ended
+        begin = digit.start()
+        while begin > at and not text[begin - 1].isspace():
+            begin -= 1
+        at = end = _SOLID.match(text, digit.start()).end()
+        a, b = max(0, begin - 40), min(len(text), end + 24)
+        low = out[-1][1] if out else 0
+        while low < a < begin and not text[a - 1].isspace():
             a += 1
         if out and a <= out[-1][1]:
             out[-1][1] = b
@@ -273,28 +312,31 @@ def stretches(text: str) -> list[tuple[int, int]]:
 
 
 def added_spans(texts: list[str], base: list[list[Span]], own: Field) -> list[list[Span]]:
-    where, sequences, tokens = [], [], []
+    where, scores, tokens = [], [], []
     for k, text in enumerate(texts):
         for a, b in stretches(text):
-            found = [(m.start(), m.end()) for m in _TOKEN.finditer(text, a, b)]
-            if found:
+            found = np.fromiter((x for m in _TOKEN.finditer(text, a, b) for x in m.span()), np.int64).reshape(-1, 2)
+            if len(found):
                 where.append(k)
                 tokens.append(found)
-                sequences.append(features(text, found))
+                scores.append(own.emissions(text, found))
     out: list[list[Span]] = [[] for _ in texts]
-    for k, found, labels in zip(where, tokens, own.decode(sequences) if sequences else []):
-        at = 0
-        while at < len(found):
-            if not labels[at]:
-                at += 1
-                continue
-            first = at
-            at += 1
-            while at < len(found) and LABELS[labels[at]] == "I-" + LABELS[labels[first]][2:]:
-                at += 1
-            a, b = found[first][0], found[at - 1][1]
-            if _DIGIT.search(texts[k], a, b) and not any(a < y and b > x for _, x, y in base[k]):
-                out[k].append((_OF[LABELS[labels[first]][2:]], a, b))
+    for k, found, labels in zip(where, tokens, own.decode(scores) if scores else []):
+        for first in np.flatnonzero(labels).tolist():
+            kind = LABELS[labels[first]]
+            if kind[0] == "I" and first and labels[first - 1] and LABELS[labels[first - 1]][2:] == kind[2:]:
+                continue  # within a span
+            end = first + 1
+            while end < len(found) and LABELS[labels[end]] == "I-" + kind[2:]:
+                end += 1
+            a, b = int(found[first, 0]), int(found[end - 1, 1])
+            if _DIGIT.search(texts[k], a, b):
+                out[k].append((_OF[kind[2:]], a, b))
+        if out[k] and base[k]:
+            starts = sorted((x, y) for _, x, y in base[k])
+            reach = np.maximum.accumulate([y for _, y in starts])
+            begins = [x for x, _ in starts]
+            out[k] = [s for s in out[k] if not (n := bisect_left(begins, s[2])) or reach[n - 1] <= s[1]]
     return out
 
 

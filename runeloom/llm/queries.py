@@ -57,7 +57,8 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_kind = lambda spans: F.array_join(F.transform(F.array_sort(F.transform(spans, lambda x: F.struct(F.array_position(order, x["kind"]).alias("place"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))), lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     of = lambda k: F.size(F.filter("base", lambda x: x["kind"] == F.lit(k))).cast("long").alias(f"n_{k}")
     count = [of(k) for k in pii.KINDS[: pii.BASE]]
-    return found.select("doc_id", *count, F.sha2(by_kind(F.col("base")).cast("binary"), 256).alias("base_sha256"), by_kind(F.concat("base", "added")).alias("spans"))
+    return found.select("doc_id", *count, F.sha2(by_kind(F.col("base")).cast("binary"), 256).alias("base_sha256"), by_kind(F.concat("base", "added")).alias("spans"),
+                        F.size(F.concat("base", "added")).cast("long").alias("n_spans"), F.size("added").cast("long").alias("n_added"))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
