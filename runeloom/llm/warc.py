@@ -3,15 +3,20 @@
 Writing. A page becomes a response record whose block is an HTTP response in chunked transfer framing; of pages with
 equal payloads of at least REVISITED bytes that with the largest id does, the others become revisit records that refer
 to it. A block longer than SEGMENT bytes is cut into a first record and continuation records. Spark's own text
-writer puts the records into files of the shared folder, gzip-compressed, with the end of a record as line separator; files hold at
-most RECORDS records, so their size is bounded and no store but Spark's needs to be reached.
+writer puts the records into files of the shared folder, with the end of a record as line separator; files hold at
+most RECORDS records, the first of which describes the file, so their size is bounded and no store but Spark's needs to be
+reached. That writer compresses a file as a whole: archives are to be read from their beginning, not from a record within.
+Which page others refer to is found from digests alone; a payload that very many pages hold isn't gathered in one task.
 
-Reading. Records are taken apart by their Content-Length. Continuations are grouped by the identifier of their
+Reading. All files of a folder are read, of this writer or of others, plain or gzip-compressed as a whole or by record. Records
+are taken apart by their Content-Length. Continuations are grouped by the identifier of their
 origin, put in order by segment number and joined; numbers must run from 1 without a gap and the total length must be that which the last one
-states. Then the chunked framing is undone. A broken record raises ValueError.
+states. Then the chunked framing is undone. A broken record raises ValueError. Records of other types than response, revisit and
+continuation are passed over by read().
 
-A null payload counts as empty, a null address is written as an empty one. Repeated pages become records each; those with
-the largest id of equal payloads are all responses. A page with a null id is written and read with a null id, and never referred to.
+A null payload counts as empty, a null address is written as an empty one; an empty table gives no records, and other columns have no
+part. Repeated pages become records each; those with the largest id of equal payloads are all responses. A page with a null id is
+written and read with a null id, and never referred to.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .columns import map_slices
-from .shared import shared_path
+from .shared import cut, frequent, join_counted, shared_path
 
 SEGMENT, RECORDS, CHUNK, REVISITED = 64 << 10, 1000, 8 << 10, 1000
 END = "\r\n\r\n"
@@ -68,6 +73,12 @@ def _head(fields: list[tuple[str, object]]) -> bytes:
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode()
 
 
+def info(name: str) -> bytes:
+    """The record that describes a file, named after the first page in it."""
+    block = b"software: runeloom\r\nformat: WARC File Format 1.1\r\n"
+    return _head([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<{name}:info>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields"), ("Content-Length", len(block))]) + block
+
+
 def records_of(name: str, url: str, payload: bytes, digest: str, refers: str | None, segment: int = SEGMENT) -> Iterator[bytes]:
     """The records of one page, without the two line ends that close each."""
     url = "".join(c if c > " " else "%%%02X" % ord(c) for c in url)
@@ -95,8 +106,17 @@ def write(pages: DataFrame, path: str, id: str = "page_id", url: str = "url", ht
     body = F.col("html").cast("binary")
     rows = rows.withColumns({"sha": F.sha1(body), "mark": F.xxhash64("html"), "size": F.octet_length("html")})
     # Only payloads that occur again need to be known to the others.
-    first = rows.where(F.col("size") >= REVISITED).groupBy("sha", "mark", "size").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").drop("n")
-    rows = rows.join(first, ["sha", "mark", "size"], "left")
+    payload = F.struct("sha", "mark", "size").alias("payload")
+    first = rows.where(F.col("size") >= REVISITED).groupBy(payload).agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
+    first = cut(first)
+    hot, _ = frequent(first)
+    if hot.isEmpty():
+        rows = rows.withColumn("payload", payload).join(first.drop("n"), "payload", "left")
+    else:  # rows of a frequent payload learn of it where they are, and move by a key of their own
+        hot = F.broadcast(cut(hot.select(F.col("payload").alias("_hot"), F.col("first").alias("_first"))))
+        rows = rows.withColumn("payload", payload).join(hot, F.col("payload") == F.col("_hot"), "left")
+        alone = F.struct(F.when(F.col("_hot").isNull(), F.col("sha")).otherwise(F.concat(F.lit("#"), F.monotonically_increasing_id().cast("string"))).alias("sha"), "mark", "size")
+        rows = rows.withColumn("payload", alone).join(first.drop("n"), "payload", "left").withColumn("first", F.coalesce("_first", "first"))
     name = lambda x: F.concat(F.lit("urn:page:"), F.coalesce(x.cast("string"), F.lit("null")))
     refers = F.when(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("id")), name(F.col("first")))
     # Record names must differ where pages are repeated, but a response that others refer to goes by its page alone.
@@ -104,8 +124,19 @@ def write(pages: DataFrame, path: str, id: str = "page_id", url: str = "url", ht
     rows = rows.select(unique.alias("name"), "url", "html", "sha", refers.alias("refers"))
 
     def make():
+        written = 0
+
         def step(part: pa.RecordBatch) -> dict:
-            return {"record": [x.decode() for name, url, html, sha, refers in zip(*(c.to_pylist() for c in part.columns)) for x in records_of(name, url, html.encode(), sha, refers)]}
+            nonlocal written
+            out = []
+            for name, url, html, sha, refers in zip(*(c.to_pylist() for c in part.columns)):
+                for record in records_of(name, url, html.encode(), sha, refers):
+                    if not written % RECORDS:  # here the writer begins a file
+                        out.append(info(name).decode())
+                        written += 1
+                    out.append(record.decode())
+                    written += 1
+            return {"record": out}
 
         return step
 
@@ -126,6 +157,9 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         data = b"".join(plain)
     at = 0
     while at < len(data):
+        if data.startswith((b"\r", b"\n"), at):  # more line ends than two after a record
+            at += 1
+            continue
         end = data.find(b"\r\n\r\n", at)
         lines = data[at:end].decode().split("\r\n")
         if end < 0 or not lines[0].startswith("WARC/"):
@@ -159,7 +193,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
     names = ["id", "type", "refers_to", "digest", "segment", "total", "block"]
     types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInArrow(run, "id string, type string, refers_to string, digest string, segment long, total long, block binary")
 
 
@@ -191,7 +225,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 cut = lambda x: x[at : at + 64]  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([cut(ids), cut(kinds), cut(refers), cut(digests), pa.array(out, pa.binary())], names=["id", "type", "refers_to", "digest", "payload"])
 
-    records = read_records(spark, path)
+    records = read_records(spark, path).where(F.col("type").isin("response", "revisit", "continuation"))
     whole = records.where("segment is null").select("id", "type", "refers_to", "digest", "block", F.lit(None).cast("array<struct<segment: long, total: long, block: binary>>").alias("parts"))
     cut = records.where("segment is not null").groupBy("id").agg(
         F.max(F.when(F.col("segment") == 1, F.col("type"))).alias("type"), F.max("refers_to").alias("refers_to"), F.max("digest").alias("digest"),
@@ -211,9 +245,11 @@ def archived(pages: DataFrame, path: str | None = None, id: str = "page_id", url
         page(F.col("id")).alias("id"), "type", page(F.col("refers_to")).alias("refers_to"), F.octet_length("payload").cast("long").alias("size"), F.sha1("payload").alias("sha"),
         F.substring_index("digest", ":", -1).alias("digest"),
     )
-    revisits = found.where("type = 'revisit'").select(F.col("id").alias("page"), "refers_to", "digest")
-    referred = found.where("type = 'response'").groupBy("id").agg(F.max("size").alias("size"), F.max("sha").alias("sha"))
+    revisits = cut(found.where("type = 'revisit'").select(F.col("id").alias("page"), "refers_to", "digest"))
+    asked = cut(revisits.groupBy("refers_to").agg(F.count(F.lit(1)).alias("n")))
+    referred = found.where("type = 'response'").groupBy("id").agg(F.max("size").alias("size"), F.max("sha").alias("sha")).withColumnRenamed("id", "refers_to")
+    known = cut(asked.join(referred, "refers_to", "left"))
     same = F.when(F.col("sha") == F.col("digest"), F.col("sha"))
     out = found.where("type = 'response'").select(F.col("id").alias(id), "size", same.alias("sha"), "type", F.lit(None).cast("long").alias("refers_to"))
-    more = revisits.join(referred, revisits.refers_to == referred.id, "left").select(F.col("page").alias(id), "size", same.alias("sha"), F.lit("revisit").alias("type"), "refers_to")
+    more = join_counted(revisits, known, "refers_to").select(F.col("page").alias(id), "size", same.alias("sha"), F.lit("revisit").alias("type"), "refers_to")
     return out.unionByName(more).select(id, F.col("size").alias("payload_bytes"), F.col("sha").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
