@@ -1,8 +1,9 @@
 """A training corpus from the table `documents`, stage by stage.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-one's docs. All but the last return the columns of documents. Rows with a null doc_id pass through the stages as
-documents of their own; rows that share a doc_id are kept or dropped together.
+one's docs. All but the last return the columns of documents. Each row is decided by its own text, whatever its doc_id, but in
+near deduplication, where rows that share a doc_id are one document and rows with a null one are linked with nothing. Null and
+empty texts have no letters and go in the first stage.
 """
 
 from __future__ import annotations
@@ -12,13 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runeloom.llm import byte_bpe, decontaminate, exact_dedup, language_id, near_dup
-from runeloom.llm.shared import shared_path
-
-
-def _only(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """The documents whose id is marked as kept."""
-    kept = marked.where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+from runeloom.llm.shared import cut, shared_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,13 +22,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the longest original of equal texts."""
-    return _only(docs, exact_dedup.exact_duplicates(docs))
+    """Keeps one row of equal texts, that with the longest original."""
+    return exact_dedup.distinct_rows(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates: five words, a similarity of 0.8."""
-    return _only(docs, near_dup.near_duplicates(docs))
+    dropped = cut(near_dup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_dropped")).distinct())
+    return docs.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")  # broadcast if the table's size allows it
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
