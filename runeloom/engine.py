@@ -72,6 +72,7 @@ class Engine:
         return set_ops.draft(documents, self.config, keep_fixable, lambda: icu.locales(self.spark))
 
     def guard(self, events: DataFrame, payload: str = "payload", files: DataFrame | None = None) -> DataFrame:
+        """What is decided about each event; with files, read events are judged by the rules of the path they name."""
         return guard_ops.guard(events, self.bench, payload, files)
 
     def lints_in(self, text: str) -> list[tuple[int, str]]:

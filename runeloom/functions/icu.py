@@ -28,21 +28,12 @@ def sequences(spark: SparkSession) -> tuple[str, ...]:
     return tuple(sorted(out) + sorted(c + "\ufe0f" for c in presentation_bases()))
 
 
-#: Blocks with letters that look like ASCII ones.
-_LOOKALIKE = [(0xA0, 0x24F), (0x250, 0x3FF), (0x400, 0x58F), (0x5D0, 0x5EA), (0x13A0, 0x13FF), (0x1D00, 0x1DBF), (0x2000, 0x206F), (0x2100, 0x214F), (0x2200, 0x22FF), (0x2C60, 0x2CFF), (0xA4D0, 0xA4FF), (0xFF01, 0xFF5E), (0x1D400, 0x1D7FF)]
-
-
 @lru_cache(1)
 def confusables(spark: SparkSession) -> frozenset[str]:
-    """Characters beyond ASCII whose skeleton is ASCII."""
-    checker = _icu(spark).text.SpoofChecker.Builder().build()
-    out = set()
-    for a, b in _LOOKALIKE:
-        for c in range(a, b + 1):
-            said = checker.getSkeleton(chr(c))
-            if said and said.isascii():
-                out.add(chr(c))
-    return frozenset(out)
+    """Characters beyond ASCII whose skeleton is ASCII: of all code points, in one call, as a line feed keeps them apart."""
+    every = "".join(chr(c) + "\n" for c in range(0x80, 0x110000) if not 0xD800 <= c <= 0xDFFF)
+    drawn = _icu(spark).text.SpoofChecker.Builder().build().getSkeleton(every).split("\n")
+    return frozenset(c for c, x in zip(every[::2], drawn) if x and x.isascii())
 
 
 def locale_set(spark: SparkSession):

@@ -25,9 +25,25 @@ _WHITE = frozenset(chr(c) for a, b in chars.WHITE for c in range(a, b + 1))
 _SPACE = frozenset(chr(c) for a, b in chars.SPACES for c in range(a, b + 1))
 _CLASS = {chr(c): name for name in reversed(chars.HAZARDS) for a, b in chars.HAZARDS[name] for c in range(a, b + 1)}
 RANK = {x: k for k, x in enumerate(CLAIMS)}
-SCRIPTS = "Latin Greek Cyrillic Armenian Hebrew Arabic Syriac Thaana Devanagari Bengali Gurmukhi Gujarati Oriya Tamil Telugu Kannada Malayalam Sinhala Thai Lao Tibetan Myanmar Georgian Hangul Ethiopic Cherokee Khmer Mongolian Hiragana Katakana Bopomofo Han Yi Gothic Coptic Tifinagh Nko Balinese Javanese Vai Runic Ogham".split()
-_SCRIPT = {s: regex.compile(r"\p{scx=%s}" % s) for s in SCRIPTS}
-_WIDE = {"Han": {"Hanb", "Jpan", "Kore"}, "Hiragana": {"Jpan"}, "Katakana": {"Jpan"}, "Hangul": {"Kore"}, "Bopomofo": {"Hanb"}}
+# The scripts of Unicode by their short names, less those that go with any (Zyyy, Zinh) or with none (Zzzz).
+SCRIPTS = """Adlm Aghb Ahom Arab Armi Armn Avst Bali Bamu Bass Batk Beng Bhks Bopo Brah Brai Bugi Buhd Cakm Cans Cari Cham Cher Chrs
+Copt Cpmn Cprt Cyrl Deva Diak Dogr Dsrt Dupl Egyp Elba Elym Ethi Gara Geor Glag Gong Gonm Goth Gran Grek Gujr Gukh Guru Hang Hani
+Hano Hatr Hebr Hira Hluw Hmng Hmnp Hung Ital Java Kali Kana Kawi Khar Khmr Khoj Kits Knda Krai Kthi Lana Laoo Latn Lepc Limb Lina
+Linb Lisu Lyci Lydi Mahj Maka Mand Mani Marc Medf Mend Merc Mero Mlym Modi Mong Mroo Mtei Mult Mymr Nagm Nand Narb Nbat Newa Nkoo
+Nshu Ogam Olck Onao Orkh Orya Osge Osma Ougr Palm Pauc Perm Phag Phli Phlp Phnx Plrd Prti Rjng Rohg Runr Samr Sarb Saur Sgnw Shaw
+Shrd Sidd Sidt Sind Sinh Sogd Sogo Sora Soyo Sund Sunu Sylo Syrc Tagb Takr Tale Talu Taml Tang Tavt Telu Tfng Tglg Thaa Thai Tibt
+Tirh Tnsa Todr Tols Toto Tutg Ugar Vaii Vith Wara Wcho Xpeo Xsux Yezi Yiii Zanb Berf Tayo""".split()
+
+
+def _known(name: str):
+    try:
+        return regex.compile(r"\p{scx=%s}" % name)
+    except regex.error:
+        return None  # newer than the tables at hand
+
+
+_SCRIPT = {s: p for s in SCRIPTS if (p := _known(s))}
+_WIDE = {"Hani": {"Hanb", "Jpan", "Kore"}, "Hira": {"Jpan"}, "Kana": {"Jpan"}, "Hang": {"Kore"}, "Bopo": {"Hanb"}}
 
 
 @dataclass
@@ -74,10 +90,10 @@ class Judge:
         bases = chars.presentation_bases()
         return {m.start() for m in _VARIED.finditer(text) if m.start() and text[m.start() - 1] in bases and self.inside(text[m.start() - 1])}
 
-    def hazard_at(self, text: str, at: int, exempt: set[int]) -> str | None:
+    def hazard_at(self, text: str, at: int, exempt: set[int], whole: bool = True) -> str | None:
         c = text[at]
         name = _CLASS.get(c)
-        if name is None or at in exempt or c in self.excused or (name == "stray-bom" and at == 0):
+        if name is None or at in exempt or c in self.excused or (name == "stray-bom" and at == 0 and whole):
             return None
         return name
 
@@ -90,8 +106,9 @@ class Judge:
             if c in self.confusables:
                 yield "confusable"
 
-    def findings(self, text: str) -> list[tuple[int, str, int, str]]:
-        """(place, lint, level, character), by place; one for each place, of the strongest lint that speaks."""
+    def findings(self, text: str, whole: bool = True) -> list[tuple[int, str, int, str]]:
+        """(place, lint, level, character), by place; one for each place, of the strongest lint that speaks. whole: whether the text
+        begins a file, where a byte order mark may stand."""
         best: dict[int, tuple[str, str]] = {}
 
         def claim(at: int, lint: str) -> None:
@@ -104,7 +121,7 @@ class Judge:
             if at in kept:
                 continue
             c = text[at]
-            if lint := self.hazard_at(text, at, exempt):
+            if lint := self.hazard_at(text, at, exempt, whole):
                 claim(at, lint)
             if not self.inside(c):
                 claim(at, "outside-set")

@@ -1,8 +1,9 @@
 """Findings, rewrites and counts of a table of documents.
 
 `documents` everywhere is a DataFrame with the columns path and text, or path and content (bytes). The law of a path is
-resolved beside the scan, once for each distinct path in a task; a text is walked once. No operator here shuffles; null
-texts count as empty.
+resolved beside the scan, once for each distinct path in a task; a text is walked once. Texts that a pattern shows to hold
+nothing of interest never leave the JVM. No operator here shuffles, but for a scan of fewer partitions than there are cores, whose rows
+are dealt out; null texts count as empty.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,8 +21,9 @@ from pyspark.sql.types import StructType
 from ..functions import chars
 from ..functions.judge import Judge, Places, unreadable
 from ..functions.rewrite import MapCycle, NotIdempotent, Rewriter
-from ..plans import globs
 from ..plans.config import LEVELS, LINTS, Config, Law
+from ..sources.spread import spread
+from . import native
 
 FINDINGS = "path string, line int, column int, byte long, codepoint string, character string, set string, lint string, level string, replacement string, fixable boolean"
 ROWS = 256
@@ -44,8 +47,9 @@ class Bench:
         return Bench, (self.config, self.sequences, self.confusables)
 
 
-def mapped(documents: DataFrame, bench: Bench, schema: str, each) -> DataFrame:
-    """`each(bench, path, text)` gives rows of the schema for every text."""
+def mapped(documents: DataFrame, bench: Bench, schema: str, each, some=None) -> DataFrame:
+    """`each(bench, path, text)` gives rows of the schema for every text; some: a condition on path and text that those with any
+    rows meet."""
     out = to_arrow_schema(StructType.fromDDL(schema))
     sent = documents.sparkSession.sparkContext.broadcast(bench)
     bytes_ = "text" not in documents.columns
@@ -68,7 +72,10 @@ def mapped(documents: DataFrame, bench: Bench, schema: str, each) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
 
-    return documents.select("path", "content" if bytes_ else "text").mapInArrow(run, schema)
+    documents = spread(documents.select("path", "content" if bytes_ else "text"))
+    if some is not None and not bytes_:
+        documents = documents.where(some(F.col("path"), F.coalesce("text", F.lit(""))))
+    return documents.mapInArrow(run, schema)
 
 
 def _row(judge: Judge, path: str, place: tuple[int, int, int], lint: str, level: int, c: str, replacement=None, fixable=False) -> tuple:
@@ -96,7 +103,7 @@ def findings(documents: DataFrame, bench: Bench, remedies: bool = False) -> Data
         for at, lint, level, c in found:
             yield _row(judge, path, places.of(at), lint, level, c, to.get(at), left is not None and at not in left)
 
-    return mapped(documents, bench, FINDINGS, each)
+    return mapped(documents, bench, FINDINGS, each, lambda path, text: native.suspect(bench, path, text))
 
 
 def still(own: Bench, path: str, text: str, fixed) -> set[int]:
@@ -137,48 +144,70 @@ def rewrites(documents: DataFrame, bench: Bench) -> DataFrame:
             lint, level, c = found.get(at, ("outside-set", 0, c))
             yield (*_row(judge, path, places.of(at), lint, level, c, to, True), to)
 
-    return mapped(documents, bench, FINDINGS + ", to string", each)
+    return mapped(documents, bench, FINDINGS + ", to string", each, lambda path, text: native.touched(bench, path, text))
+
+
+FIXED = "output string, n_rewrites long, n_unmapped long, error string"
+
+
+def _one(own: Bench, path: str, text: str) -> tuple[str, int, int, str | None]:
+    try:
+        got = own.rewriter(own.law(path)).fix(text)
+        return got.output, len(got.rewrites), len(got.unmapped), None
+    except (MapCycle, NotIdempotent) as e:
+        return text, 0, 0, str(e)
 
 
 def fixed(documents: DataFrame, bench: Bench) -> DataFrame:
-    """(path, output, n_rewrites, n_unmapped, error): each text rewritten; one that can't be is left as it is."""
+    """(path, output, n_rewrites, n_unmapped, error): each text rewritten; one that can't be is left as it is. Where single characters
+    alone are at stake, a law's rewrite is a translation by Spark's functions; other texts, such as those with emoji sequences or
+    words, are walked."""
+    if "text" not in documents.columns:
+        return mapped(documents, bench, "path string, " + FIXED, lambda own, path, text: [(path, *_one(own, path, text))])
+    sent = documents.sparkSession.sparkContext.broadcast(bench)
 
-    def each(own: Bench, path: str, text: str):
-        try:
-            got = own.rewriter(own.law(path)).fix(text)
-            yield path, got.output, len(got.rewrites), len(got.unmapped), None
-        except (MapCycle, NotIdempotent) as e:
-            yield path, text, 0, 0, str(e)
+    @F.pandas_udf(FIXED)
+    def walked(path: pd.Series, text: pd.Series) -> pd.DataFrame:
+        own = sent.value
+        rows = [(None, None, None, None) if t is None else _one(own, p or "", t) for p, t in zip(path, text)]
+        out = pd.DataFrame(rows, columns=["output", "n_rewrites", "n_unmapped", "error"], dtype=object)
+        return out.astype({"n_rewrites": "Int64", "n_unmapped": "Int64"})
 
-    return mapped(documents, bench, "path string, output string, n_rewrites long, n_unmapped long, error string", each)
+    own = spread(documents.select("path", F.coalesce("text", F.lit("")).alias("text")))
+    own = own.withColumn("simple", native.fixed(bench, F.col("path"), F.col("text")))
+    own = own.withColumn("walked", walked("path", F.when(F.col("simple").isNull(), F.col("text"))))
+    return own.select("path", *[F.coalesce(F.col(f"simple.{c}"), F.col(f"walked.{c}")).alias(c) for c in ("output", "n_rewrites", "n_unmapped")], F.col("walked.error").alias("error"))
 
 
 def outside_counts(documents: DataFrame, config: Config) -> DataFrame:
     """(path, outside, bytes): characters outside each document's set, by pattern alone. One projection over the scan: a branch
-    for each rule, so that every pattern is a literal and compiled once."""
-    rules = [r for r in config.rule_list if r.sets or r.hazards]
+    for each law, so that every pattern is a literal and compiled once."""
     text = F.coalesce("text", F.lit(""))
-    count = lambda sets, family: F.regexp_count(text, F.lit(chars.java_class(config.catalog.union(["ascii", *sets], family), True)))
-    chain = None
-    for rule in reversed(rules):
-        when = F.col("path").rlike(globs.to_regex(rule.pattern))
-        own = count(rule.sets, rule.family or "text")
-        chain = F.when(when, own) if chain is None else chain.when(when, own)
-    plain = count([], "text")
-    return documents.select("path", (plain if chain is None else chain.otherwise(plain)).cast("long").alias("outside"), F.octet_length(text).cast("long").alias("bytes"))
+    count = lambda law: F.regexp_count(text, F.lit(chars.java_class(config.catalog.union(law.sets, law.family), True)))
+    return documents.select("path", native.by_law(config, F.col("path"), count).cast("long").alias("outside"), F.octet_length(text).cast("long").alias("bytes"))
 
 
 def stats(documents: DataFrame, bench: Bench) -> DataFrame:
     """(path, outside, bytes, tokens, tokens_after, method): tokens are bytes / 4, rounded up, now and after a rewrite."""
+    if "text" not in documents.columns:
+        def each(own: Bench, path: str, text: str):
+            n, after = (len(x.encode()) for x in (text, _one(own, path, text)[0]))
+            yield path, sum(1 for _ in own.judge(own.law(path)).outside.finditer(text)), n, -(-n // 4), -(-after // 4), "bytes/4"
+
+        return mapped(documents, bench, "path string, outside long, bytes long, tokens long, tokens_after long, method string", each)
+    count = lambda law: F.regexp_count("text", F.lit(chars.java_class(bench.config.catalog.union(law.sets, law.family), True)))
+    own = spread(documents.select("path", F.coalesce("text", F.lit("")).alias("text")))
+    own = own.withColumn("outside", native.by_law(bench.config, F.col("path"), count).cast("long")).withColumn("bytes", F.octet_length("text").cast("long"))
+    own = own.withColumn("simple", native.fixed(bench, F.col("path"), F.col("text")))
+    sent = documents.sparkSession.sparkContext.broadcast(bench)
 
-    def each(own: Bench, path: str, text: str):
-        law = own.law(path)
-        judge = own.judge(law)
-        n = len(text.encode())
-        after = len(own.rewriter(law).fix(text).output.encode()) if not text.isascii() or judge.suspect.search(text) else n
-        yield path, sum(1 for _ in judge.outside.finditer(text)), n, -(-n // 4), -(-after // 4), "bytes/4"
+    @F.pandas_udf("long")
+    def walked(path: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else len(_one(sent.value, p or "", t)[0].encode()) for p, t in zip(path, text)], dtype="Int64")
 
-    return mapped(documents, bench, "path string, outside long, bytes long, tokens long, tokens_after long, method string", each)
+    after = F.coalesce(F.octet_length("simple.output").cast("long"), walked("path", F.when(F.col("simple").isNull(), F.col("text"))))
+    quarter = lambda c: F.expr(f"({c} + 3) div 4")
+    return own.withColumn("after", after).select("path", "outside", "bytes", quarter("bytes").alias("tokens"), quarter("after").alias("tokens_after"), F.lit("bytes/4").alias("method"))
 
 
 def located(documents: DataFrame, keep: Column | None = None) -> DataFrame:

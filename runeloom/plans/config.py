@@ -52,8 +52,8 @@ def unknown(origin: str, kind: str, name: str, known: Iterable[str]) -> None:
 
 
 def lines(text: str, name: str) -> list[tuple[str, str]]:
-    """(origin, line) of each line that isn't blank or a comment; all lines count for the number."""
-    return [(f"{name}:{n}", x.strip()) for n, x in enumerate(text.splitlines(), 1) if x.strip() and not x.strip().startswith("#")]
+    """(origin, line) of each line that isn't blank or a comment; all lines count for the number, and a line feed alone ends one."""
+    return [(f"{name}:{n}", x.strip()) for n, x in enumerate(text.split("\n"), 1) if x.strip() and not x.strip().startswith("#")]
 
 
 def code_point(word: str, origin: str) -> int:
@@ -310,19 +310,48 @@ class Config:
         levels = {x: LEVELS[level_of(law, x, self.strict)] for x in LINTS}
         return {"path": path, "set": law.name(), "sets": list(law.sets), "hazards": list(law.hazards), "family": law.family, "pattern": origins["pattern"], "winner": origins["set"], "family_from": origins["family"], "level_from": origins["level"], "levels": levels, "effective": self.catalog.union(law.sets, law.family)}
 
+    def switches(self) -> list[str]:
+        """The settings that are no lines."""
+        return ["--no-builtin-map"] * (not self.builtin_map) + ["--no-builtin-sets"] * (not self.builtin_sets) + ["--strict"] * self.strict
+
     def export(self, form: str, path: str | None = None) -> list[str]:
-        """The configuration as flags (args), as lines of files (lines), or in words (prompt); narrowed to a path's rules."""
-        rules = [r for r in self.rule_list if path is None or globs.matches(r.pattern, path)]
-        own = [("rule", r.line) for r in rules] + [("set", x) for _, x in self.set_lines] + [("map", x) for _, x in self.map_lines]
+        """The configuration as flags that need no files (args), as the lines of its files (lines), or in words (prompt); a path
+        narrows the rules to those that match it."""
+        rules = [r.line for r in self.rule_list if path is None or globs.matches(r.pattern, path)]
+        sections = {"rule": rules, "set": [x for _, x in self.set_lines], "map": [x for _, x in self.map_lines]}
         if form == "args":
-            return [w for kind, x in own for w in (f"--{kind}", x)]
+            return ["--no-files", *self.switches(), *(w for kind, found in sections.items() for x in found for w in (f"--{kind}", x))]
         if form == "lines":
-            return [x for _, x in own]
+            return [*([f"# with: {' '.join(self.switches())}"] if self.switches() else []), *(x for kind, found in sections.items() for x in (f"# {kind}s", *found))]
         if form != "prompt":
-            raise ConfigError(f"unknown form `{form}`")
-        law = self.law(path) if path else Law()
-        out = ["Write plain ASCII: tab, line feed, and U+0020 to U+007E." if law.sets == ("ascii",) else "Besides ASCII you may write: " + ", ".join(f"{n} ({chars.size(self.catalog.resolve(n, law.family))} characters)" for n in law.sets[1:]) + "."]
-        return out + [f"Write {to!r} for {chars.spelled(ord(x))}." for x, (to, _) in self.map.entries.items() if len(x) == 1 and to][:40]
+            raise ConfigError(f"unknown form `{form}`: args, lines or prompt")
+        return self._prompt(path)
+
+    def _prompt(self, path: str | None) -> list[str]:
+        granting = [r for r in self.rule_list if r.sets or r.hazards]
+        if path is not None:
+            law, origins = resolve(self.rule_list, path)
+            why = f" (pattern `{origins['pattern']}`)" if origins["pattern"] else " (no rule matches, so the default)"
+            place, names, fidelity, family, grants = f"`{path}`", list(law.sets), law.family, law.family, [f"- {law.name()}{why}"]
+            allowed = self.catalog.union(law.sets, law.family)
+        else:
+            law = Law()
+            place, family, allowed = "this corpus", "text", list(chars.ASCII)
+            names = list(dict.fromkeys(["ascii", *(n for r in granting for n in r.sets)]))
+            grants = ["- a path that no pattern matches: ascii", *(f"- `{r.pattern}`: {'+'.join(dict.fromkeys(['ascii', *r.sets]))}" for r in granting), "(the last matching pattern wins)"]
+            named = [f"`{r.pattern}` @{r.family}" for r in self.rule_list if r.family]
+            fidelity = "text" + (f"; by pattern, the last match wins: {', '.join(named)}" if named else "")
+        spell = lambda ranges: " ".join(chars.spelled(a) if a == b else f"{chars.spelled(a)}-{chars.spelled(b)}" for a, b in ranges)
+        shown = lambda text: " ".join(chars.spelled(ord(c)) for c in text)
+        out = [f"Text in {place} may hold the characters of the sets below; any other is reported.", "Allowed:", *grants, f"Fidelity: {fidelity}.", "Sets:"]
+        out += [f"- {n}: {spell(self.catalog.resolve(n, family))}" for n in names]
+        inside = {p for a, b in allowed for p in range(a, b + 1)} if sum(b - a + 1 for a, b in allowed) < 200_000 else None
+        fits = lambda text: all(ord(c) in inside if inside is not None else chars.contains(allowed, ord(c)) for c in text)
+        told = [f"- {shown(x)} -> {to!r}{' (a word)' if word else ''}" for x, (to, word) in self.map.entries.items() if not fits(x) and fits(to)]
+        out += [f"- {', '.join(shown(m) for g in groups for m in g[1] if not fits(m))} -> {to!r}" for name, groups in self.map.classes.items() if (to := self.map.target(name, fits, self.map.fidelity)) is not None] + (["Write instead:", *told] if told else [])
+        out.append("Never write, whatever the sets allow: " + "; ".join(f"{x} ({spell(r)})" for x, r in chars.HAZARDS.items() if not (x == "tag-character" and "tags" in law.hazards)) + ".")
+        levels = [f"{x} ({LEVELS[k]})" for x, g in LINTS.items() if g == "pedantic" and (k := level_of(law, x, self.strict))]
+        return out + ([f"Reported as well: {', '.join(levels)}."] if levels else [])
 
 
 def one(text: str, flag: str) -> str:

@@ -60,6 +60,8 @@ class Map:
     def parse(cls, given: list[tuple[str, str]], builtin: bool = True) -> Map:
         """`<from> [<to>]`, `word <from> <to>`, `family <name> <parent>`, `= <class> family:member,...`, `use words`; the later line wins."""
         own = cls(dict(BUILTIN) if builtin else {})
+        declared: dict[str, str] = {}
+        used: dict[str, str] = {}
         for origin, line in given:
             words = line.split()
             if words == ["use", "words"]:
@@ -70,17 +72,21 @@ class Map:
                     fail(origin, "`word` takes what to replace and one word")
                 own._entry(words[1], words[2], True, origin)
             elif words[0] == "family":
-                if len(words) != 3 or words[2] not in {"ascii", *own.families}:
-                    fail(origin, "`family` takes a name and a known parent")
+                if len(words) != 3:
+                    fail(origin, "`family` takes a name and a parent")
+                if words[1] == "ascii":
+                    fail(origin, "the family `ascii` has no parent")
                 own.families[words[1]] = words[2]
+                declared[words[1]] = origin
             elif words[0] == "=":
                 if len(words) < 3:
                     fail(origin, "`=` takes a class and members")
                 members = []
                 for part in words[2:]:
                     family, colon, body = part.partition(":")
-                    if not colon or family not in {"ascii", *own.families}:
-                        fail(origin, f"`{part}` names no known family")
+                    if not colon:
+                        fail(origin, f"`{part}` names no family")
+                    used[family] = origin
                     members.append((family, [text_of(x, origin) for x in body.split(",") if x]))
                 own.classes.pop(words[1], None)
                 own.classes[words[1]] = members
@@ -88,8 +94,23 @@ class Map:
                 fail(origin, "a map line takes what to replace and at most one replacement")
             else:
                 own._entry(words[0], words[1] if len(words) > 1 else "", False, origin)
+        for family, origin in (declared | used).items():
+            own.way(family, origin)
+        for family in own.families:
+            own.way(family, "map")
         return own
 
+    def way(self, family: str, origin: str) -> list[str]:
+        """The families from one to `ascii`, in which members are looked for; one that doesn't get there raises."""
+        out = [family]
+        while out[-1] != "ascii":
+            if out[-1] not in self.families:
+                fail(origin, f"unknown family `{out[-1]}`")
+            if self.families[out[-1]] in out:
+                fail(origin, "families in a circle: " + " -> ".join([*out, self.families[out[-1]]]))
+            out.append(self.families[out[-1]])
+        return out
+
     def _entry(self, source: str, to: str, word: bool, origin: str) -> None:
         source = text_of(source, origin)
         if source.isascii():
@@ -111,12 +132,10 @@ class Map:
 
     def target(self, name: str, allowed: Callable[[str], bool], fidelity: str) -> str | None:
         """The class's first member, on the way from a family to ascii, of which every character is allowed."""
-        family: str | None = fidelity
-        while family is not None:
+        for family in self.way(fidelity, "map"):
             for own, members in self.classes[name]:
                 if own == family:
                     for m in members:
                         if all(map(allowed, m)):
                             return m
-            family = self.families.get(family)
         return None

@@ -1,15 +1,17 @@
 """A stateless screen of tool events: one payload in, one decision out; the same function for a batch and for a stream.
 
 A payload is JSON with hook_event_name, tool_name and tool_response, or for a file that is about to be read (PreToolUse and
-Read) tool_input.file_path and cwd; a read event may hold the text itself as `content`. What an event's output holds decides: tag characters and
+Read) tool_input.file_path and cwd. What an event's output holds decides: tag characters and
 direction overrides block, other hazards are noted, anything else passes in silence. Strings and keys are visited
-with their place, 256 levels deep. A payload that isn't JSON is searched as it stands, with \\u escapes decoded, for blocking
-characters alone. A null payload passes.
+with their place, 256 levels deep; an output begins no file, so a byte order mark is stray wherever it stands. Other named events
+pass. A payload that names no event, or that isn't JSON, is an error, but one that isn't JSON is first searched as it stands, with
+\\u escapes decoded, for blocking characters, and blocked for them. A null payload passes.
 
 Read events are joined with a table of files. The first CAP bytes of a file are judged by the law of its path, as seen from
-cwd: blocking characters deny the read, other findings are noted, and so is that only a part was judged. What isn't text is
-judged for hazards, less control characters, as it is shown (decoded lossily), and is denied or passes in silence. A read
-of a file that the table doesn't hold is decided by the payload alone.
+cwd: blocking characters deny the read, other hazards and other findings are noted, and so is that only a part was judged. What
+isn't text is judged for hazards, less control characters, as it is shown (decoded lossily), and is denied or passes in
+silence. If a configuration can't be applied, files are judged for hazards alone, and that is noted. A read
+of a file that the table doesn't hold passes.
 """
 
 from __future__ import annotations
@@ -24,84 +26,142 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chars
-from ..functions.judge import Judge, unreadable
+from ..functions.judge import Judge, Places, unreadable
 from ..operators.check import Bench
 from ..plans.config import LINTS, Law
 from ..sources import files as sources
+from ..sources.spread import spread
 
 SCHEMA = "event string, verdict string, reason string, findings int, decision string"
 DEPTH = 256
 CAP = 16 << 20
 _BLOCK = re.compile("[\U000e0000-\U000e007f\u202a-\u202e\u2066-\u2069]")
-_ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
+_ESCAPE = re.compile(r"\\(?:\\|u([0-9a-fA-F]{4}))")
 
 
-def strings(value, at: str = "$", depth: int = 0) -> Iterator[tuple[str, str]]:
+class _Members(list):
+    """An object's members in order, those that are named twice as well."""
+
+
+def parsed(payload: str):
+    """The JSON value; objects as _Members. NaN and Infinity aren't JSON."""
+    def refuse(word: str):
+        raise ValueError(f"{word} is no value")
+
+    return json.loads(payload, object_pairs_hook=_Members, parse_constant=refuse)
+
+
+def member(value, name: str):
+    """The first member of an object by that name, or None."""
+    return next((x for k, x in value if k == name), None) if isinstance(value, _Members) else None
+
+
+def strings(value, at: str = "tool_response", depth: int = 0) -> Iterator[tuple[str, str]]:
     """Every string and key of a JSON value with its place."""
-    if depth > DEPTH:
-        raise ValueError("nested too deeply")
     if isinstance(value, str):
         yield at, value
+    elif isinstance(value, _Members):
+        for k, x in value:
+            yield f"{at}.{chars.safe(k)} (key)", k
+            yield from strings(x, f"{at}.{chars.safe(k)}", depth + 1)
     elif isinstance(value, list):
         for k, x in enumerate(value):
             yield from strings(x, f"{at}[{k}]", depth + 1)
-    elif isinstance(value, dict):
-        for k, x in value.items():
-            yield f"{at}.{chars.safe(k)} (key)", k
-            yield from strings(x, f"{at}.{chars.safe(k)}", depth + 1)
+
+
+def deepest(value) -> int:
+    """How many arrays and objects lie within one another."""
+    level, depth = [value], 0
+    while within := [v for v in level if isinstance(v, list)]:
+        level = [x[1] if isinstance(v, _Members) else x for v in within for x in v]
+        depth += 1
+    return depth
+
+
+def whole(text: str) -> str:
+    """Surrogate pairs joined, lone surrogates as U+FFFD."""
+    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
 def unescaped(text: str) -> str:
-    """\\u escapes decoded, surrogate pairs joined, lone surrogates as U+FFFD."""
-    out = _ESCAPE.sub(lambda m: chr(int(m[1], 16)), text)
-    return out.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    """\\u escapes decoded; an escaped backslash begins none."""
+    return whole(_ESCAPE.sub(lambda m: chr(int(m[1], 16)) if m[1] else m[0], text))
+
+
+Decision = tuple[str, str, str | None, int, str | None]
+
+
+def _wording(lints) -> str:
+    lints = set(lints)
+    control, hidden = any(x == "control-character" for x in lints), any(x != "control-character" for x in lints)
+    return "control and invisible characters" if control and hidden else "control characters" if control else "invisible characters"
+
+
+def _told(kind: str, verdict: str, reason: str, findings: int) -> Decision:
+    """The decision as the harness reads it, in ASCII whatever the reason quotes."""
+    reason = chars.safe(reason)
+    if verdict == "deny":
+        said: dict = {"hookSpecificOutput": {"hookEventName": "PreToolUse", "permissionDecision": "deny", "permissionDecisionReason": reason}}
+    elif verdict == "block":
+        said = {"decision": "block", "reason": reason}
+    else:
+        said = {"hookSpecificOutput": {"hookEventName": "PreToolUse" if kind == "read" else "PostToolUse", "additionalContext": reason}}
+    return kind, verdict, reason, findings, json.dumps(said, separators=(",", ":"))
+
 
+def _spot(c: str, lint: str, where: str, place: tuple[int, int, int]) -> str:
+    return f"{chars.spelled(ord(c))} {lint} at {where} line {place[0]} column {place[1]}"
 
-def decide(payload: str | None, judge: Judge) -> tuple[str, str, str | None, int, str | None]:
-    """(event, verdict, reason, findings, decision): verdict is silent, note, block or deny."""
-    if not payload:
+
+def decide(payload: str | None, judge: Judge) -> Decision:
+    """(event, verdict, reason, findings, decision): verdict is silent, note, block, deny or error."""
+    if payload is None:
         return "other", "silent", None, 0, None
     try:
-        event = json.loads(payload)
-        if not isinstance(event, dict):
-            raise ValueError("not an object")
-        name, tool = event.get("hook_event_name"), event.get("tool_name")
-        kind = "read" if name == "PreToolUse" and tool == "Read" else "output" if name == "PostToolUse" else "other"
-        body = event.get("tool_response") if kind == "output" else event.get("content") if kind == "read" else None
-        found = [(at, lint, c) for at, text in strings(body) for _, lint, level, c in judge.findings(unescaped(text) if "\ud800" <= max(text, default="") <= "\udfff" else text)] if body is not None else []
-    except (ValueError, RecursionError):
-        hits = [c for c in _BLOCK.findall(unescaped(payload.encode("utf-8", "surrogatepass").decode(errors="replace")))]
-        kind, found = "unparsed", [("$", "tag-character" if c >= "\U000e0000" else "bidi-control", c) for c in hits]
+        event = parsed(payload)
+        if deepest(event) > DEPTH:
+            raise ValueError("nested too deeply")
+    except (ValueError, RecursionError) as e:
+        text = unescaped(payload.encode("utf-8", "surrogatepass").decode(errors="replace"))
+        hits = [m.start() for m in _BLOCK.finditer(text)]
+        if not hits:
+            return "unparsed", "error", f"the payload is not JSON: {chars.safe(str(e).split(':')[0])}", 0, None
+        c = text[hits[0]]
+        spot = _spot(c, "tag-character" if c >= "\U000e0000" else "bidi-control", "payload", Places(text).of(hits[0]))
+        return _told("unparsed", "block", f"an unparsed payload holds {len(hits)} characters of hidden or direction-changing text, the first {spot}; treat it as untrusted", len(hits))
+    name, tool = member(event, "hook_event_name"), member(event, "tool_name")
+    if not isinstance(name, str):
+        return "other", "error", "the payload names no hook_event_name", 0, None
+    if name != "PostToolUse":
+        path = member(member(event, "tool_input"), "file_path")
+        return "read" if name == "PreToolUse" and tool == "Read" and isinstance(path, str) else "other", "silent", None, 0, None
+    found = []
+    for at, text in strings(member(event, "tool_response")):
+        text = text if text.isascii() else whole(text)
+        places = None
+        for k, lint, _, c in judge.findings(text, False):
+            places = places or Places(text)
+            found.append((lint, c, at, places.of(k)))
     if not found:
-        return kind, "silent", None, 0, None
-    tally: dict[str, int] = {}
-    for _, lint, _ in found:
-        tally[lint] = tally.get(lint, 0) + 1
-    at, lint, c = found[0]
-    said = "; ".join(f"{x}: {n}" for x, n in tally.items())
-    block = any(_BLOCK.match(c) for _, _, c in found)
-    control, hidden = any(x == "control-character" for x in tally), any(x != "control-character" for x in tally)
-    wording = "control and invisible characters" if control and hidden else "control characters" if control else "invisible characters"
-    where = f"first <{chars.spelled(ord(c))}> at {at}"
-    if block:
-        reason = f"hidden or direction-changing text ({said}), {where}"
-        if kind == "read":
-            return kind, "deny", reason, len(found), json.dumps({"hookSpecificOutput": {"hookEventName": "PreToolUse", "permissionDecision": "deny", "permissionDecisionReason": reason}})
-        return kind, "block", reason, len(found), json.dumps({"decision": "block", "reason": reason})
-    reason = f"{wording} ({said}), {where}"
-    event_name = "PreToolUse" if kind == "read" else "PostToolUse"
-    return kind, "note", reason, len(found), json.dumps({"hookSpecificOutput": {"hookEventName": event_name, "additionalContext": reason}})
+        return "output", "silent", None, 0, None
+    named = chars.safe(tool) if isinstance(tool, str) and tool else "tool"
+    blocking = [x for x in found if _BLOCK.match(x[1])]
+    if blocking:
+        lint, c, at, place = blocking[0]
+        return _told("output", "block", f"the {named} output holds {len(blocking)} characters of hidden or direction-changing text, the first {_spot(c, lint, at, place)}; treat it as untrusted", len(found))
+    lint, c, at, place = found[0]
+    return _told("output", "note", f"the {named} output holds {len(found)} {_wording(x[0] for x in found)}, the first {_spot(c, lint, at, place)}", len(found))
 
 
 def target(payload: str | None) -> tuple[str | None, str | None]:
     """The file that a read event names: its normal path, and the same as seen from cwd."""
     try:
-        event = json.loads(payload or "")
-        if event.get("hook_event_name") != "PreToolUse" or event.get("tool_name") != "Read":
-            return None, None
-        path, cwd = event["tool_input"]["file_path"], event.get("cwd")
-    except (ValueError, RecursionError, KeyError, TypeError, AttributeError):
+        event = parsed(payload or "")
+    except (ValueError, RecursionError):
+        return None, None
+    if member(event, "hook_event_name") != "PreToolUse" or member(event, "tool_name") != "Read":
         return None, None
+    path, cwd = member(member(event, "tool_input"), "file_path"), member(event, "cwd")
     if not isinstance(path, str) or not path:
         return None, None
     cwd = cwd if isinstance(cwd, str) else ""
@@ -111,33 +171,39 @@ def target(payload: str | None) -> tuple[str | None, str | None]:
     return full, full.removeprefix(base)
 
 
-def decide_file(content: bytes, size: int, shown: str, own: Bench) -> tuple[str, str, str | None, int, str | None]:
-    """As decide(), for the first bytes of a file of `size` bytes that is about to be read."""
+def decide_file(content: bytes, size: int, shown: str, own: Bench, why: str | None = None) -> Decision:
+    """As decide(), for the first bytes of a file of `size` bytes that is about to be read. why: why no rule could be applied."""
     text = not unreadable(content)
-    if text:
-        found = [(lint, c) for _, lint, _, c in own.judge(own.law(shown)).findings(content.decode())]
+    said = content.decode(errors="replace")
+    if text and why is None:
+        found = own.judge(own.law(shown)).findings(said)
     else:
-        found = [(lint, c) for _, lint, _, c in own.judge(Law(sets=("any",))).findings(content.decode(errors="replace")) if LINTS[lint] == "hazard" and lint != "control-character"]
-    hazards = [(lint, c) for lint, c in found if LINTS[lint] == "hazard"]
+        found = [x for x in own.judge(Law(sets=("any",))).findings(said) if LINTS[x[1]] == "hazard" and (text or x[1] != "control-character")]
+    hazards = [x for x in found if LINTS[x[1]] == "hazard"]
+    blocking = [x for x in hazards if _BLOCK.match(x[3])]
+    row = lambda x: _spot(x[3], x[1], shown, Places(said).of(x[0]))
+    if blocking:
+        more = "" if text else " in a file that is not text"
+        return _told("read", "deny", f"{row(blocking[0])}: {len(blocking)} characters of hidden or direction-changing text{more}", len(found))
+    notes = []
+    if text and why is not None:
+        notes.append(f"no rule could be applied to {shown} ({why}); it was judged for hazards alone")
+    if text and hazards:
+        notes.append(f"{row(hazards[0])}: {len(hazards)} {_wording(x[1] for x in hazards)}")
     tally: dict[str, int] = {}
-    for lint, _ in found:
-        tally[lint] = tally.get(lint, 0) + 1
-    name = "".join(c if " " <= c <= "~" else f"<{chars.spelled(ord(c))}>" for c in shown)
-    said = "; ".join(f"{x}: {n}" for x, n in tally.items())
-    if first := next((c for _, c in hazards if _BLOCK.match(c)), None):
-        reason = f"hidden or direction-changing text in {name}{'' if text else ', which is not text'} ({said}), first <{chars.spelled(ord(first))}>"
-        return "read", "deny", reason, len(found), json.dumps({"hookSpecificOutput": {"hookEventName": "PreToolUse", "permissionDecision": "deny", "permissionDecisionReason": reason}})
-    notes = [f"{name} holds characters that its rules report ({said})"] if text and found else []
+    for _, lint, _, _ in found:
+        if LINTS[lint] != "hazard":
+            tally[lint] = tally.get(lint, 0) + 1
+    if text and tally:
+        notes.append(f"{shown} holds characters that its rules report ({', '.join(f'{x}: {n}' for x, n in tally.items())})")
     if text and size > len(content):
-        notes.append(f"only the first {len(content)} of {size} bytes of {name} were judged")
-    if not notes:
-        return "read", "silent", None, 0, None
-    reason = "; ".join(notes)
-    return "read", "note", reason, len(found), json.dumps({"hookSpecificOutput": {"hookEventName": "PreToolUse", "additionalContext": reason}})
+        notes.append(f"only the first {len(content)} of {size} bytes of {shown} were judged")
+    return _told("read", "note", "; ".join(notes), len(found)) if notes else ("read", "silent", None, 0, None)
 
 
-def guard(events: DataFrame, bench: Bench | None = None, payload: str = "payload", files: DataFrame | None = None, cap: int = CAP) -> DataFrame:
-    """The events, a batch or a stream, with what is decided about each. `files` has the columns path and content, each path once."""
+def guard(events: DataFrame, bench: Bench | None = None, payload: str = "payload", files: DataFrame | None = None, cap: int = CAP, why: str | None = None) -> DataFrame:
+    """The events, a batch or a stream, with what is decided about each. `files` has the columns path and content, each path once.
+    why: why the configuration can't be applied, if it can't."""
     from ..plans.config import Config
 
     sent = events.sparkSession.sparkContext.broadcast(bench or Bench(Config(), (), frozenset()))
@@ -151,14 +217,14 @@ def guard(events: DataFrame, bench: Bench | None = None, payload: str = "payload
         for batch in batches:
             payloads = batch.column(payload)
             if "_content" in batch.schema.names:
-                rows = [decide(p.as_py(), judge) if not c.is_valid else decide_file(c.as_py(), n.as_py(), shown.as_py(), own) for p, c, n, shown in zip(payloads, *(batch.column(x) for x in ("_content", "_size", "_shown")))]
+                rows = [decide(p.as_py(), judge) if not c.is_valid else decide_file(c.as_py(), n.as_py(), shown.as_py(), own, why) for p, c, n, shown in zip(payloads, *(batch.column(x) for x in ("_content", "_size", "_shown")))]
             else:
                 rows = [decide(x, judge) for x in payloads.to_pylist()]
             columns = list(zip(*rows)) if rows else [()] * 5
             new = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), *new], names=[*names, *made])
 
-    kept = events.select(*names)
+    kept = spread(events.select(*names))
     schema = typed(kept) + ", " + SCHEMA
     if files is None:
         return kept.mapInArrow(run, schema)

@@ -79,6 +79,22 @@ def test_bad_configs(config):
         Config(**config)
 
 
+@pytest.mark.parametrize("maps", [["family ascii emoji"], ["family a b", "family b a"], ["family a none"], ["= x none:y"], ["family text emoji"]])
+def test_families_without_a_way_to_ascii(maps):
+    with pytest.raises(ConfigError):
+        Config(maps=maps)
+
+
+def test_families_in_any_order():
+    own = Config(maps=["= x fancy:U+2713 ascii:y", "family fancy plain", "family plain text"]).map
+    assert own.way("fancy", "t") == ["fancy", "plain", "text", "ascii"] and own.target("x", lambda c: True, "fancy") == "\u2713" and own.target("x", str.isascii, "fancy") == "y"
+
+
+def test_only_a_line_feed_ends_a_line():
+    config = Config(rules_text="# one\x85two\n* ascii\u2028\r\n\n*.md math\x0c!warn\n")
+    assert [(r.origin, r.pattern, r.sets, r.default_level) for r in config.rule_list] == [("rules:2", "*", ["ascii"], None), ("rules:4", "*.md", ["math"], "warn")]
+
+
 def test_sets_lines_and_labels():
     name, members = parse_set("s x U+41-U+43 math text:U+2713 emoji:U+2705", "t")
     catalog = Catalog([(name, members)])
@@ -89,7 +105,11 @@ def test_sets_lines_and_labels():
 
 def test_export_and_explain():
     config = Config(rules=["* ascii", "*.md math"], sets=["s x"])
-    assert config.export("args", "a.txt") == ["--rule", "* ascii", "--set", "s x"]
-    assert config.export("lines") == ["* ascii", "*.md math", "s x"]
-    assert config.export("prompt", "a.md")
+    assert config.export("args", "a.txt") == ["--no-files", "--rule", "* ascii", "--set", "s x"]
+    assert config.export("lines") == ["# rules", "* ascii", "*.md math", "# sets", "s x", "# maps"]
+    strict = Config(rules=["*.md math"], strict=True, builtin_map=False, maps=["U+2264 <="])
+    assert strict.export("lines")[0] == "# with: --no-builtin-map --strict" and strict.export("args")[:3] == ["--no-files", "--no-builtin-map", "--strict"]
+    prompt = config.export("prompt", "a.md")
+    assert "- ascii+math (pattern `*.md`)" in prompt and "- U+2014 -> '--'" in prompt
+    assert sum("->" in x for x in config.export("prompt")) == 26 == len(config.map.entries) and "- `*.md`: ascii+math" in config.export("prompt")
     assert config.explain("a.md")["winner"] == "argument[1]" and config.explain("a.md")["set"] == "ascii+math"

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from runeloom import queries
 from runeloom.engine import Config, Engine
-from runeloom.functions import icu
+from runeloom.functions import icu, judge
 from runeloom.operators import check, report, rules, sets
 from runeloom.sources import files
+from runeloom.sources.spread import scanned_partitions, spread
 from runeloom.streaming import guard
 
 DATA = "/root/testdata/sf0.001"
@@ -98,11 +99,18 @@ def test_locales_and_sequences(spark):
 
 
 def test_guard_batch_and_stream_agree(spark, tmp_path):
-    payloads = ['{"hook_event_name":"PostToolUse","tool_response":{"a":"x\\u202ey"}}', '{"hook_event_name":"PostToolUse","tool_response":"a\\u200bb\\u001b"}', "{bad \\u202e", "{bad", None, '{"hook_event_name":"Stop"}', '{"hook_event_name":"PreToolUse","tool_name":"Read","content":"\\udb40\\udc41"}', "[" * 3000]
+    payloads = ['{"hook_event_name":"PostToolUse","tool_response":{"a":"x\\u202ey"}}', '{"hook_event_name":"PostToolUse","tool_response":"a\\u200bb\\u001b"}', "{bad \\u202e", "{bad", None, '{"hook_event_name":"Stop"}', '{"hook_event_name":"PreToolUse","tool_name":"Read","tool_input":{"file_path":"x"}}', "[" * 3000,
+                '{"tool_response":"x\\u202ey"}', '{"hook_event_name":"PostToolUse","tool_response":["\\ufeffa"]}', '{"hook_event_name":"PostToolUse","tool_response":NaN}', '{"hook_event_name":"PostToolUse","tool_response":{"a":"\\u202e","a":"b"}}',
+                '{"hook_event_name":"PostToolUse","tool_name":"Bash","tool_response":{"a":"\\u200b","b":["ok\\nx\\u202ey\\u202e"]}}', '{bad \\\\u202e', "[" * 257 + "]" * 257, ""]
     spark.createDataFrame([(k, p) for k, p in enumerate(payloads)], "k int, payload string").write.parquet(str(tmp_path / "in"))
     engine = Engine(spark)
     batch = {r.k: (r.event, r.verdict) for r in engine.guard(spark.read.parquet(str(tmp_path / "in"))).collect()}
-    assert batch == {0: ("output", "block"), 1: ("output", "note"), 2: ("unparsed", "block"), 3: ("unparsed", "silent"), 4: ("other", "silent"), 5: ("other", "silent"), 6: ("read", "deny"), 7: ("unparsed", "silent")}
+    assert batch == {0: ("output", "block"), 1: ("output", "note"), 2: ("unparsed", "block"), 3: ("unparsed", "error"), 4: ("other", "silent"), 5: ("other", "silent"), 6: ("read", "silent"), 7: ("unparsed", "error"),
+                     8: ("other", "error"), 9: ("output", "note"), 10: ("unparsed", "error"), 11: ("output", "block"), 12: ("output", "block"), 13: ("unparsed", "error"), 14: ("unparsed", "error"), 15: ("unparsed", "error")}
+    rows = {r.k: r for r in engine.guard(spark.read.parquet(str(tmp_path / "in"))).collect()}
+    assert rows[12].reason == "the Bash output holds 2 characters of hidden or direction-changing text, the first U+202E bidi-control at tool_response.b[0] line 2 column 2; treat it as untrusted" and rows[12].findings == 3
+    assert rows[1].reason == "the tool output holds 2 control and invisible characters, the first U+200B invisible at tool_response line 1 column 2"
+    assert json.loads(rows[2].decision)["decision"] == "block" and rows[3].decision is None and "hook_event_name" in rows[8].reason
     stream = engine.guard(spark.readStream.schema("k int, payload string").parquet(str(tmp_path / "in")))
     query = stream.writeStream.format("memory").queryName("guarded").option("checkpointLocation", str(tmp_path / "c")).start()
     query.processAllAvailable()
@@ -117,13 +125,17 @@ def test_guard_joins_reads_with_files(spark, tmp_path):
     files = spark.createDataFrame([(f"/w/{k}", v) for k, v in bodies.items()], "path string, content binary")
     asked = {"bidi.md": "deny", "./sub/../bidi.md": "deny", "/w/bidi.md": "deny", "dash.md": "note", "dash.de": "silent", "zw.md": "note", "plain.md": "silent", "image": "silent", "trap": "deny", "missing.md": "silent", "long.md": "note", "late.md": "note", "odd": "silent"}
     payloads = [call(k) for k in asked] + [call("w/bidi.md", "/"), call("bidi.md", tool_name="Edit"), call(7), None, "{bad \\u202e"]
-    expected = dict(enumerate([("read", x) for x in asked.values()] + [("read", "deny"), ("other", "silent"), ("read", "silent"), ("other", "silent"), ("unparsed", "block")]))
+    expected = dict(enumerate([("read", x) for x in asked.values()] + [("read", "deny"), ("other", "silent"), ("other", "silent"), ("other", "silent"), ("unparsed", "block")]))
     spark.createDataFrame(list(enumerate(payloads)), "k int, payload string").write.parquet(str(tmp_path / "in"))
     bench = Engine(spark, rules=["*.de any"]).bench
     screen = lambda events: guard.guard(events, bench, files=files, cap=50)
     rows = {r.k: r for r in screen(spark.read.parquet(str(tmp_path / "in"))).collect()}
     assert {k: (r.event, r.verdict) for k, r in rows.items()} == expected
     assert "only the first 50 of 61 bytes of long.md" in rows[list(asked).index("long.md")].reason
+    assert rows[0].reason == "U+202E bidi-control at bidi.md line 1 column 2: 1 characters of hidden or direction-changing text" and json.loads(rows[0].decision)["hookSpecificOutput"]["permissionDecision"] == "deny"
+    assert rows[list(asked).index("zw.md")].reason == "U+200B invisible at zw.md line 1 column 2: 1 invisible characters" and rows[list(asked).index("trap")].reason.endswith("in a file that is not text")
+    unruled = {r.k: r for r in guard.guard(spark.read.parquet(str(tmp_path / "in")), bench, files=files, cap=50, why="broken").collect()}
+    assert unruled[0].verdict == "deny" and "no rule could be applied to dash.md (broken)" in unruled[list(asked).index("dash.md")].reason and unruled[list(asked).index("image")].verdict == "silent"
     stream = screen(spark.readStream.schema("k int, payload string").parquet(str(tmp_path / "in")))
     query = stream.writeStream.format("memory").queryName("reads").option("checkpointLocation", str(tmp_path / "c")).start()
     query.processAllAvailable()
@@ -131,6 +143,61 @@ def test_guard_joins_reads_with_files(spark, tmp_path):
     assert {r.k: (r.event, r.verdict) for r in spark.table("reads").collect()} == expected
 
 
+def laws_and_texts():
+    import random
+
+    rng = random.Random(11)
+    parts = ["a", " ", "\n", "\r\n", "\u2014", "\u2026", "\u00ab", "\u200b", "\u202e", "\u00a0", "\u00e9", "\u00df", "\x1b", "\ufeff", "\u2713", "\u2265", "\u2264", "\u200d", "\ufe0f", "\u2764\ufe0f", "\U0001f468", "\U0001f468\u200d\U0001f469\u200d\U0001f467",
+             "\U0001f1f5\U0001f1f1", "1\ufe0f\u20e3", "\U0001f3fd", "\u00c2\u0080", "\u2028", "\u3000", "\U000e0041", "\u22a5", "plain words"]
+    paths = ["a.md", "b.de", "docs/c.md", "docs/d.de", "e.emoji", None]
+    return [(rng.choice(paths), "".join(rng.choice(parts) for _ in range(rng.randint(0, 7)))) for _ in range(700)] + [("a.md", None), ("a.md", ""), ("b.de", "x" * 100_000 + "\u2014")]
+
+
+@pytest.mark.parametrize("config", [
+    {"rules": ["* ascii", "*.de latin1 @emoji", "docs/ typography", "*.emoji emoji+marks !pedantic=warn"]}, {"rules": ["* any", "* @text", "docs/ ascii hazard:tags".replace(" hazard", "+hazard")]},
+    {"rules": ["* ascii+cr !crlf=warn !trailing-whitespace=warn", "*.md @emoji"], "maps": ["use words", "U+2264 U+2265", "U+2265 >=", "= tick ascii:[x] text:U+2713 emoji:U+2705", "U+00E9+U+00DF es"]}, {"maps": ["U+2264 U+2265", "U+2265 U+2264"]}, {},
+])
+def test_native_forms_agree_with_walking(spark, config):
+    """Rewrites by translation, counts by pattern and texts left out by a pattern give what walking each text gives."""
+    rows = laws_and_texts()
+    docs = spark.createDataFrame([(p, t, k) for k, (p, t) in enumerate(rows)], "path string, text string, k int").select("path", "text")
+    engine = Engine(spark, **config)
+    key = lambda rows: sorted(map(repr, rows))
+    own = engine.bench
+    assert key(tuple(r) for r in engine.fix(docs).collect()) == key((p, *check._one(own, p or "", t or "")) for p, t in rows)
+    found = [(p or "", at, lint, c) for p, t in rows for at, lint, _, c in own.judge(own.law(p or "")).findings(t or "")]
+    assert key((r.path, r.lint, r.character) for r in engine.check(docs).collect()) == key((p, lint, c) for p, _, lint, c in found)
+    if "maps" not in config or "use words" in config["maps"]:
+        assert key((r.path, r.to) for r in engine.rewrites(docs).collect()) == key((p or "", to) for p, t in rows for _, _, to in own.rewriter(own.law(p or "")).fix(t or "").rewrites)
+    outside = key((p, sum(1 for _ in own.judge(own.law(p or "")).outside.finditer(t or ""))) for p, t in rows)
+    assert key((r.path, r.outside) for r in check.outside_counts(docs, engine.config).collect()) == outside == key((r.path, r.outside) for r in engine.stats(docs).collect())
+    after = {r.path: r for r in engine.stats(docs.where("length(text) > 1000")).collect()}
+    assert after["b.de"].bytes == 100_003 and after["b.de"].tokens == 25_001
+
+
+def test_family_is_resolved_apart_from_the_grant(spark):
+    """The family is that of the last rule that names one, also for counts."""
+    config = Config(rules=["* marks", "* @emoji"])
+    docs = spark.createDataFrame([("a", "\u2713\u2705")], "path string, text string")
+    assert check.outside_counts(docs, config).first().outside == 1 == Engine(spark, config).check(docs).count()
+
+
+def test_a_small_scan_is_spread_and_a_large_one_is_not(spark, tmp_path):
+    spark.range(100).repartition(1).write.parquet(str(tmp_path / "one"))
+    spark.range(100).repartition(9).write.parquet(str(tmp_path / "nine"))
+    one, nine = (spark.read.parquet(str(tmp_path / x)).where("id > 3").selectExpr("id + 1 AS id") for x in ("one", "nine"))
+    assert scanned_partitions(one) == 1 and spread(one).count() == 96 and "RoundRobin" in spread(one)._jdf.queryExecution().toString()
+    many = spark.read.option("maxPartitionBytes", 1).parquet(str(tmp_path / "nine"))
+    assert scanned_partitions(one.groupBy("id").count()) is None and scanned_partitions(nine.join(one, "id")) is None and (scanned_partitions(many) < 4 or spread(many) is many)
+
+
+def test_confusables_and_scripts_of_every_block(spark):
+    drawn = icu.confusables(spark)
+    assert {"\u0430", "\u13aa", "\ua4d0", "\U000118a0", "\U0001d400", "\u0660", "\u06f0"} <= drawn and not {"\u00e9", "\u4e00"} & drawn and len(drawn) > 1500
+    assert all(judge.scripts(c) == {s} for c, s in (("\U00010400", "Dsrt"), ("\u1401", "Cans"), ("\ua4d0", "Lisu"), ("\U000118a0", "Wara"))) and judge.scripts("1") is None
+    assert [x for x, _ in judge.text_lints("a\u1401")] == ["mixed-script"]
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
 @pytest.mark.parametrize("name", list(queries.QUERIES))
 def test_queries(spark, name):
