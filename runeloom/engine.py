@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .functions import icu
 from .operators import check as ops
-from .operators import report
+from .operators import explain, report
 from .operators import sets as set_ops
 from .plans.config import LINTS, LEVELS, Config, ConfigError, level_of
 from .plans.maps import sequence_entries
@@ -40,10 +40,13 @@ class Engine:
     def rewrites(self, documents: DataFrame) -> DataFrame:
         return ops.rewrites(documents, self.bench)
 
-    def leftovers(self, documents: DataFrame) -> DataFrame:
-        """Findings in the texts as rewritten."""
-        out = self.fix(documents)
-        return self.check(out.select("path", out["output"].alias("text")))
+    def leftovers(self, documents: DataFrame, original: bool = False) -> DataFrame:
+        """Findings in the texts as rewritten, at their places in the output or in the original."""
+        return ops.leftovers(documents, self.bench, original)
+
+    def drift(self, documents: DataFrame) -> DataFrame:
+        """What a rewrite would change and leave, in one row."""
+        return ops.drift(documents, self.bench)
 
     def write_fixed(self, documents: DataFrame, path: str) -> None:
         """All texts are rewritten before any is committed; one that can't be fails the job."""
@@ -61,9 +64,17 @@ class Engine:
     def explain(self, path: str) -> dict:
         return self.config.explain(path)
 
+    def explain_text(self, path: str | None = None, json: bool = False) -> str:
+        return explain.document(self.config, path) if json else "\n".join(explain.text(self.config, path))
+
     def sets(self, names: list[str] | None = None) -> DataFrame:
         return set_ops.listing(set_ops.set_ranges(self.spark, self.config.catalog, names))
 
+    def list_sets(self, names: list[str] | None = None, only_locales: bool = False, containing: str | None = None) -> list[dict]:
+        """Sets with their kind, purpose and ranges: presets and declared ones; locales as well if a character is asked for."""
+        known = icu.locales(self.spark) if only_locales or containing is not None else None
+        return explain.listed(self.config, names, known, only_locales, containing)
+
     def containing(self, character: str) -> list[str]:
         catalog = self.config.catalog
         return [n for n in catalog.names() if any(a <= ord(character) <= b for a, b in catalog.resolve(n))]
@@ -71,6 +82,10 @@ class Engine:
     def init(self, documents: DataFrame, keep_fixable: bool = False) -> list[str]:
         return set_ops.draft(documents, self.config, keep_fixable, lambda: icu.locales(self.spark))
 
+    def init_text(self, documents: DataFrame, keep_fixable: bool = False, skipped: int = 0) -> list[str]:
+        """The draft with its reasons."""
+        return set_ops.draft_text(documents, self.bench, keep_fixable, lambda: icu.locales(self.spark), skipped)
+
     def guard(self, events: DataFrame, payload: str = "payload", files: DataFrame | None = None) -> DataFrame:
         """What is decided about each event; with files, read events are judged by the rules of the path they name."""
         return guard_ops.guard(events, self.bench, payload, files)

@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import chars
 from ..functions.judge import Judge, Places, unreadable
-from ..functions.rewrite import MapCycle, NotIdempotent, Rewriter
+from ..functions.rewrite import Fixed, MapCycle, NotIdempotent, Rewriter
 from ..plans.config import LEVELS, LINTS, Config, Law
 from ..sources.spread import spread
 from . import native
@@ -179,6 +179,39 @@ def fixed(documents: DataFrame, bench: Bench) -> DataFrame:
     return own.select("path", *[F.coalesce(F.col(f"simple.{c}"), F.col(f"walked.{c}")).alias(c) for c in ("output", "n_rewrites", "n_unmapped")], F.col("walked.error").alias("error"))
 
 
+def leftovers(documents: DataFrame, bench: Bench, original: bool = False) -> DataFrame:
+    """Findings in the texts as rewritten, in one pass. original: at the places of the original text that they come from, as a rewrite that is
+    only tried reports them; else at those of the output. A text that can't be rewritten keeps its own findings."""
+
+    def each(own: Bench, path: str, text: str):
+        law = own.law(path)
+        judge = own.judge(law)
+        try:
+            done = own.rewriter(law).fix(text)
+        except (MapCycle, NotIdempotent):
+            done = Fixed(text)
+        found = judge.findings(done.output)
+        if not found:
+            return
+        places = Places(text if original else done.output)
+        for at, lint, level, c in sorted(((done.origin(at), *x) for at, *x in found), key=lambda x: x[0]) if original else found:
+            yield _row(judge, path, places.of(at), lint, level, c)
+
+    return mapped(documents, bench, FINDINGS, each, lambda path, text: native.suspect(bench, path, text) | native.touched(bench, path, text))
+
+
+def drift(documents: DataFrame, bench: Bench) -> DataFrame:
+    """(files, drifted, rewrites, leftovers, failed, code), one row: what trying a rewrite says of a corpus. A file drifts if anything in it would be
+    rewritten; code is 1 if one does, if a denied or forbidden finding is left, or if a text can't be rewritten."""
+    out = fixed(documents, bench).agg(
+        F.count(F.lit(1)).alias("files"), F.count(F.when(F.col("n_rewrites") > 0, 1)).alias("drifted"), F.coalesce(F.sum("n_rewrites"), F.lit(0)).cast("long").alias("rewrites"),
+        F.count("error").alias("failed"),
+    )
+    left = leftovers(documents, bench).agg(F.count(F.lit(1)).alias("leftovers"), F.count(F.when(F.col("level").isin("deny", "forbid"), 1)).alias("bad"))
+    code = ((F.col("drifted") > 0) | (F.col("bad") > 0) | (F.col("failed") > 0)).cast("int")
+    return out.crossJoin(left).select("files", "drifted", "rewrites", "leftovers", "failed", code.alias("code"))  # one row with one row
+
+
 def outside_counts(documents: DataFrame, config: Config) -> DataFrame:
     """(path, outside, bytes): characters outside each document's set, by pattern alone. One projection over the scan: a branch
     for each law, so that every pattern is a literal and compiled once."""

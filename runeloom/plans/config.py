@@ -224,22 +224,23 @@ class Law:
         return "+".join(self.sets)
 
 
-def resolve(rules: list[Rule], path: str) -> tuple[Law, dict[str, str | None]]:
+def resolve(rules: list[Rule], path: str) -> tuple[Law, dict]:
     """The last matching rule wins, field by field; with the origins of what it decided."""
-    law, origins = {"sets": ("ascii",), "family": "text", "hazards": (), "default_level": None}, {"set": None, "pattern": None, "family": None, "level": None}
+    law, origins = {"sets": ("ascii",), "family": "text", "hazards": (), "default_level": None}, {"set": None, "pattern": None, "family": None, "level": None, "rule": None, "levels": {}}
     levels: dict[str, str] = {}
     for rule in rules:
         if not globs.matches(rule.pattern, path):
             continue
         if rule.sets or rule.hazards:
             law["sets"], law["hazards"] = tuple(dict.fromkeys(["ascii", *rule.sets])), tuple(rule.hazards)
-            origins["set"], origins["pattern"] = rule.origin, rule.pattern
+            origins["set"], origins["pattern"], origins["rule"] = rule.origin, rule.pattern, rule
         if rule.family:
             law["family"], origins["family"] = rule.family, rule.origin
         if rule.default_level:
             law["default_level"], origins["level"] = rule.default_level, rule.origin
         for target, level in rule.levels:
             levels[target] = level  # keeps the place of the target's first appearance
+            origins["levels"][target] = rule.origin
     return Law(levels=tuple(levels.items()), **law), origins
 
 
@@ -259,7 +260,9 @@ def level_of(law: Law, lint: str, strict: bool = False) -> int:
 
 @dataclass
 class Config:
-    """All layers. sugar: `pedantic` and `fidelity` append rules; `strict` makes every warning a denial."""
+    """All layers, of which a later line wins: builtin, then the files of the corpus (`..._text`), then more files by name
+    (`files`: kind, name, text), then arguments. `no_files` leaves out both kinds of files. sugar: `pedantic` and `fidelity` append rules;
+    `strict` makes every warning a denial."""
 
     rules: list[str] = field(default_factory=list)
     sets: list[str] = field(default_factory=list)
@@ -267,6 +270,8 @@ class Config:
     rules_text: str = ""
     sets_text: str = ""
     maps_text: str = ""
+    files: list[tuple[str, str, str]] = field(default_factory=list)
+    no_files: bool = False
     pedantic: bool = False
     fidelity: str | None = None
     strict: bool = False
@@ -275,7 +280,13 @@ class Config:
     locale: object = None
 
     def __post_init__(self):
-        given = lambda text, more, flag: lines(text, flag) + [(f"argument[{k}]", one(x, flag)) for k, x in enumerate(more)]
+        if unknown_kinds := {k for k, _, _ in self.files} - {"rules", "sets", "maps"}:
+            raise ConfigError(f"unknown kind of file: {', '.join(sorted(unknown_kinds))}")
+
+        def given(text: str, more: list[str], kind: str) -> list[tuple[str, str]]:
+            read = [] if self.no_files else [(kind, text), *((name, body) for k, name, body in self.files if k == kind)]
+            return [x for name, body in read for x in lines(body, name)] + [(f"argument[{k}]", one(x, kind)) for k, x in enumerate(more)]
+
         self.rule_list = [parse_rule(x, o) for o, x in given(self.rules_text, self.rules, "rules")]
         if self.pedantic:
             self.rule_list.append(parse_rule("* !pedantic=warn", "pedantic"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .engine import Config, Engine
 from .functions import chars
 from .operators import check, report, rules, sets
+from .plans.config import PRESETS
 from .sources import files
 
 #: What stands for what: a dash, a zero-width space, an override, a decomposed letter, line ends, a no-break space.
@@ -94,6 +95,16 @@ def init_draft(spark, d):
     return spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "ord int, line string")
 
 
+def init_survey(spark, d):
+    e = engine(spark, PLAIN)
+    return sets.surveyed(sets.survey(docs(spark, d, INJECTED), e.bench)).select("pattern", "kind", "character", "lint", "n", "files", F.col("first").alias("first_path"))
+
+
+def init_unfixed(spark, d):
+    e = engine(spark, PLAIN)
+    return sets.unfixed(sets.survey(docs(spark, d, INJECTED), e.bench), {"*.de": [(0x2014, 0x2014)], "*.fr": [(0xA0, 0xFF)]}).select("pattern", "findings", "files")
+
+
 def rules_resolved(spark, d):
     config = Config(rules=["* ascii", "src1/ greek !warn", "*.de german @emoji", "src1*/**/1?.fr any", "src7/*.en !deny", "/src3/** latin1+cr"], sets=[GERMAN])
     return rules.resolved(docs(spark, d), config)
@@ -174,6 +185,16 @@ def fix_leftovers(spark, d):
     return out.select("path", F.col("line").cast("long").alias("line"), F.col("column").cast("long").alias("col"), "byte", "codepoint")
 
 
+def fix_drift(spark, d):
+    out = engine(spark, ["* ascii+cr"]).drift(docs(spark, d, INJECTED))
+    return out.select("files", "drifted", "rewrites", "leftovers", "failed", F.col("code").cast("long").alias("code"))
+
+
+def fix_left_at_origin(spark, d):
+    out = engine(spark, ["* ascii+cr"]).leftovers(docs(spark, d, INJECTED), True)
+    return out.select("path", F.col("line").cast("long").alias("line"), F.col("column").cast("long").alias("col"), "byte", "codepoint", "lint")
+
+
 def stats_files(spark, d):
     return engine(spark, ["* ascii+cr"]).stats(docs(spark, d, INJECTED))
 
@@ -209,8 +230,8 @@ def guard_reads(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        check_summary, scan_located, stats_outside, stats_total, sets_needed, sets_containing, sets_coalesced, sets_listing, init_draft, rules_resolved, paths_normal, files_skipped,
-        check_findings, check_tally, check_lint_tally, check_levels, check_human, check_human_first, check_strict, check_remedies, check_json, check_sarif, fix_documents, fix_rewrites, fix_leftovers, stats_files,
+        check_summary, scan_located, stats_outside, stats_total, sets_needed, sets_containing, sets_coalesced, sets_listing, init_draft, init_survey, init_unfixed, rules_resolved, paths_normal, files_skipped,
+        check_findings, check_tally, check_lint_tally, check_levels, check_human, check_human_first, check_strict, check_remedies, check_json, check_sarif, fix_documents, fix_rewrites, fix_leftovers, fix_left_at_origin, fix_drift, stats_files,
         lints_unicode, lints_mixed_script, guard_events, guard_reads,
     )
 }
@@ -243,9 +264,18 @@ _FIXED = [("\u2014", "--"), ("\u200b", ""), ("\u202e", ""), ("\u00a0", " ")]
 _BEYOND = f"NOT ({_ASCII} OR cp = 13)"
 
 
-def _ranges_sql() -> str:
-    catalog = Config(sets=[GERMAN]).catalog
-    return ", ".join(f"({quoted(n)}, {a}, {b})" for n in [*catalog.names(), "hazard"] for a, b in catalog.resolve(n))
+_ASCII_SET = "U+0009-U+000A U+0020-U+007E"
+#: Controls, and what is ignorable by default.
+_HAZARD_SET = "U+0000-U+0008 U+000B-U+000C U+000E-U+001F U+007F-U+009F U+00AD U+034F U+061C U+115F-U+1160 U+17B4-U+17B5 U+180B-U+180F U+200B-U+200F U+202A-U+202E U+2060-U+206F U+3164 U+FE00-U+FE0F U+FEFF U+FFA0 U+FFF0-U+FFF8 U+1BCA0-U+1BCA3 U+1D173-U+1D17A U+E0000-U+E0FFF"
+
+
+def _ranges_sql(more: dict[str, str]) -> str:
+    """Ranges of all sets from their lines alone: words taken apart, labels of other families left out, neighbours joined."""
+    rows = ", ".join(f"({quoted(n)}, {quoted(x)})" for n, x in {**PRESETS, "ascii": _ASCII_SET, "hazard": _HAZARD_SET, **more}.items())
+    return f"""
+l(name, line) AS (VALUES {rows}), w AS (SELECT name, unnest(string_split(line, ' ')) AS word FROM l), v AS (SELECT name, string_split(replace(replace(word, 'text:', ''), 'U+', '0x'), '-') AS ends FROM w WHERE word NOT LIKE 'emoji:%'),
+e AS (SELECT name, ends[1]::INT AS a, ends[-1]::INT AS b FROM v), o AS (SELECT *, coalesce(a > 1 + max(b) OVER (PARTITION BY name ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)::INT AS fresh FROM e),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY name ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM o), r AS (SELECT name, min(a) AS a, max(b) AS b FROM g GROUP BY name, island)"""
 
 
 def _after() -> str:
@@ -262,7 +292,12 @@ SELECT path, codepoint, 'outside-set' AS lint, set, 'deny' AS level, count(*) AS
 s AS (SELECT path, count(*) FILTER (WHERE NOT ({_ASCII} OR (lang = 'de' AND {_GERMAN}))) AS outside, sum(strlen(ch)) AS bytes, sum(CASE WHEN cp = 171 OR cp = 187 THEN 1 ELSE strlen(ch) END) AS after FROM p GROUP BY path)
 SELECT sum(outside)::BIGINT AS outside, sum(bytes)::BIGINT AS bytes, sum((bytes + 3) // 4)::BIGINT AS tokens, sum((after + 3) // 4)::BIGINT AS tokens_after, count(*) AS files FROM s""",
     "sets_needed": "WITH" + _chars() + f"\nSELECT '*.' || lang AS pattern, ch AS character, count(DISTINCT path) AS files, min(path) AS first_path FROM p WHERE NOT {_ASCII} GROUP BY lang, ch",
-    "sets_containing": "WITH" + _chars() + f", r(name, a, b) AS (VALUES {_ranges_sql()})\nSELECT DISTINCT cp::BIGINT AS cp, name FROM (SELECT DISTINCT cp FROM p WHERE cp > 127) JOIN r ON cp BETWEEN a AND b",
+    "sets_containing": "WITH" + _chars() + "," + _ranges_sql({"german": GERMAN.removeprefix("german ")}) + "\nSELECT DISTINCT cp::BIGINT AS cp, name FROM (SELECT DISTINCT cp FROM p WHERE cp > 127) JOIN r ON cp BETWEEN a AND b",
+    "sets_listing": "WITH" + _ranges_sql({}) + """, s AS (SELECT *, 'U+' || lpad(upper(to_hex(a)), greatest(4, length(to_hex(a)))::INT, '0') AS f, 'U+' || lpad(upper(to_hex(b)), greatest(4, length(to_hex(b)))::INT, '0') AS t FROM r)
+SELECT name AS set, sum(b - a + 1)::BIGINT AS size, string_agg(CASE WHEN a = b THEN f ELSE f || '-' || t END, ' ' ORDER BY a) AS ranges FROM s GROUP BY name""",
+    "init_survey": "WITH" + _chars(INJECTED) + f""", k AS (SELECT *, CASE WHEN cp IN (8238, 8203) THEN 'hazard' WHEN cp IN (8212, 160, 171, 187) THEN 'fixable' ELSE 'needed' END AS kind FROM p WHERE NOT {_ASCII})
+SELECT '*.' || lang AS pattern, kind, ch AS character, CASE cp WHEN 8238 THEN 'bidi-control' WHEN 8203 THEN 'invisible' END AS lint, count(*) AS n, count(DISTINCT path) AS files, min(path) AS first_path FROM k GROUP BY ALL""",
+    "init_unfixed": "WITH" + _chars(INJECTED) + " SELECT '*.' || lang AS pattern, count(*) AS findings, count(DISTINCT path) AS files FROM p WHERE cp IN (8212, 160, 171, 187) AND NOT (lang = 'de' AND cp = 8212) AND NOT (lang = 'fr' AND cp < 256) GROUP BY lang",
     "sets_coalesced": """
 WITH t AS (SELECT l_returnflag AS name, l_partkey AS a, l_partkey + l_linenumber % 3 AS b FROM lineitem), x AS (SELECT DISTINCT name, unnest(range(a, b + 1)) AS v FROM t),
 g AS (SELECT name, v, v - row_number() OVER (PARTITION BY name ORDER BY v) AS island FROM x) SELECT name, min(v)::BIGINT AS first, max(v)::BIGINT AS last FROM g GROUP BY name, island""",
@@ -284,6 +319,9 @@ FROM documents WHERE doc_id % 5 = 0 OR doc_id % 7 = 0""",
     "check_levels": _FOUND + " SELECT path, max(CASE WHEN level IN ('deny', 'forbid') THEN 1 ELSE 0 END)::BIGINT AS code FROM f GROUP BY path",
     "check_human": _FOUND + " " + _HUMAN,
     "check_human_first": _FOUND + " " + _HUMAN + " ORDER BY path, byte LIMIT 100",
+    "check_json": _FOUND + " SELECT path, byte, json_object('path', path, 'line', line, 'column', col, 'byte', byte, 'codepoint', codepoint, 'character', ch, 'set', set, 'lint', lint, 'level', level, 'replacement', NULL, 'fixable', false)::VARCHAR AS document FROM f",
+    "check_sarif": _FOUND + """ SELECT path, byte, json_object('ruleId', lint, 'level', CASE level WHEN 'warn' THEN 'warning' ELSE 'error' END, 'message', json_object('text', codepoint || ' (set in force: ' || set || ')'),
+  'locations', json_array(json_object('physicalLocation', json_object('artifactLocation', json_object('uri', path), 'region', json_object('startLine', line, 'startColumn', col, 'endColumn', col + 1)))))::VARCHAR AS result FROM f""",
     "check_strict": _FOUND + " SELECT lint, CASE WHEN level = 'warn' THEN 'deny' ELSE level END AS level, count(*) AS n FROM f GROUP BY ALL",
     "check_remedies": "WITH" + _chars(INJECTED) + f" SELECT {_POINT} AS codepoint, {_TO} AS replacement, {_TO} IS NOT NULL OR cp IN (171, 187) AS fixable, count(*) AS n FROM p WHERE {_BEYOND} GROUP BY ALL",
     "fix_documents": "WITH" + _chars(INJECTED) + f""", o AS (SELECT {PATH} AS path, {injected_sql([*INJECTED, *_FIXED])} AS output FROM documents),
@@ -291,11 +329,19 @@ n AS (SELECT path, count(*) FILTER (WHERE {_TO} IS NOT NULL) AS r, count(*) FILT
 SELECT path, md5(output) AS output_md5, coalesce(r, 0)::BIGINT AS n_rewrites, coalesce(u, 0)::BIGINT AS n_unmapped FROM o LEFT JOIN n USING (path)""",
     "fix_rewrites": "WITH" + _chars(INJECTED) + f" SELECT path, line, col, byte, {_POINT} AS codepoint, CASE cp WHEN 8238 THEN 'bidi-control' WHEN 8203 THEN 'invisible' ELSE 'outside-set' END AS lint, {_TO} AS \"to\" FROM p WHERE {_TO} IS NOT NULL",
     "fix_leftovers": _after() + f" SELECT path, line, col, byte, {_POINT} AS codepoint FROM p WHERE {_BEYOND}",
+    "fix_left_at_origin": "WITH" + _chars(INJECTED) + f" SELECT path, line, col, byte, {_POINT} AS codepoint, 'outside-set' AS lint FROM p WHERE {_BEYOND} AND {_TO} IS NULL AND cp NOT IN (171, 187)",
+    "fix_drift": "WITH" + _chars(INJECTED) + f""", t AS (SELECT path, count(*) FILTER (WHERE {_TO} IS NOT NULL OR cp IN (171, 187)) AS r, count(*) FILTER (WHERE {_BEYOND} AND {_TO} IS NULL AND cp NOT IN (171, 187)) AS u FROM p GROUP BY path)
+SELECT (SELECT count(*) FROM documents) AS files, count(*) FILTER (WHERE r > 0) AS drifted, sum(r)::BIGINT AS rewrites, sum(u)::BIGINT AS leftovers, 0::BIGINT AS failed, (max(r) > 0 OR max(u) > 0)::BIGINT AS code FROM t""",
     "stats_files": "WITH" + _chars(INJECTED) + f""", s AS (SELECT path, (count(*) FILTER (WHERE {_BEYOND}))::BIGINT AS outside, sum(strlen(ch))::BIGINT AS bytes, sum(coalesce(strlen({_TO}), strlen(ch)))::BIGINT AS after FROM p GROUP BY path)
 SELECT path, outside, bytes, (bytes + 3) // 4 AS tokens, (after + 3) // 4 AS tokens_after, 'bytes/4' AS method FROM s""",
     "lints_unicode": """
 WITH n AS (SELECT unnest([{'lint': 'not-nfc', 'ch': '\u00e7'}, {'lint': 'nfkc-compat', 'ch': '\u00df'}, {'lint': 'confusable', 'ch': '\u00e8'}, {'lint': 'double-encoded', 'ch': '\u00e9'}]) AS k, text FROM documents),
 s AS (SELECT k.lint AS lint, sum(length(text) - length(replace(text, k.ch, '')))::BIGINT AS n FROM n GROUP BY 1) SELECT lint, n FROM s WHERE n > 0""",
+    "lints_mixed_script": "WITH" + _chars([("\u00e8", "\u0430")]) + """,
+w AS (SELECT *, regexp_matches(ch, '[\\p{L}\\p{N}\\p{M}]') AS inner_, cp = 1072 AS cyr, regexp_matches(ch, '\\p{L}') AND cp <> 1072 AS lat FROM p),
+n AS (SELECT *, sum((NOT inner_)::INT) OVER (PARTITION BY path ORDER BY i) AS word FROM w),
+m AS (SELECT path, greatest(min(i) FILTER (WHERE cyr), min(i) FILTER (WHERE lat)) AS i FROM n WHERE inner_ GROUP BY path, word HAVING count(*) FILTER (WHERE cyr) > 0 AND count(*) FILTER (WHERE lat) > 0)
+SELECT path, byte, ch AS character, 'mixed-script' AS lint FROM p JOIN m USING (path, i)""",
     "guard_events": f"""
 WITH d AS (SELECT conv_id, turn, {injected_sql()} AS t FROM conversations),
 n AS (SELECT *, length(t) - length(replace(t, {quoted(chr(0x202E))}, '')) AS b, length(t) - length(replace(t, {quoted(chr(0x200B))}, '')) AS z FROM d),
