@@ -16,6 +16,7 @@ rows are judged each, an empty table gives no rows, and columns but the id and t
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -52,47 +53,95 @@ def symbols(texts: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return code, np.searchsorted(row, np.arange(len(texts) + 1))
 
 
-def automaton(text: np.ndarray) -> list[dict[int, int]]:
-    """Transitions of the suffix automaton, by state; state 0 is the root."""
-    after: list[dict[int, int]] = [{}]
-    link, length, last = [-1], [0], 0
-    for c in text.tolist():
-        new = len(after)
-        after.append({})
-        length.append(length[last] + 1)
-        link.append(0)
-        at = last
-        while at >= 0 and c not in after[at]:
-            after[at][c] = new
-            at = link[at]
-        if at >= 0:
-            to = after[at][c]
-            if length[at] + 1 == length[to]:
-                link[new] = to
-            else:
-                copy = len(after)
-                after.append(dict(after[to]))
-                length.append(length[at] + 1)
-                link.append(link[to])
-                while at >= 0 and after[at].get(c) == to:
-                    after[at][c] = copy
-                    at = link[at]
-                link[to] = link[new] = copy
-        last = new
-    return after
-
-
-def packed(after: list[dict[int, int]], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The transitions with their rows laid over one another: the one of a state and a symbol, if there is one, stands at
-    base[state] + symbol, where owner holds the state and to the target. Rows of several are put, large ones first, where drawn
+class Automaton:
+    """The suffix automaton of a text: edges as arrays, chained by state; states with many edges have an index of theirs."""
+
+    MANY = 4
+
+    def __init__(self, text: np.ndarray):
+        self.head, self.width = array("i", [-1]), array("B", [0])  # of each state: its last edge, and how many it has
+        self.symbol, self.target, self.next = array("B"), array("i"), array("i")
+        self.wide: dict[int, dict[int, int]] = {}
+        link, length, last = array("i", [-1]), array("i", [0]), 0
+        edge, put, target = self.edge, self._put, self.target
+        for c in text.tolist():
+            new = self._state()
+            length.append(length[last] + 1)
+            link.append(0)
+            at, found = last, -1
+            while at >= 0 and (found := edge(at, c)) < 0:
+                put(at, c, new)
+                at = link[at]
+            if at >= 0:
+                to = target[found]
+                if length[at] + 1 == length[to]:
+                    link[new] = to
+                else:
+                    copy = self._state()
+                    e = self.head[to]
+                    while e >= 0:
+                        put(copy, self.symbol[e], target[e])
+                        e = self.next[e]
+                    length.append(length[at] + 1)
+                    link.append(link[to])
+                    while at >= 0 and (e := edge(at, c)) >= 0 and target[e] == to:
+                        target[e] = copy
+                        at = link[at]
+                    link[to] = link[new] = copy
+            last = new
+
+    def _state(self) -> int:
+        self.head.append(-1)
+        self.width.append(0)
+        return len(self.head) - 1
+
+    def edge(self, state: int, c: int) -> int:
+        """The edge of a state for a symbol, or -1."""
+        if self.width[state] > self.MANY:
+            return self.wide[state].get(c, -1)
+        e = self.head[state]
+        while e >= 0 and self.symbol[e] != c:
+            e = self.next[e]
+        return e
+
+    def _put(self, state: int, c: int, to: int) -> None:
+        e = len(self.symbol)
+        self.symbol.append(c)
+        self.target.append(to)
+        self.next.append(self.head[state])
+        self.head[state] = e
+        self.width[state] += 1
+        if self.width[state] > self.MANY + 1:
+            self.wide[state][c] = e
+        elif self.width[state] > self.MANY:
+            own = self.wide[state] = {}
+            while e >= 0:
+                own[self.symbol[e]] = e
+                e = self.next[e]
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first, symbol, target): the edges in order of their states, of which that of a number begins at first[number]."""
+        width = np.frombuffer(self.width, np.uint8).astype(np.int64)
+        owner = np.full(len(self.symbol), -1, np.int32)
+        level, state = np.frombuffer(self.head, np.int32).copy(), np.arange(len(width), dtype=np.int32)
+        following = np.frombuffer(self.next, np.int32)
+        while len(level := level[keep := level >= 0]):
+            state = state[keep]
+            owner[level] = state
+            level = following[level]
+        order = np.argsort(owner, kind="stable")
+        return np.append(0, np.cumsum(width)), np.frombuffer(self.symbol, np.uint8)[order].astype(np.int64), np.frombuffer(self.target, np.int32)[order]
+
+
+def packed(first: np.ndarray, marks: np.ndarray, targets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The transitions with their rows laid over one another: the one of a state and a symbol, if there is one, stands in the cell
+    base[state] + symbol, as the state and, below it, the target. Rows of several are put, large ones first, where drawn
     places are free; rows of one fill what is left."""
-    width = np.fromiter(map(len, after), np.int64, len(after))
-    marks = np.fromiter((c for x in after for c in x), np.int64, int(width.sum()))
-    targets = np.fromiter((t for x in after for t in x.values()), np.int32, len(marks))
-    first = np.cumsum(width) - width
-    room = 2 * len(marks) + size
+    width = np.diff(first)
+    single = np.flatnonzero(width == 1)
+    room = max(2 * (len(marks) - len(single)), len(marks) + len(marks) // 16) + size
     owner, to = np.full(room + size, -1, np.int32), np.zeros(room + size, np.int32)
-    base = np.zeros(len(after), np.int32)
+    base = np.zeros(len(width), np.int32)
     rng = np.random.default_rng(11)
     for low, high in ((9, size), (5, 8), (3, 4), (2, 2)):
         todo = np.flatnonzero((width >= low) & (width <= high))
@@ -111,15 +160,14 @@ def packed(after: list[dict[int, int]], size: int) -> tuple[np.ndarray, np.ndarr
             base[todo[won]] = drawn[won]
             to[cell[won[row]]] = targets[at[won[row]]]
             todo = todo[~won]
-    single = np.flatnonzero(width == 1)
     free = np.flatnonzero(owner[size:] < 0)[: len(single)] + size
     base[single] = free - marks[first[single]]
     owner[free], to[free] = single, targets[first[single]]
-    return base, owner, to
+    return base, owner.astype(np.int64) << 32 | to
 
 
 class Model:
-    """Automata of all languages in one table; about 30 bytes for each symbol that was learnt."""
+    """Automata of all languages in one table; about 25 bytes for each symbol that was learnt."""
 
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
@@ -133,23 +181,23 @@ class Model:
         self.single = np.zeros((len(self.languages), self.size), np.int32)  # the state after a symbol alone, or the root
         for k, x in enumerate(self.languages):
             text = symbols([samples[x]], self.codes)[0]
-            after = automaton(text)
-            base, owner, to = packed(after, self.size)
-            parts.append((base + cells, np.where(owner < 0, -1, owner + states), to + states))
+            first, marks, targets = Automaton(text).edges()
+            base, own = packed(first, marks, targets, self.size)
+            parts.append((base + cells, np.where(own < 0, -1, own + ((states << 32) + states))))
             self.single[k] = states
-            for c, target in after[0].items():
-                self.single[k, c] = target + states
+            self.single[k, marks[: first[1]]] = targets[: first[1]] + states
             roots.append(states)
             bits.append(np.log2(max(2, len(text))))
-            states, cells = states + len(after), cells + len(owner)
+            states, cells = states + len(base), cells + len(own)
         self.bits, self.roots = np.array(bits), np.array(roots, np.int32)
-        self.base, self.owner, self.to = (np.concatenate(x).astype(np.int32, copy=False) for x in zip(*parts)) if parts else (np.zeros(0, np.int32),) * 3
+        self.base = np.concatenate([x.astype(np.int32, copy=False) for x, _ in parts] or [np.zeros(0, np.int32)])
+        self.cells = np.concatenate([x for _, x in parts] or [np.zeros(0, np.int64)])
 
     def _step(self, state: np.ndarray, symbol: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The states after a symbol each, and where a new phrase begins with it."""
-        at = self.base[state] + symbol
-        fresh = self.owner[at] != state
-        return np.where(fresh, single, self.to[at]), fresh
+        cell = self.cells[self.base[state] + symbol]
+        fresh = (cell >> 32) != state
+        return np.where(fresh, single, cell.astype(np.int32)), fresh
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bits a symbol of each text by language, and the number of its symbols."""
