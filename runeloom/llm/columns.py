@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..sources.spread import spread
+
 #: Bytes of text that a step sees at once; a longer single text is a slice of its own.
 SLICE_BYTES = 4 << 20
 
@@ -79,7 +81,7 @@ def map_slices(df: DataFrame, make: Callable[[], Callable], schema: str, text: s
                 yield pa.RecordBatch.from_arrays([x if isinstance(x := got[f.name], pa.Array) else pa.array(x, f.type) for f in out], schema=out)
         release()
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
 
 
 def keep_slices(df: DataFrame, make: Callable[[], Callable], text: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
@@ -95,7 +97,7 @@ def keep_slices(df: DataFrame, make: Callable[[], Callable], text: str = "text",
                 yield part.filter(pa.array(step(part.column(text))))
         release()
 
-    return df.mapInArrow(run, df.schema)
+    return spread(df).mapInArrow(run, df.schema)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
