@@ -241,11 +241,11 @@ def archived(pages: DataFrame, path: str | None = None, id: str = "page_id", url
     path = path or shared_path(spark, "warc")
     write(pages, path, id, url, html)
     page = lambda x: F.try_to_number(F.split(x, ":")[2], F.lit("S9999999999999999999")).cast("long")
-    found = read(spark, path).select(
+    found = cut(read(spark, path).select(
         page(F.col("id")).alias("id"), "type", page(F.col("refers_to")).alias("refers_to"), F.octet_length("payload").cast("long").alias("size"), F.sha1("payload").alias("sha"),
         F.substring_index("digest", ":", -1).alias("digest"),
-    )
-    revisits = cut(found.where("type = 'revisit'").select(F.col("id").alias("page"), "refers_to", "digest"))
+    ))  # the archives are read once
+    revisits = found.where("type = 'revisit'").select(F.col("id").alias("page"), "refers_to", "digest")
     asked = cut(revisits.groupBy("refers_to").agg(F.count(F.lit(1)).alias("n")))
     referred = found.where("type = 'response'").groupBy("id").agg(F.max("size").alias("size"), F.max("sha").alias("sha")).withColumnRenamed("id", "refers_to")
     known = cut(asked.join(referred, "refers_to", "left"))
