@@ -5,6 +5,7 @@ from __future__ import annotations
 import copy
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .functions import icu
 from .operators import check as ops
@@ -49,12 +50,21 @@ class Engine:
         return ops.drift(documents, self.bench)
 
     def write_fixed(self, documents: DataFrame, path: str) -> None:
-        """All texts are rewritten before any is committed; one that can't be fails the job."""
+        """Rewrites all texts and commits them together, in one pass: one that can't be rewritten fails the job, and nothing is left of it."""
         out = self.fix(documents)
-        bad = out.where("error is not null").select("path", "error").limit(1).collect()
-        if bad:
-            raise ConfigError(f"{bad[0].path}: {bad[0].error}")
-        out.select("path", out["output"].alias("text")).write.parquet(path)
+        failed = F.raise_error(F.concat(F.coalesce("path", F.lit("")), F.lit(": "), F.col("error")))
+        jvm = self.spark._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        files = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        existed = files.exists(target)
+        try:
+            out.select("path", F.when(F.col("error").isNotNull(), failed).otherwise(F.col("output")).alias("text")).write.parquet(path)
+        except Exception as e:
+            if not existed:
+                files.delete(target, True)
+            if "USER_RAISED_EXCEPTION" in str(e):
+                raise ConfigError(str(e).split("USER_RAISED_EXCEPTION", 1)[1].split("\n", 1)[0].strip("] ")) from None
+            raise
 
     def stats(self, documents: DataFrame, bpe: bool = False) -> DataFrame:
         if bpe:

@@ -12,6 +12,8 @@ from ..functions import chars
 from ..functions.judge import double_encoded
 from ..plans.config import DRAFTED, PRESETS, Catalog, Config, Law
 
+#: Code points of a block, within which ranges are joined first.
+BLOCK = 1024
 _BEYOND = regex.compile(chars.python_class(chars.ASCII, True))
 
 
@@ -22,11 +24,16 @@ def set_ranges(spark: SparkSession, catalog: Catalog, names: list[str] | None =
 
 
 def coalesced(ranges: DataFrame) -> DataFrame:
-    """Overlapping and adjacent ranges of each set joined: gaps and islands."""
-    before = Window.partitionBy("set").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    run = Window.partitionBy("set").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
-    fresh = ranges.withColumn("fresh", (F.coalesce(F.col("start") > F.max("end").over(before) + 1, F.lit(True))).cast("int"))
-    return fresh.withColumn("island", F.sum("fresh").over(run)).groupBy("set", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("set", "start", "end")
+    """Overlapping and adjacent ranges of each set joined: gaps and islands, first within blocks of BLOCK points, so that what meets by set is no
+    more than the islands that are left, of which a set has one for every second code point at most."""
+    def joined(rows: DataFrame, *by: str) -> DataFrame:
+        order = Window.partitionBy(*by).orderBy("start", "end")
+        fresh = F.coalesce(F.col("start") > F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(True)).cast("int")
+        run = rows.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        return run.groupBy(*by, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+
+    within = ranges.groupBy("set", "start").agg(F.max("end").alias("end")).withColumn("block", F.expr(f"start div {BLOCK}"))
+    return joined(joined(within, "set", "block").select("set", "start", "end"), "set").select("set", "start", "end")
 
 
 def listing(ranges: DataFrame) -> DataFrame:

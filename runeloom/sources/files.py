@@ -16,7 +16,8 @@ def normal_path(path: Column) -> Column:
 
 
 def read_files(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
-    """(path relative to root, content) of every file below root; raises if there is none."""
+    """(path relative to root, content) of every file below root; raises if there is none. Names that begin with a dot or an underscore are Spark's to
+    leave out; links are read as what they lead to."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
@@ -28,13 +29,23 @@ def read_files(spark: SparkSession, root: str, pattern: str | None = None) -> Da
     return files.select(F.when(clean.contains(base), F.substring_index(clean, base, -1)).otherwise(clean).alias("path"), "content")
 
 
+def tracked(files: DataFrame, listed: DataFrame) -> DataFrame:
+    """Of the files those that a list of paths (a table of tracked files, as version control gives it) names; the default where none is named.
+    Raises if that is none at all."""
+    kept = files.join(listed.select(normal_path(F.col("path")).alias("_listed")).distinct(), normal_path(F.col("path")) == F.col("_listed"), "left_semi")
+    if kept.select("path").isEmpty():
+        raise ValueError("none of the listed files is there")
+    return kept
+
+
 def named(files: DataFrame, paths: list[str]) -> DataFrame:
-    """The files that are named or lie below a named folder, each once."""
-    wanted = F.lit(False)
-    for p in paths:
-        p = p.rstrip("/")
-        wanted = wanted | (F.lit(p in ("", "."))) | (F.col("path") == p) | F.startswith(F.col("path"), F.lit(p + "/"))
-    return files.where(wanted).dropDuplicates(["path"])
+    """(..., ord): the files that are named or lie below a named folder, each once; ord is the number of the first name that takes it, by which, and then by
+    path, a report is in the order of the names."""
+    first = F.lit(None).cast("int")
+    for k in reversed(range(len(paths))):
+        p = paths[k].rstrip("/")
+        first = F.when(F.lit(p in ("", ".")) | (F.col("path") == p) | F.startswith(F.col("path"), F.lit(p + "/")), F.lit(k)).otherwise(first)
+    return files.withColumn("ord", first).where("ord is not null").dropDuplicates(["path"])
 
 
 def documents(table: DataFrame, path: Column, text: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from runeloom import queries
 from runeloom.engine import Config, Engine
-from runeloom.functions import icu, judge
+from runeloom.functions import chars, icu, judge
 from runeloom.operators import check, report, rules, sets
 from runeloom.sources import files
 from runeloom.sources.spread import scanned_partitions, spread
@@ -44,11 +44,20 @@ def test_fix_writes_all_or_nothing(spark, documents, tmp_path):
     engine.write_fixed(documents, str(tmp_path / "out"))
     assert {r.path: r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()}["a.md"] == "----≡\n"
     bad = Engine(spark, Config(maps=["U+2014 U+2264", "U+2264 U+2014"]))
-    with pytest.raises(ValueError):
+    with pytest.raises(ValueError, match="leads back to itself"):
         bad.write_fixed(documents, str(tmp_path / "bad"))
     assert not os.path.exists(tmp_path / "bad")
 
 
+def test_ranges_are_joined_over_blocks(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(s, a, a + rng.choice([0, 1, 5, 3000])) for s in "xy" for a in (rng.randint(0, 9000) for _ in range(120))] + [("x", 1023, 1024), ("x", 1025, 1025)] * 2
+    got = {s: [(r.start, r.end) for r in sets.coalesced(spark.createDataFrame(rows, "set string, start int, end int")).where(F.col("set") == s).orderBy("start").collect()] for s in "xy"}
+    assert got == {s: chars.merged((a, b) for t, a, b in rows if t == s) for s in "xy"}
+
+
 def test_files(spark, tmp_path):
     for name, body in (("x.txt", b"ok\n\xc3\xa9x\xff"), ("y.bin", b"a\0"), ("z.txt", "é".encode())):
         (tmp_path / name).write_bytes(body)
@@ -58,6 +67,12 @@ def test_files(spark, tmp_path):
     assert [r.path for r in files.text_of(found).collect()] == ["z.txt"]
     assert [r.path for r in Engine(spark).check(found).collect()] == ["z.txt"]
     assert files.named(found, ["z.txt", "z.txt"]).count() == 1 and files.named(found, ["z.txt", "./"]).count() == 3
+    assert [r.path for r in files.named(found, ["z.txt", "y.bin", "./"]).orderBy("ord", "path").collect()] == ["z.txt", "y.bin", "x.txt"]
+    listed = spark.createDataFrame([("./x.txt",), ("gone",), ("x.txt",)], "path string")
+    assert [r.path for r in files.tracked(found, listed).collect()] == ["x.txt"]
+    for nothing in (lambda: files.tracked(found, listed.where("path = 'gone'")), lambda: files.read_files(spark, str(tmp_path), "*.none")):
+        with pytest.raises(Exception):
+            nothing()
     assert files.capped(found, 4).where("path = 'x.txt'").first().content == b"ok\n"
 
 
