@@ -19,14 +19,20 @@ def rules_table(spark: SparkSession, config: Config) -> DataFrame:
 
 
 def resolved(paths: DataFrame, config: Config) -> DataFrame:
-    """(path, sets, winner, family, default_level) of each path: a join on the rules' patterns with one row a path after it,
+    """(path, sets, winner, family, default_level, levels) of each path; levels are `target=level` in order of the targets' first appearance. A join on the rules' patterns with one row a path after it,
     partial aggregates before its exchange. For scans use the CASE chain of operators.check, which joins nothing."""
     if len(config.rule_list) > MOST:
         raise ValueError(f"more than {MOST} rules")
     rules = F.broadcast(rules_table(paths.sparkSession, config))
     last = lambda c, has: F.expr(f"max_by({c}, ord) FILTER (WHERE {has} IS NOT NULL)")
-    found = paths.select("path").distinct().join(rules, F.expr("path rlike regex"), "left").groupBy("path")
+    each = paths.select("path").distinct()
+    named = [(k, n, globs.to_regex(r.pattern), t, x) for k, r in enumerate(config.rule_list) for n, (t, x) in enumerate(r.levels)]
+    table = F.broadcast(paths.sparkSession.createDataFrame(named, "ord int, place int, regex string, target string, level string"))
+    last_level = F.max_by("level", F.struct("ord", "place"))
+    levels = each.join(table, F.expr("path rlike regex")).groupBy("path", "target").agg(F.min(F.struct("ord", "place")).alias("first"), last_level.alias("level"))
+    levels = levels.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", F.concat("target", F.lit("="), "level").alias("said")))), lambda x: x["said"]), " ").alias("levels"))
+    found = each.join(rules, F.expr("path rlike regex"), "left").groupBy("path")
     return found.agg(
         F.coalesce(last("sets", "sets"), F.lit("ascii")).alias("sets"), last("origin", "sets").alias("winner"),
         F.coalesce(last("family", "family"), F.lit("text")).alias("family"), last("default_level", "default_level").alias("default_level"),
-    )
+    ).join(levels, "path", "left").withColumn("levels", F.coalesce("levels", F.lit("")))

@@ -106,12 +106,13 @@ def init_unfixed(spark, d):
 
 
 def rules_resolved(spark, d):
-    config = Config(rules=["* ascii", "src1/ greek !warn", "*.de german @emoji", "src1*/**/1?.fr any", "src7/*.en !deny", "/src3/** latin1+cr"], sets=[GERMAN])
+    config = Config(rules=["* ascii", "src1/ greek !warn", "*.de german @emoji", "src1*/**/1?.fr any", "src7/*.en !deny !crlf=warn", "/src3/** latin1+cr !crlf=deny !pedantic=warn", "*.fr !pedantic=deny !crlf=allow !pedantic=allow"], sets=[GERMAN])
     return rules.resolved(docs(spark, d), config)
 
 
 def paths_normal(spark, d):
-    raw = F.expr("concat('./', source, '/../', lang, '//', doc_id, '/./../x')")
+    raw = F.expr("""CASE doc_id % 6 WHEN 0 THEN concat('./', source, '/../', lang, '//', doc_id, '/./../x') WHEN 1 THEN concat('/', source, '/../../', lang) WHEN 2 THEN concat('../', source, '/..')
+        WHEN 3 THEN '' WHEN 4 THEN concat(source, '/./', lang, '/') ELSE concat('../../', lang, '/..x/.') END""")
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", files.normal_path(raw).alias("path"))
 
 
@@ -305,10 +306,13 @@ g AS (SELECT name, v, v - row_number() OVER (PARTITION BY name ORDER BY v) AS is
 WITH d AS (SELECT DISTINCT {PATH} AS path FROM documents),
 r(ord, rx, sets, family, lvl) AS (VALUES (0, '^.*$', 'ascii', NULL, NULL), (1, '^([^/]*/)*src1(/[^/]*)*$', 'ascii+greek', NULL, 'warn'), (2, '^([^/]*/)*[^/]*\\.de$', 'ascii+german', 'emoji', NULL),
   (3, '^src1[^/]*(/[^/]*)*/1[^/]\\.fr$', 'ascii+any', NULL, NULL), (4, '^src7/[^/]*\\.en$', NULL, NULL, 'deny'), (5, '^src3(/[^/]*)*$', 'ascii+latin1+cr', NULL, NULL)),
+v(ord, place, rx, target, level) AS (VALUES (4, 0, '^src7/[^/]*\\.en$', 'crlf', 'warn'), (5, 0, '^src3(/[^/]*)*$', 'crlf', 'deny'), (5, 1, '^src3(/[^/]*)*$', 'pedantic', 'warn'), (6, 0, '^([^/]*/)*[^/]*\\.fr$', 'pedantic', 'deny'), (6, 1, '^([^/]*/)*[^/]*\\.fr$', 'crlf', 'allow'), (6, 2, '^([^/]*/)*[^/]*\\.fr$', 'pedantic', 'allow')),
+x AS (SELECT path, target, arg_max(level, ord * 10 + place) AS level, min(ord * 10 + place) AS first FROM d JOIN v ON regexp_matches(path, rx) GROUP BY path, target),
+y AS (SELECT path, string_agg(target || '=' || level, ' ' ORDER BY first) AS levels FROM x GROUP BY path),
 m AS (SELECT * FROM d JOIN r ON regexp_matches(path, rx))
 SELECT path, coalesce(arg_max(sets, ord) FILTER (WHERE sets IS NOT NULL), 'ascii') AS sets, 'argument[' || max(ord) FILTER (WHERE sets IS NOT NULL) || ']' AS winner,
-       coalesce(arg_max(family, ord) FILTER (WHERE family IS NOT NULL), 'text') AS family, arg_max(lvl, ord) FILTER (WHERE lvl IS NOT NULL) AS default_level FROM m GROUP BY path""",
-    "paths_normal": "SELECT doc_id, lang || '/x' AS path FROM documents",
+       coalesce(arg_max(family, ord) FILTER (WHERE family IS NOT NULL), 'text') AS family, arg_max(lvl, ord) FILTER (WHERE lvl IS NOT NULL) AS default_level, coalesce(any_value(levels), '') AS levels FROM m LEFT JOIN y USING (path) GROUP BY path""",
+    "paths_normal": "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN lang || '/x' WHEN 1 THEN '/../' || lang WHEN 2 THEN '..' WHEN 3 THEN '' WHEN 4 THEN source || '/' || lang ELSE '../../' || lang || '/..x' END AS path FROM documents",
     "files_skipped": f"""
 SELECT {PATH} AS path, CASE WHEN doc_id % 5 = 0 THEN 'not-utf8' ELSE 'binary' END AS reason, CASE WHEN doc_id % 5 = 0 THEN strlen(text)::BIGINT END AS byte,
        CASE WHEN doc_id % 5 = 0 THEN len(string_split(text, chr(10)))::BIGINT END AS line, CASE WHEN doc_id % 5 = 0 THEN (length(string_split(text, chr(10))[-1]) + 1)::BIGINT END AS col

@@ -83,10 +83,10 @@ def test_normal_paths(spark):
 
 
 def test_relational_and_driver_resolution_agree(spark):
-    config = Config(rules=["* ascii", "src/ greek", "*.de latin1 @emoji", "src/**/x.md any !warn"])
+    config = Config(rules=["* ascii", "src/ greek", "*.de latin1 @emoji", "src/**/x.md any !warn !crlf=deny", "src/ !pedantic=warn !crlf=allow"])
     paths = ["a", "src/a.de", "src/b/x.md", "x.de", "src/x.md"]
-    got = {r.path: (r.sets, r.family, r.default_level) for r in rules.resolved(spark.createDataFrame([(p,) for p in paths], "path string"), config).collect()}
-    assert got == {p: ((law := config.law(p)).name(), law.family, law.default_level) for p in paths}
+    got = {r.path: (r.sets, r.family, r.default_level, r.levels) for r in rules.resolved(spark.createDataFrame([(p,) for p in paths], "path string"), config).collect()}
+    assert got == {p: ((law := config.law(p)).name(), law.family, law.default_level, " ".join(f"{t}={x}" for t, x in law.levels)) for p in paths}
 
 
 def test_located_agrees_with_scan(spark):
