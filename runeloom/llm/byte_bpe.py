@@ -5,7 +5,9 @@ into padded matrices, every row merges its leftmost pair of least rank in each r
 leave the matrix. A pair's merged token is found in an open-addressing table of 64-bit keys.
 
 encode: null text counts as empty and gives no tokens; decode: null or empty ids give no bytes, a null or
-unknown id raises. Repeated rows are encoded each; other columns of the input are not carried.
+unknown id raises. Repeated rows are encoded each, an empty table gives no rows; other columns of the input have no part and are
+not carried. A piece of more than WIDEST bytes, such as a long run of letters, is merged by a heap over a linked list, in the same order of merges
+and so with the same tokens, as a matrix of its width would cost the square of its length.
 """
 
 from __future__ import annotations

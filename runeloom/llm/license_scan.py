@@ -9,7 +9,8 @@ run of anchors in order is kept, and the gaps between them are aligned the same
 taken first). Coverage is the share of the template's words that are aligned.
 
 Templates are a parameter: (license, text) rows, at most TEMPLATES bytes in all, which is checked before they are
-broadcast. A template needs three words. Null and empty texts hold nothing; repeated rows are scanned each.
+broadcast. A template needs three words. Null and empty texts hold nothing; repeated rows are scanned each, an empty table gives no
+rows, and other columns have no part.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ and what follows it up to the next space) that merge on their own; its count is
 is a broadcast table of the lengths of frequent units, tier two a bounded memory of each worker for the rest,
 which the library encodes.
 
-Null text counts as empty and gives 0 tokens; repeated rows are counted each.
+Null text counts as empty and gives 0 tokens; repeated rows are counted each, an empty table gives no rows, and other columns have no
+part. What the table and the memory hold has no bearing on any count.
 """
 
 from __future__ import annotations

@@ -125,6 +125,22 @@ def test_language_sample(spark, monkeypatch):
     assert round(2 ** language_id.Model({"en": "abc" * 50_000}).bits[0]) == 150_000
 
 
+def test_language_query_against_substrings(spark):
+    """Predictions of the query are those of searching all that was learnt for substrings."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    learnt = dict(language_id.learn(docs.where(~(queries.fold_of("doc_id", 4) == 2))))
+    own = language_id.Model(learnt)
+    train = {x: bytes(language_id.symbols([t], own.codes)[0].tolist()) for x, t in learnt.items()}
+    rows = docs.where("length(text) BETWEEN 40 AND 900").orderBy("doc_id").limit(25).collect()
+    got = by_id(queries.op1_language_id(spark, SF))
+    for r in rows:
+        code = language_id.symbols([r.text], own.codes)[0].tolist()
+        bits = {x: phrases(code, t) * own.bits[own.languages.index(x)] / len(code) for x, t in train.items()}
+        best = min(sorted(bits), key=bits.get)
+        assert got[r.doc_id].lang_pred == best and got[r.doc_id].bits == pytest.approx(bits[best])
+        assert got[r.doc_id].score == pytest.approx(1 / sum(2 ** (-4 * (b - bits[best])) for b in bits.values()))
+
+
 def test_language_odd_texts(spark):
     got = by_id(language_id.identify(table(spark, list(enumerate(ODD))), (("de", "der hund ist"), ("en", "the dog is"))))
     assert len(got) == len(ODD)
@@ -203,6 +219,38 @@ def test_license_copies_close_together(spark, between):
     assert {k: [(x.start, x.end) for x in r.licenses] for k, r in got.items()} == expected
 
 
+def test_license_scan_against_all_windows(spark):
+    """A document has a passage where alignment with every window of words finds one, whatever was edited."""
+    rng = random.Random(21)
+    vocabulary = [f"w{k}" for k in range(40)]
+    templates = [("A", [f"a{k}" for k in range(14)]), ("B", [rng.choice(vocabulary) for _ in range(30)])]
+    rows, want = [], {}
+    for k in range(150):
+        own = []
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            own += [rng.choice(vocabulary) for _ in range(rng.randint(0, 15))]
+            _, body = rng.choice(templates)
+            rate = rng.choice([0, 0.05, 0.1, 0.2])
+            edits = [(w, rng.choice(vocabulary), rng.random()) for w in body]
+            own += [y for w, other, draw in edits for y in ([] if draw < rate / 3 else [w, other] if draw < rate * 2 / 3 else [other] if draw < rate else [w])]
+        own += [rng.choice(vocabulary) for _ in range(rng.randint(0, 15))]
+        rows.append((k, " ".join(own)))
+        want[k] = {name for name, body in templates if any(len(license_scan.aligned(body, own[i:j])) >= 0.8 * len(body) for i in range(len(own)) for j in range(i + len(body) * 4 // 5, min(len(own), i + 2 * len(body)) + 1))}
+    got = {r.doc_id: {x.license for x in r.licenses} for r in license_scan.scan(table(spark, rows), [(name, " ".join(body)) for name, body in templates]).collect()}
+    assert all(got[k] <= want[k] for k in want)
+    assert sum(len(got[k]) for k in want) >= 0.97 * sum(map(len, want.values())) > 60
+
+
+def test_license_scan_of_long_and_repeated_texts(spark):
+    notice = "Licensed under the Apache License, Version 2.0."
+    long = "word " * 200_000 + notice + " " + "licensed under the " * 20_000 + notice
+    rows = [(1, long), (2, notice), (2, notice), (2, None), (None, notice)]
+    got = sorted((r.doc_id or 0, [(x.start, x.end) for x in r.licenses]) for r in license_scan.scan(table(spark, rows)).collect())
+    one = [(0, len(notice) - 1)]
+    assert got[0] == (0, one) and got[2:] == [(2, []), (2, one), (2, one)]
+    assert got[1][1][0] == (1_000_000, 1_000_000 + len(notice) - 1) and got[1][1][-1][1] == len(long) - 1
+
+
 def test_license_texts(spark, tmp_path):
     """The query finds license texts and file headers, and tells a text from those that hold most of it."""
     known = license_scan.texts()
@@ -679,6 +727,19 @@ def test_quality_votes_against_all_cosines():
     assert got[40] == got[41] == own.prior
 
 
+def test_quality_query_against_one_text_at_a_time(spark):
+    """Scores of the query are those of voting over all cosines, for each text alone."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.learn(docs, labels.where(~(queries.fold_of("doc_id", 3) == 1)))
+    got = by_id(queries.op9_quality(spark, SF))
+    for r in docs.orderBy("doc_id").limit(60).collect():
+        row, kind, part = quality.terms(pa.array([r.text]))
+        vector = model._unit(model._matrix(row, kind, part, 1) @ model.space)[0]
+        near = sorted(range(len(model.labels)), key=lambda k: (-round(float(vector @ model.vectors[k]), 5), k))[: quality.VOTES]
+        weight = [max(0.0, round(float(vector @ model.vectors[k]), 5)) ** 8 for k in near]
+        assert got[r.doc_id].score == pytest.approx(sum(w * model.labels[k] for w, k in zip(weight, near)) / sum(weight), abs=0.01)
+
+
 def test_quality_ties():
     """Of neighbours that are equally near the first of the sample vote."""
     own = quality.Model.of(["same words here"] * 60 + ["other thing"] * 3, [1] * 10 + [0] * 50 + [1] * 3)
@@ -714,6 +775,13 @@ def test_token_counts_as_the_library(spark):
         assert (got[k].n_bytes, got[k].n_tokens, got[k].over_limit) == (len((x or "").encode()), n, n > 20), repr(x)
 
 
+def test_token_counts_of_long_and_repeated_texts(spark):
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    long = "word " * 100_000 + "x" * 100_000 + " " * 1000
+    got = sorted(tuple(r) for r in token_count.count_tokens(table(spark, [(1, long), (2, "a b"), (2, "a b"), (2, None)]), PIECES).collect())
+    assert got == [(1, len(long), len(library.encode(long)), True), (2, 0, 0, False), (2, 3, 2, False), (2, 3, 2, False)]
+
+
 def test_token_count_query(spark):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     rows = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
