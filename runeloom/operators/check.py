@@ -61,6 +61,8 @@ def mapped(documents: DataFrame, bench: Bench, schema: str, each, some=None) ->
                 part = batch.slice(at, ROWS)
                 rows: list[tuple] = []
                 for path, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    if skip and text is None:
+                        continue
                     if bytes_:
                         if unreadable(text or b""):
                             continue
@@ -73,8 +75,9 @@ def mapped(documents: DataFrame, bench: Bench, schema: str, each, some=None) ->
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
 
     documents = spread(documents.select("path", "content" if bytes_ else "text"))
-    if some is not None and not bytes_:
-        documents = documents.where(some(F.col("path"), F.coalesce("text", F.lit(""))))
+    skip = some is not None and not bytes_
+    if skip:  # a condition in the projection, as a filter would be moved to before the rows are dealt out
+        documents = documents.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("text", F.when(some(F.col("path"), F.col("text")), F.col("text")))
     return documents.mapInArrow(run, schema)
 
 

@@ -16,6 +16,7 @@ from .functions import chars
 from .operators import check, report, rules, sets
 from .plans.config import PRESETS
 from .sources import files
+from .sources.spread import spread
 
 #: What stands for what: a dash, a zero-width space, an override, a decomposed letter, line ends, a no-break space.
 INJECTED = [("\u00f1", "\u2014"), ("\u00fc", "\u200b"), ("\u00df", "\u202e"), ("\u00e7", "c\u0327"), (", ", ",\r\n"), (". ", ". \n"), ("\u00ea", "\u00a0")]
@@ -42,7 +43,7 @@ def injected_sql(pairs=INJECTED, text: str = "text") -> str:
 
 
 def docs(spark: SparkSession, d: str, pairs=()) -> DataFrame:
-    table = spark.read.parquet(f"{d}/documents.parquet")
+    table = spread(spark.read.parquet(f"{d}/documents.parquet").select("source", "doc_id", "lang", "text"))
     return table.select(F.expr(PATH).alias("path"), injected(F.col("text"), pairs).alias("text"))
 
 
