@@ -218,20 +218,41 @@ def _read(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, token_ids array<int>) of every whole text. path: the rank file, read by the driver and broadcast."""
+def _lists(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))
+
+
+def _contents(vocabulary: tuple[np.ndarray, np.ndarray], flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The bytes that runs of ids stand for."""
+    blob, begins = vocabulary
+    sizes = np.diff(begins)
+    if len(flat) and (flat.dtype.kind == "f" or flat.min() < 0 or flat.max() >= len(sizes)):
+        raise ValueError("a token id is null or not in the vocabulary")
+    flat = flat.astype(np.int64, copy=False)
+    ends = np.cumsum(sizes[flat])
+    total = int(ends[-1]) if len(ends) else 0
+    content = blob[np.arange(total) + np.repeat(begins[flat] - (ends - sizes[flat]), sizes[flat])]
+    cuts = np.append(0, ends)[bounds].astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(np.ascontiguousarray(cuts)), pa.py_buffer(np.ascontiguousarray(content))])
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
+    """(id, token_ids array<int>) of every whole text, and with `decoded` the bytes that the ids stand for as `content`: one pass and one set of
+    workers where both are asked for. path: the rank file, read by the driver and broadcast."""
     ranks = docs.sparkSession.sparkContext.broadcast(_read(path))
 
     def make():
-        own = tables(ranks.value).encoder(pattern)
+        own = tables(ranks.value)
+        encoder = own.encoder(pattern)
 
         def step(part: pa.RecordBatch) -> dict:
-            flat, bounds = own.encode([x or "" for x in part.column(1).to_pylist()])
-            return {"id": part.column(0), "token_ids": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))}
+            flat, bounds = encoder.encode([x or "" for x in part.column(1).to_pylist()])
+            return {"id": part.column(0), "token_ids": _lists(flat, bounds), **({"content": _contents(own.vocabulary, flat, bounds)} if decoded else {})}
 
         return step
 
-    return map_slices(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")), make, "id long, token_ids array<int>", limit=1 << 19).withColumnRenamed("id", id)
+    schema = "id long, token_ids array<int>" + ", content binary" * decoded
+    return map_slices(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")), make, schema, limit=1 << 19).withColumnRenamed("id", id)
 
 
 def decode(encoded: DataFrame, path: str, id: str = "doc_id", ids: str = "token_ids") -> DataFrame:
@@ -239,8 +260,7 @@ def decode(encoded: DataFrame, path: str, id: str = "doc_id", ids: str = "token_
     ranks = encoded.sparkSession.sparkContext.broadcast(_read(path))
 
     def run(batches):
-        blob, begins = tables(ranks.value).vocabulary
-        sizes = np.diff(begins)
+        vocabulary = tables(ranks.value).vocabulary
         for batch in batches:
             at, step = 0, max(1, len(batch) * (1 << 18) // max(1, batch.nbytes // 4))
             while at < len(batch):
@@ -250,15 +270,7 @@ def decode(encoded: DataFrame, path: str, id: str = "doc_id", ids: str = "token_
                 bounds = np.zeros(len(part) + 1, np.int64)
                 np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), out=bounds[1:])
                 flat = lists.flatten().to_numpy(zero_copy_only=False)
-                if len(flat) and (flat.dtype.kind == "f" or flat.min() < 0 or flat.max() >= len(sizes)):
-                    raise ValueError("a token id is null or not in the vocabulary")
-                flat = flat.astype(np.int64)
-                ends = np.cumsum(sizes[flat])
-                total = int(ends[-1]) if len(ends) else 0
-                shift = np.repeat(begins[flat] - (ends - sizes[flat]), sizes[flat])
-                content = blob[np.arange(total) + shift].tobytes()
-                cuts = np.append(0, ends)[bounds].tolist()
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array([content[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary())], names=["id", "token_ids", "content"])
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, _contents(vocabulary, flat, bounds)], names=["id", "token_ids", "content"])
         release()
 
     return encoded.select(F.col(id).cast("long").alias("id"), F.col(ids).alias("token_ids")).mapInArrow(run, "id long, token_ids array<int>, content binary").withColumnRenamed("id", id)

@@ -159,6 +159,8 @@ def test_bpe_as_the_library(spark):
     for k, x in enumerate(texts):
         assert list(got[k].token_ids) == library.encode_ordinary(x or ""), x
         assert bytes(got[k].content) == (x or "").encode()
+    both = byte_bpe.encode(table(spark, list(enumerate(texts))), RANKS, public_tokenizers.PATTERN, decoded=True)
+    assert {k: (list(r.token_ids), bytes(r.content)) for k, r in by_id(both).items()} == {k: (list(r.token_ids), bytes(r.content)) for k, r in got.items()}
     small = byte_bpe.Encoder(byte_bpe.Merges(ranks), public_tokenizers.PATTERN, cached=3)
     flat, bounds = small.encode(["a b c d e", "f g h"])
     assert flat[bounds[0] : bounds[1]].tolist() == library.encode_ordinary("a b c d e")
