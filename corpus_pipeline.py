@@ -40,7 +40,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, token_ids, text): the tokens, and the text that they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    both = byte_bpe.decode(byte_bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    both = byte_bpe.encode(docs, path, public_tokenizers.PATTERN, decoded=True)
     return both.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", F.col("content").cast("string").alias("text"))
 
 
