@@ -66,10 +66,15 @@ class Engine:
                 raise ConfigError(str(e).split("USER_RAISED_EXCEPTION", 1)[1].split("\n", 1)[0].strip("] ")) from None
             raise
 
-    def stats(self, documents: DataFrame, bpe: bool = False) -> DataFrame:
-        if bpe:
-            raise ConfigError("token counts by merges need a vocabulary that isn't part of this library; counts are bytes/4")
-        return ops.stats(documents, self.bench)
+    def stats(self, documents: DataFrame, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
+        """Characters outside the set, bytes and tokens; tokens are bytes / 4, or those of a vocabulary: the path of its rank file, read by the
+        driver, and the pattern by which it cuts texts."""
+        if ranks is None:
+            return ops.stats(documents, self.bench)
+        if pattern is None:
+            raise ConfigError("a vocabulary's tokens need the pattern by which it cuts texts")
+        with open(ranks, "rb") as f:
+            return ops.merged_tokens(documents, self.bench, f.read(), pattern)
 
     def explain(self, path: str) -> dict:
         return self.config.explain(path)

@@ -20,6 +20,7 @@ _SELECTORS = "\ufe0e\ufe0f"
 _JOINED = regex.compile("[\u200d\ufe0f\u20e3\U0001f1e6-\U0001f1ff\U000e0020-\U000e007f]")
 _RUN = regex.compile("[\u00c2-\u00df][\u0080-\u00bf]|[\u00e0-\u00ef][\u0080-\u00bf]{2}|[\u00f0-\u00f4][\u0080-\u00bf]{3}")
 _WORD = regex.compile(r"[\p{Alphabetic}\p{N}\p{M}]+")
+_UNKNOWN = regex.compile(r"\p{sc=Zzzz}")
 _SEGMENT = regex.compile(r"(?:(?=\p{ccc=0})\p{NFC_QC=Yes}|^)(?:(?!\p{ccc=0})[\s\S]|(?!\p{NFC_QC=Yes})[\s\S])*")
 _WHITE = frozenset(chr(c) for a, b in chars.WHITE for c in range(a, b + 1))
 _SPACE = frozenset(chr(c) for a, b in chars.SPACES for c in range(a, b + 1))
@@ -179,13 +180,15 @@ def scripts(c: str) -> frozenset[str] | None:
 
 
 def text_lints(text: str):
-    """not-nfc and mixed-script with their places."""
+    """not-nfc and mixed-script with their places. A character of no script at all, as an unassigned one, goes with nothing, itself included."""
     if unicodedata.normalize("NFC", text) != text:
         for m in _SEGMENT.finditer(text):
             own = m[0]
             made = unicodedata.normalize("NFC", own)
             if made != own:
                 yield "not-nfc", m.start() + min(next((k for k, (a, b) in enumerate(zip(own, made)) if a != b), min(len(own), len(made))), len(own) - 1)
+    for m in _UNKNOWN.finditer(text):
+        yield "mixed-script", m.start()
     for m in _WORD.finditer(text):
         if m[0].isascii():
             continue

@@ -18,6 +18,20 @@ class NotIdempotent(ValueError):
     pass
 
 
+class Touched(ValueError):
+    pass
+
+
+def untouched(text: str, output: str, spans: list[list]) -> None:
+    """Raises unless the output is the text with the spans replaced and everything between them as it was."""
+    built, at = [], 0
+    for begin, end, to, _ in spans:
+        built += [text[at:begin], to]
+        at = end
+    if "".join(built) + text[at:] != output:
+        raise Touched("a rewrite changed what it doesn't report")
+
+
 @dataclass
 class Fixed:
     """rewrites: (place in the original, character there, what is written); unmapped: (place in the output, character)."""
@@ -144,6 +158,7 @@ class Rewriter:
         done = Fixed(text)
         for k in range(self.PASSES + 2):
             output, spans, done.unmapped = self._pass(done.output)
+            untouched(done.output, output, spans)
             if output == done.output:
                 done.rewrites = [(at, c, to) for at, (c, to) in sorted({at: (c, to) for at, c, to in done.rewrites}.items())]
                 return done

@@ -8,6 +8,7 @@ are dealt out; null texts count as empty.
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -246,6 +247,38 @@ def stats(documents: DataFrame, bench: Bench) -> DataFrame:
     return own.withColumn("after", after).select("path", "outside", "bytes", quarter("bytes").alias("tokens"), quarter("after").alias("tokens_after"), F.lit("bytes/4").alias("method"))
 
 
+def merged_tokens(documents: DataFrame, bench: Bench, rank_file: bytes, pattern: str) -> DataFrame:
+    """(path, outside, bytes, tokens, tokens_after, method): as stats(), with the tokens of a byte-level vocabulary's merges in place of an estimate.
+    rank_file: lines of a token in base 64 and its rank; pattern: how texts are cut before they are merged."""
+    if "text" not in documents.columns:
+        raise ValueError("tokens are counted of texts")
+    own = spread(documents.select("path", F.coalesce("text", F.lit("")).alias("text")))
+    count = lambda law: F.regexp_count("text", F.lit(chars.java_class(bench.config.catalog.union(law.sets, law.family), True)))
+    sent = documents.sparkSession.sparkContext.broadcast((rank_file, pattern, bench))
+
+    @F.pandas_udf("tokens long, tokens_after long")
+    def counted(path: pd.Series, text: pd.Series) -> pd.DataFrame:
+        ranks, cut, bench_ = sent.value
+        encoder = tokenizer(ranks, cut)
+        rows = []
+        for p, t in zip(path, text):
+            n = len(encoder.encode_ordinary(t))
+            output = _one(bench_, p or "", t)[0]
+            rows.append((n, n if output == t else len(encoder.encode_ordinary(output))))
+        return pd.DataFrame(rows, columns=["tokens", "tokens_after"])
+
+    own = own.withColumn("outside", native.by_law(bench.config, F.col("path"), count).cast("long")).withColumn("bytes", F.octet_length("text").cast("long"))
+    return own.withColumn("n", counted(F.coalesce("path", F.lit("")), F.col("text"))).select("path", "outside", "bytes", "n.tokens", "n.tokens_after", F.lit("bpe").alias("method"))
+
+
+@lru_cache(2)
+def tokenizer(rank_file: bytes, pattern: str):
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines())}
+    return tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 def located(documents: DataFrame, keep: Column | None = None) -> DataFrame:
     """Every character with line, column and byte, in DataFrame functions: lines are exploded, then characters.
 

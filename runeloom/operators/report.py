@@ -130,7 +130,7 @@ def _stats_row(r) -> dict:
 
 def json_stats(stats: DataFrame, skipped: DataFrame | None = None) -> str:
     """The document of statistics: a row for each file and their total, null where there is none."""
-    row, method = total(stats).first(), "estimate"
+    row, method = total(stats).first(), _method((stats.select("method").first() or ["bytes/4"])[0])
     whole = {"files": row.files, "outside": row.outside, "bytes": row.bytes, "tokens_now": {"tokens": row.tokens, "method": method}, "tokens_after": {"tokens": row.tokens_after, "method": method}} if row.files else None
     return "".join(json_pieces("stats", {"files": stats, "total": whole, "skipped": skipped if skipped is not None else []}))
 
@@ -147,7 +147,8 @@ def _count(n: int, method: str) -> str:
 def stats_rows(stats: DataFrame) -> DataFrame:
     """(path, row) of each file."""
     tilde = F.when(F.col("method") == "bytes/4", F.lit("~")).otherwise(F.lit(""))
-    row = F.concat(safe_column(F.col("path")), F.lit(" outside="), F.col("outside"), F.lit(" bytes="), F.col("bytes"), F.lit(" tokens="), tilde, F.col("tokens"), F.lit("->"), tilde, F.col("tokens_after"))
+    merged = F.when(F.col("method") == "bpe", F.lit(" (bpe)")).otherwise(F.lit(""))
+    row = F.concat(safe_column(F.col("path")), F.lit(" outside="), F.col("outside"), F.lit(" bytes="), F.col("bytes"), F.lit(" tokens="), tilde, F.col("tokens"), F.lit("->"), tilde, F.col("tokens_after"), merged)
     return stats.select("path", row.alias("row"))
 
 
@@ -156,7 +157,8 @@ def stats_text(stats: DataFrame) -> Iterator[str]:
     yield from (r.row for r in stats_rows(stats).orderBy("path").toLocalIterator())
     whole = total(stats).first()
     if whole.files > 1:
-        yield f"TOTAL files={whole.files} outside={whole.outside} bytes={whole.bytes} tokens=~{whole.tokens}->~{whole.tokens_after}"
+        method = stats.select("method").first()[0]
+        yield f"TOTAL files={whole.files} outside={whole.outside} bytes={whole.bytes} tokens={_count(whole.tokens, method)}->{_count(whole.tokens_after, method)}" + " (bpe)" * (method == "bpe")
 
 
 def text(rows: DataFrame, limit: int | None = None) -> Iterator[str]:

@@ -44,6 +44,19 @@ def test_findings(rule, text, want):
     assert found(rule, text) == want
 
 
+def test_characters_of_no_script():
+    """Each unassigned or private character is a finding of its own, and words end at it."""
+    assert found("* any !mixed-script=warn", "\u0378 a\u0378b \ue000\n") == [("mixed-script", 0), ("mixed-script", 4), ("mixed-script", 8)]
+
+
+def test_a_rewrite_that_changes_more_than_it_reports_raises():
+    from runeloom.functions.rewrite import Touched, untouched
+
+    untouched("a-b", "a+b", [[1, 2, "+", 1]])
+    with pytest.raises(Touched):
+        untouched("a-b", "a+c", [[1, 2, "+", 1]])
+
+
 def test_double_encoded_runs():
     assert double_encoded("â\u0080\u0094") == [(0, 3, "—")] and double_encoded("Â\u0080") == [(0, 2, "\x80")]
     assert double_encoded("ð\u009f\u0091\u008d") == [(0, 4, "\U0001f44d")]

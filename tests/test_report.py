@@ -67,6 +67,21 @@ def test_stats_documents(spark, skipped):
     assert list(report.stats_text(rows.where("path = 'a.md'"))) == ["a.md outside=0 bytes=9 tokens=~3->~3"]
 
 
+def test_tokens_by_merges(spark, tmp_path):
+    """Tokens of a vocabulary given by its rank file: single bytes, and one pair that merges."""
+    import base64
+
+    ranks = [bytes([b]) for b in range(256)] + [b"--", b"ab"]
+    (tmp_path / "ranks").write_bytes(b"".join(base64.b64encode(x) + b" %d\n" % k for k, x in enumerate(ranks)))
+    docs = spark.createDataFrame([("a.md", "ab—"), ("b.md", None), ("c.md", "ab ab")], "path string, text string")
+    rows = Engine(spark).stats(docs, str(tmp_path / "ranks"), r"[a-z]+|[^a-z]+")
+    assert {r.path: (r.outside, r.bytes, r.tokens, r.tokens_after, r.method) for r in rows.collect()} == {"a.md": (1, 5, 4, 2, "bpe"), "b.md": (0, 0, 0, 0, "bpe"), "c.md": (0, 5, 3, 3, "bpe")}
+    assert list(report.stats_text(rows))[::3] == ["a.md outside=1 bytes=5 tokens=4->2 (bpe)", "TOTAL files=3 outside=1 bytes=10 tokens=7->5 (bpe)"]
+    assert json.loads(report.json_stats(rows))["total"]["tokens_now"] == {"tokens": 7, "method": "bpe"}
+    with pytest.raises(ConfigError):
+        Engine(spark).stats(docs, str(tmp_path / "ranks"))
+
+
 def test_human_reports(spark):
     docs = spark.createDataFrame([("a.md", "——≥"), ("b.md", "—")], "path string, text string")
     found = Engine(spark).check(docs)
