@@ -31,6 +31,8 @@ BLOCK = 1024
 DOCUMENTS, CHARACTERS = 120, 300_000
 #: Letters with a symbol of their own; the rest share one.
 LETTERS = 120
+#: Letters drawn one by one, by which a text in no language is known.
+NOISE = 20_000
 
 
 def letter_table() -> np.ndarray:
@@ -193,6 +195,12 @@ class Model:
         self.base = np.concatenate([x.astype(np.int32, copy=False) for x, _ in parts] or [np.zeros(0, np.int32)])
         self.cells = np.concatenate([x for _, x in parts] or [np.zeros(0, np.int64)])
 
+        # What letters drawn one by one, each as often as the samples hold it, cost in the language where they cost least.
+        letters = [" ", *seen]
+        often = np.array([sum(1 for x in samples.values() for c in x if not c.isalpha()), *seen.values()], float)
+        drawn = np.random.default_rng(3).choice(len(letters), NOISE, p=often / often.sum()) if parts and seen else ()
+        self.noise = float(self.entropies(["".join(letters[k] for k in drawn)])[0].min()) if len(drawn) else 0.0
+
     def _step(self, state: np.ndarray, symbol: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The states after a symbol each, and where a new phrase begins with it."""
         cell = self.cells[self.base[state] + symbol]
@@ -343,7 +351,8 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], id: str = "d
 
 def accepted(docs: DataFrame, samples: tuple[tuple[str, str], ...], least: int = 50, text: str = "text") -> DataFrame:
     """The documents, with all their columns, whose text is in a learnt language: it has letters, and where there are
-    at least `least` symbols, they cost no more bits than evenly drawn ones would. If nothing was learnt, all stay."""
+    at least `least` symbols, they cost no more bits than letters drawn one by one do, each as often as the samples hold it. If nothing
+    was learnt, all stay."""
     sent = _sent(docs, samples)
 
     def make():
@@ -353,7 +362,7 @@ def accepted(docs: DataFrame, samples: tuple[tuple[str, str], ...], least: int =
             if not own.languages:
                 return np.ones(len(column), bool)
             bits, size = own.entropies([x or "" for x in column.to_pylist()])
-            return (size > 0) & ((size < least) | (bits.min(axis=0) <= np.log2(own.size)))
+            return (size > 0) & ((size < least) | (bits.min(axis=0) <= own.noise))
 
         return step
 

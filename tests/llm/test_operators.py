@@ -125,6 +125,18 @@ def test_language_sample(spark, monkeypatch):
     assert round(2 ** language_id.Model({"en": "abc" * 50_000}).bits[0]) == 150_000
 
 
+def test_language_accepts_prose_with_a_secret_and_no_noise(spark):
+    """Prose that holds a key stays; letters in no order, other scripts and texts without letters go; short texts with letters stay."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    learnt = language_id.learn(docs)
+    rng = random.Random(2)
+    prose = docs.where("lang = 'en' AND length(text) > 300").orderBy("doc_id").first().text
+    draw = lambda letters, n=300: "".join(rng.choice(letters) for _ in range(n))
+    rows = [(1, prose[:70] + " AKIA" + draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16) + " " + prose[70:90]), (2, draw("abcdefghijklmnopqrstuvwxyz")), (3, draw("абвгдежзиклмнопрст ")), (4, "1234 !!"), (5, None), (6, "xq"), (None, prose)]
+    assert {r.doc_id for r in language_id.accepted(table(spark, rows), learnt).collect()} == {1, 6, None}
+    assert {r.doc_id for r in language_id.accepted(table(spark, rows), ()).collect()} == {1, 2, 3, 4, 5, 6, None}
+
+
 def test_language_query_against_substrings(spark):
     """Predictions of the query are those of searching all that was learnt for substrings."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
