@@ -10,8 +10,8 @@ around them (Smith-Waterman over words: 2 for a match, -1 for a mismatch or a ga
 through a seed can be that scores `least`: all gaps of an item of n words come to at most 2 * (1 - least) * n. A pair is reported if
 the best local alignment reaches `least` of the score of a whole copy.
 
-Items are taken in blocks of BLOCK bytes of text, each broadcast and joined with all documents, so any number of
-items is dealt with. An item of one word or none, or with null text, is never found; null and empty documents hold
+Items are taken in blocks of BLOCK bytes of text, each broadcast (some 10 times its text, for the first pass) and joined with all
+documents, so any number of items is dealt with. An item of one word or none, or with null text, is never found; null and empty documents hold
 nothing, and empty tables give no rows. Repeated items and documents are reported each, and so are those with a null id.
 Other columns have no part. An alignment holds one row of its matrix at a time, so a long item with a long passage takes
 time, but no more memory than they do.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .columns import ALNUM, Words, keep_slices, map_slices, mix, release, slices, small_batches
 
-REACH, STRETCH, KEPT, BLOCK = 3, 8, 10, 16 << 20
+REACH, STRETCH, KEPT, BLOCK = 3, 8, 10, 4 << 20
 #: Bytes of documents that are searched at once, and cells of alignment rows held at once.
 SLICE, CELLS = 1 << 20, 1 << 20
 
@@ -60,7 +60,8 @@ class Items:
             made.append(own[at[-1]])
         key, place = np.concatenate(made), np.concatenate(at)
         order = np.lexsort((place, key))
-        self.place, self.item = place[order], words.row[place[order]]  # of each seed, by fingerprint
+        self.place = place[order].astype(np.int32)  # of each seed, by fingerprint
+        self.item = words.row[self.place].astype(np.int32)
         self.keys, first = np.unique(key[order], return_index=True)
         self.first = np.append(first, len(order))
         self._index()
