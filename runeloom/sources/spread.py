@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame
 
 
@@ -12,9 +13,12 @@ def scanned_partitions(df: DataFrame) -> int | None:
     plan = df._jdf.queryExecution().sparkPlan()
     while plan.nodeName() in ("Project", "Filter"):
         plan = plan.children().head()
-    if not plan.nodeName().startswith("Scan ") or not hasattr(plan, "inputRDDs"):
+    if not plan.nodeName().startswith("Scan "):
+        return None
+    try:
+        return plan.inputRDDs().head().getNumPartitions()
+    except Py4JError:  # a scan that doesn't say
         return None
-    return plan.inputRDDs().head().getNumPartitions()
 
 
 def spread(df: DataFrame) -> DataFrame:
