@@ -17,6 +17,8 @@ from ..functions.rewrite import MapCycle
 from ..plans import globs
 from ..plans.config import Config, Law, Rule, level_of
 
+#: Rules whose patterns may be matched again for each law.
+FEW = 8
 #: Characters that act with their neighbours: joiners, selectors, a byte order mark, keycaps, flags, tags, and the controls
 #: that mark text decoded twice.
 _TOGETHER = [(0x80, 0x9F), (0x200C, 0x200D), (0x20E3, 0x20E3), (0xFE0E, 0xFE0F), (0xFEFF, 0xFEFF), (0x1F1E6, 0x1F1FF), (0xE0000, 0xE007F)]
@@ -38,9 +40,15 @@ def by_law(config: Config, path: Column, make: Callable[[Law], Column]) -> Colum
     naming = [r for r in config.rule_list if r.family]
     path = F.coalesce(path, F.lit(""))
     laws = {(i, j): Law(sets=tuple(dict.fromkeys(["ascii", *(granting[i].sets if i >= 0 else ())])), hazards=tuple(granting[i].hazards if i >= 0 else ()), family=naming[j].family if j >= 0 else "text") for i, j in product(range(-1, len(granting)), range(-1, len(naming)))}
-    by_family = lambda i: _case(_last(path, naming), {j: laws[i, j] for j in range(-1, len(naming))}, make)
-    branches = {i: by_family(i) for i in range(-1, len(granting))}
-    return _case(_last(path, granting), branches, lambda x: x)
+    made: dict[Law, Column] = {}
+    column = lambda law: made[law] if law in made else made.setdefault(law, make(law))
+    by_family = lambda i, family: _case(family, {j: laws[i, j] for j in range(-1, len(naming))}, column)
+    by_grant = lambda grant, family: _case(grant, {i: by_family(i, family) for i in range(-1, len(granting))}, lambda x: x)
+    if len(config.rule_list) <= FEW:
+        return by_grant(_last(path, granting), _last(path, naming))
+    # many patterns are matched once a row, where else each branch would match them again
+    which = F.struct(_last(path, granting).alias("grant"), _last(path, naming).alias("family"))
+    return F.element_at(F.transform(F.array(which), lambda x: by_grant(x["grant"], x["family"])), 1)
 
 
 def _case(number: Column, of: dict, make: Callable) -> Column:

@@ -171,6 +171,7 @@ def laws_and_texts():
 @pytest.mark.parametrize("config", [
     {"rules": ["* ascii", "*.de latin1 @emoji", "docs/ typography", "*.emoji emoji+marks !pedantic=warn"]}, {"rules": ["* any", "* @text", "docs/ ascii hazard:tags".replace(" hazard", "+hazard")]},
     {"rules": ["* ascii+cr !crlf=warn !trailing-whitespace=warn", "*.md @emoji"], "maps": ["use words", "U+2264 U+2265", "U+2265 >=", "= tick ascii:[x] text:U+2713 emoji:U+2705", "U+00E9+U+00DF es"]}, {"maps": ["U+2264 U+2265", "U+2265 U+2264"]}, {},
+    {"rules": [f"*.x{k} greek" for k in range(30)] + ["*.md latin1", "docs/ typography @emoji", "*.de emoji+marks", "*.emoji any !pedantic=warn"]},
 ])
 def test_native_forms_agree_with_walking(spark, config):
     """Rewrites by translation, counts by pattern and texts left out by a pattern give what walking each text gives."""
