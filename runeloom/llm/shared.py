@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where the session names none, a temporary one if all runs on this machine, as in tests, else ValueError."""
     context = spark.sparkContext
-    if named := context.getConf().get("spark.checkpoint.dir", None):
+    if named := spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None):
         if context._jsc.sc().getCheckpointDir().isEmpty():
             context.setCheckpointDir(named)
         return named
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        if not context.master.startswith("local["):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
     return context._jsc.sc().getCheckpointDir().get()
