@@ -12,6 +12,8 @@ from ..functions import chars
 from ..functions.judge import double_encoded
 from ..plans.config import DRAFTED, PRESETS, Catalog, Config, Law
 
+#: Ranges that are broadcast, and rows of a survey that a draft collects, at most.
+MOST = 500_000
 #: Code points of a block, within which ranges are joined first.
 BLOCK = 1024
 _BEYOND = regex.compile(chars.python_class(chars.ASCII, True))
@@ -45,7 +47,8 @@ def listing(ranges: DataFrame) -> DataFrame:
 
 def containing(ranges: DataFrame, points: DataFrame) -> DataFrame:
     """(cp, set): which sets hold each code point of `points` (cp). A range join; the ranges are a few thousand rows."""
-    return points.join(F.broadcast(ranges), F.col("cp").between(F.col("start"), F.col("end"))).select("cp", "set").distinct()
+    small = ranges.limit(MOST + 1).count() <= MOST  # more, of sets that no person declares, aren't broadcast
+    return points.join(F.broadcast(ranges) if small else ranges, F.col("cp").between(F.col("start"), F.col("end"))).select("cp", "set").distinct()
 
 
 def file_type_column(path: Column) -> Column:
@@ -148,6 +151,14 @@ def unfixed(rows: DataFrame, granted: dict[str, list[chars.Range]]) -> DataFrame
     return own.groupBy("pattern").agg(F.sum("n").alias("findings"), F.count_distinct("path").alias("files"))
 
 
+def _collected(rows: DataFrame) -> list:
+    """The rows of a survey by file type; raises if a corpus has more types of files than a person could give rules to."""
+    found = rows.limit(MOST + 1).collect()
+    if len(found) > MOST:
+        raise ValueError(f"more than {MOST} pairs of a file type and a character: draft rules for a part of the corpus")
+    return found
+
+
 def file_type(path: str) -> str:
     """`*.` and what follows the last dot of the name, if something stands on either side of it, else the name."""
     name = path.rsplit("/", 1)[-1]
@@ -159,9 +170,9 @@ def draft_text(documents: DataFrame, bench, keep_fixable: bool = False, locales:
     """A draft with its reasons: for each file type the characters that its line grants, those that a rewrite takes care of and how much
     is found until it runs, and hazards with the first path that holds them. Collects a row for each file type and character."""
     rows = survey(documents, bench, keep_fixable)
-    files = {r.pattern: r.n for r in documents.select(file_type_column(F.col("path")).alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}
+    files = {r.pattern: r.n for r in documents.select(file_type_column(F.col("path")).alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).limit(MOST).collect()}
     by: dict[str, dict[str, list]] = {}
-    for r in surveyed(rows).collect():
+    for r in _collected(surveyed(rows)):
         by.setdefault(r.pattern, {}).setdefault(r.kind, []).append(r)
     catalog = bench.config.catalog
     grants = {p: cover({ord(r.character) for r in kinds["needed"]}, catalog, locales) for p, kinds in by.items() if "needed" in kinds}
@@ -205,7 +216,7 @@ def draft(documents: DataFrame, config: Config, keep_fixable: bool = False, loca
     none. Collects a row for each file type and distinct character."""
     hazards = config.catalog.resolve("hazard")
     by: dict[str, set[int]] = {}
-    for r in needed(documents).collect():
+    for r in _collected(needed(documents)):
         to = config.map.entries.get(r.character)
         if chars.contains(hazards, ord(r.character)) or (not keep_fixable and to is not None and to[0].isascii()):
             continue

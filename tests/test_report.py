@@ -137,7 +137,7 @@ def test_layers_of_files():
         Config(files=[("other", "x", "")])
 
 
-def test_survey_and_draft(spark):
+def test_survey_and_draft(spark, monkeypatch):
     rows = [("a.md", "≤​——"), ("b.md", "—❤️"), ("c.rs", "plain"), ("d.txt", ""), ("e.py", "— "), ("f.py", "â\u0080\u0094")]
     docs = spark.createDataFrame(rows, "path string, text string")
     engine = Engine(spark)
@@ -149,4 +149,8 @@ def test_survey_and_draft(spark):
     text = engine.init_text(docs, skipped=2)
     assert "# 6 files read, 2 skipped." in text and "# Plain ASCII, no line needed: *.rs (1)" in text and "*.txt any" in text and "# Hazard, never granted: U+200B invisible in a.md" in text
     assert "# Rewritten; until then check reports 3 in 2 files: U+2014" in text and "# Needs no grant." in text and any(x.startswith("*.md ascii+math") for x in text)
+    monkeypatch.setattr(sets, "MOST", 2)
+    with pytest.raises(ValueError):
+        engine.init(docs)
+    monkeypatch.undo()
     assert any(x.startswith("*.py ascii+typography") for x in engine.init_text(docs, keep_fixable=True)) and engine.init_text(docs.where("false"))[2] == "# 0 files read, 0 skipped."
