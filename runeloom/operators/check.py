@@ -235,14 +235,14 @@ def stats(documents: DataFrame, bench: Bench) -> DataFrame:
     count = lambda law: F.regexp_count("text", F.lit(chars.java_class(bench.config.catalog.union(law.sets, law.family), True)))
     own = spread(documents.select("path", F.coalesce("text", F.lit("")).alias("text")))
     own = own.withColumn("outside", native.by_law(bench.config, F.col("path"), count).cast("long")).withColumn("bytes", F.octet_length("text").cast("long"))
-    own = own.withColumn("simple", native.fixed(bench, F.col("path"), F.col("text")))
+    own = own.withColumn("simple", native.output(bench, F.col("path"), F.col("text")))
     sent = documents.sparkSession.sparkContext.broadcast(bench)
 
     @F.pandas_udf("long")
     def walked(path: pd.Series, text: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else len(_one(sent.value, p or "", t)[0].encode()) for p, t in zip(path, text)], dtype="Int64")
 
-    after = F.coalesce(F.octet_length("simple.output").cast("long"), walked("path", F.when(F.col("simple").isNull(), F.col("text"))))
+    after = F.coalesce(F.octet_length("simple").cast("long"), walked("path", F.when(F.col("simple").isNull(), F.col("text"))))
     quarter = lambda c: F.expr(f"({c} + 3) div 4")
     return own.withColumn("after", after).select("path", "outside", "bytes", quarter("bytes").alias("tokens"), quarter("after").alias("tokens_after"), F.lit("bytes/4").alias("method"))
 

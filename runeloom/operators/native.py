@@ -145,6 +145,15 @@ def fixed(bench, path: Column, text: Column) -> Column:
     return by_law(bench.config, path, make)
 
 
+def output(bench, path: Column, text: Column) -> Column:
+    """The text as a translation rewrites it; null for one that is to be walked."""
+    def make(law: Law) -> Column:
+        own = Translation(bench, law)
+        return F.when(~text.rlike(own.hard), own.output(text))
+
+    return by_law(bench.config, path, make)
+
+
 def touched(bench, path: Column, text: Column) -> Column:
     """Whether a rewrite may change the text."""
     def make(law: Law) -> Column:
