@@ -121,6 +121,7 @@ class Translation:
         for c in [c for c, to in self.to.items() if any(x in self.to or x in _CLASS or ord(x) in hard for x in to)]:
             del self.to[c]
             hard.add(ord(c))
+        self.hard_points = frozenset(hard)
         self.hard = chars.java_class(_ranges(hard))
         self.rewritten = chars.java_class(_ranges(map(ord, self.to)))
         self.unmapped = chars.java_class(_less(outside, set(map(ord, self.to))))
