@@ -67,6 +67,16 @@ def java_class(ranges: Iterable[Range], negated: bool = False) -> str:
     return f"[{'^' * negated}{body}]" if body else ("(?s:.)" if negated else "(?!)")
 
 
+def java_search(ranges: Iterable[Range]) -> str:
+    """As java_class(), for long texts of mostly ASCII: a class tries its ranges one after another, so what is beyond ASCII is asked for first."""
+    ranges = list(ranges)
+    low, high = [(a, min(b, 0x7F)) for a, b in ranges if a < 0x80], [(max(a, 0x80), b) for a, b in ranges if b >= 0x80]
+    if not high:
+        return java_class(low)
+    beyond = f"[\\x{{80}}-\\x{{10FFFF}}&&{java_class(high)}]"
+    return f"[{java_class(low)}{beyond}]" if low else beyond
+
+
 def python_class(ranges: Iterable[Range], negated: bool = False) -> str:
     body = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
     return f"[{'^' * negated}{body}]" if body else (r"[\s\S]" if negated else "(?!)")

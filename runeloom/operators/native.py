@@ -122,9 +122,10 @@ class Translation:
             del self.to[c]
             hard.add(ord(c))
         self.hard_points = frozenset(hard)
-        self.hard = chars.java_class(_ranges(hard))
-        self.rewritten = chars.java_class(_ranges(map(ord, self.to)))
-        self.unmapped = chars.java_class(_less(outside, set(map(ord, self.to))))
+        self.hard = chars.java_search(_ranges(hard))
+        self.rewritten = chars.java_search(_ranges(map(ord, self.to)))
+        self.touched = chars.java_search(_ranges([*hard, *map(ord, self.to)]))
+        self.unmapped = chars.java_search(_less(outside, set(map(ord, self.to))))
 
     def output(self, text: Column) -> Column:
         short = {c: to for c, to in self.to.items() if len(to) == 1}
@@ -157,11 +158,7 @@ def output(bench, path: Column, text: Column) -> Column:
 
 def touched(bench, path: Column, text: Column) -> Column:
     """Whether a rewrite may change the text."""
-    def make(law: Law) -> Column:
-        own = Translation(bench, law)
-        return text.rlike(own.hard) | text.rlike(own.rewritten)
-
-    return by_law(bench.config, path, make)
+    return by_law(bench.config, path, lambda law: text.rlike(Translation(bench, law).touched))
 
 
 def suspect(bench, path: Column, text: Column) -> Column:

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 
 from runeloom.engine import Engine
+from runeloom.functions import chars
 from runeloom.operators import check, plain
 from runeloom.plans.config import Config
 
@@ -35,6 +36,13 @@ def test_arrays_agree_with_the_walk(spark, config):
         assert got == want
 
 
+@pytest.mark.parametrize("ranges", [[(0, 8), (0x7F, 0x9F), (0xAB, 0xAB), (0x1F1E6, 0x1F1FF)], [(0xA0, 0xA0)], [(9, 9), (0x41, 0x42)], [(0x20, 0x10FFFF)], []])
+def test_a_pattern_for_long_texts_matches_the_same_characters(spark, ranges):
+    points = spark.createDataFrame([(chr(p),) for p in [*range(0x200), 0xFFFF, *range(0x1F1E0, 0x1F210), 0x10FFFF]], "c string")
+    got = points.selectExpr(f"c RLIKE r'{chars.java_search(ranges)}' AS s", f"c RLIKE r'{chars.java_class(ranges)}' AS w", "c").collect()
+    assert all(r.s == r.w == chars.contains(ranges, ord(r.c)) for r in got)
+
+
 @pytest.mark.parametrize("large", [False, True])
 def test_plain_texts_are_not_walked(large):
     """Single characters, tables of any slice, nulls and empty texts are told at once; only texts with sequences are left."""
